@@ -104,33 +104,54 @@ _POWERS = [np.ones(1, np.uint64)]
 def _powers(n: int) -> np.ndarray:
     have = _POWERS[0]
     while len(have) < n:
-        have = np.concatenate([have, have * (have[-1] * GOLDEN)])
+        have = np.concatenate([have, have * (have[-1:] * GOLDEN)])
         _POWERS[0] = have
     return have[:n]
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^ \\t-\\r]+`` of every row with A-Z lower-cased, and each row's word offsets."""
-    rows = len(offsets) - 1
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
+def _slices(raw: np.ndarray, offsets: np.ndarray, size: int):
+    """Ranges of about ``size`` bytes that end at a row's start or at a blank, so that no word is cut."""
+    n, at = len(raw), 0
+    while at < n:
+        stop = min(at + size, n)
+        if stop < n:
+            row = offsets[np.searchsorted(offsets, stop)]
+            while stop < row and not _BLANK[raw[stop]]:
+                ahead = np.flatnonzero(_BLANK[raw[stop : min(row, stop + 65536)]])
+                stop = stop + int(ahead[0]) if len(ahead) else min(int(row), stop + 65536)
+        yield at, stop
+        at = stop
+
+
+def _slice_hashes(raw: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = ~_BLANK[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
-    row_starts = offsets[:-1][offsets[:-1] < offsets[1:]]
     begins[row_starts] = inside[row_starts]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    which = np.cumsum(begins)  # 1-based word of each byte inside a word
+        return np.zeros(0, np.uint64), starts
     at = np.flatnonzero(inside)
-    word = which[at] - 1
-    lengths = np.bincount(word, minlength=len(starts))
+    lengths = np.diff(np.append(np.searchsorted(at, starts), len(at)))
     values = _RANDOM_BYTES[_LOWER[raw[at]]]
-    values *= _powers(int(lengths.max()))[at - starts[word]]
-    firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    sums = np.add.reduceat(values, firsts)
-    return mix64(sums + lengths.astype(np.uint64) * MIX_A), np.searchsorted(starts, offsets)
+    values *= _powers(int(lengths.max()))[at - np.repeat(starts, lengths)]
+    sums = np.add.reduceat(values, np.cumsum(lengths) - lengths)
+    return mix64(sums + lengths.astype(np.uint64) * MIX_A), starts
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^ \\t-\\r]+`` of every row with A-Z lower-cased, and each row's word offsets.
+
+    Works in slices, so that its own arrays stay small however long a text is.
+    """
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    row_starts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    for a, b in _slices(raw, offsets, 1 << 18):
+        i, j = np.searchsorted(row_starts, [a, b])
+        h, starts = _slice_hashes(raw[a:b], row_starts[i:j] - a)
+        hashes.append(h)
+        places.append(starts + a)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

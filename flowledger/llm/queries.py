@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -27,8 +28,23 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digests(common.table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    pieces = packing.pack(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    docs = common.table(spark, sf_dir, "documents").withColumn("held_out", lm.remainder("doc_id", 5) == 1)
+    model = lm.fit(docs.where(~F.col("held_out")))
+    return lm.score(docs, model).withColumn("held_out", lm.remainder("doc_id", 5) == 1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op9_sentencepiece)}
+    return {f.__name__: f for f in (op2_token_counts, op7_packing, op9_sentencepiece, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
