@@ -41,6 +41,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def id_remainder(doc_id: str, divisor: int):
+    """crc32 of the id's text modulo ``divisor``; a null id counts as 0."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(divisor)), F.lit(0))
+
+
 def total_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of text in the table, used to choose numbers of shards that grow with the input."""
     return docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0

@@ -380,7 +380,3 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     kind = kept.schema["doc_id"].dataType.simpleString()
     return kept.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
-
-def remainder(doc_id: str, divisor: int):
-    """crc32 of the id's text modulo ``divisor``; a null id counts as 0."""
-    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(divisor)), F.lit(0))

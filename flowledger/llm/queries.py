@@ -16,6 +16,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    rows = common.table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import tokens
 
@@ -28,6 +35,20 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digests(common.table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = common.table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(common.id_remainder("doc_id", 3) != 1))
+    return langid.predict(docs, model).withColumn("held_out", common.id_remainder("doc_id", 3) == 1)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lines
+
+    return lines.drop_boilerplate(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_dropped")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -38,14 +59,34 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm
 
-    docs = common.table(spark, sf_dir, "documents").withColumn("held_out", lm.remainder("doc_id", 5) == 1)
+    docs = common.table(spark, sf_dir, "documents").withColumn("held_out", common.id_remainder("doc_id", 5) == 1)
     model = lm.fit(docs.where(~F.col("held_out")))
-    return lm.score(docs, model).withColumn("held_out", lm.remainder("doc_id", 5) == 1)
+    return lm.score(docs, model).withColumn("held_out", common.id_remainder("doc_id", 5) == 1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op7_packing, op9_sentencepiece, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_top_k, op2_token_counts, op3_language_id, op4_line_dedup, op7_packing, op9_sentencepiece, op10_lm_scoring)}
+
+
+OP1_SQL = """
+WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * r.v[i])) AS BIGINT) AS score
+      FROM d q JOIN d r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+OP4_SQL = """
+WITH l AS (SELECT DISTINCT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+n AS (SELECT source, line, count(*) AS pages FROM l WHERE trim(line) <> '' GROUP BY source, line),
+t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+b AS (SELECT n.source, list(line) AS listed FROM n JOIN t USING (source) WHERE total >= 20 AND pages > total * 0.05 GROUP BY n.source),
+k AS (SELECT doc_id, text, coalesce(listed, []) AS listed, string_split(text, chr(10)) AS lines FROM documents LEFT JOIN b USING (source))
+SELECT doc_id, array_to_string(list_filter(lines, lambda x: trim(x) = '' OR NOT list_contains(listed, x)), chr(10)) AS text,
+       CAST(len(list_filter(lines, lambda x: trim(x) <> '' AND list_contains(listed, x))) AS BIGINT) AS lines_dropped FROM k
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_top_k": OP1_SQL, "op4_line_dedup": OP4_SQL}
