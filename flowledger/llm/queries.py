@@ -57,6 +57,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_dropped")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import metric
+
+    return metric.near_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 
@@ -79,7 +85,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_top_k, op2_token_counts, op3_language_id, op4_line_dedup, op6_ngram_jaccard, op7_packing, op8_suffix_dedup, op9_sentencepiece, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_top_k, op2_token_counts, op3_language_id, op4_line_dedup, op5_embedding_dedup, op6_ngram_jaccard, op7_packing, op8_suffix_dedup, op9_sentencepiece, op10_lm_scoring)}
 
 
 OP1_SQL = """
@@ -102,6 +108,18 @@ SELECT doc_id, array_to_string(list_filter(lines, lambda x: trim(x) = '' OR NOT
 """
 
 
+OP5_SQL = """
+WITH RECURSIVE d AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+      WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS MATERIALIZED (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM d WHERE list_dot_product(v, v) > 0),
+e AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_dot_product(a.v, b.v) >= 0.93 * a.n * b.n),
+r AS (SELECT vec_id, vec_id AS m FROM embeddings UNION SELECT r.vec_id, e.y FROM r JOIN e ON r.m = e.x),
+c AS (SELECT vec_id, min(m) AS component_id FROM r GROUP BY vec_id),
+l AS (SELECT x, count(*) AS n FROM e GROUP BY x)
+SELECT c.vec_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN l ON l.x = c.vec_id
+"""
+
 OP6_SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 5 THEN [array_to_string(l, ' ')]
@@ -116,4 +134,4 @@ FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_i
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1_SQL, "op4_line_dedup": OP4_SQL, "op6_ngram_jaccard": OP6_SQL}
+    return {"op1_top_k": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL}
