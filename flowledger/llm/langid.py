@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -230,22 +231,25 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     return fit_texts(samples)
 
 
-def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score, bits_per_byte)`` of every whole text.
+def annotate(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` with ``lang_pred``, ``score`` and ``bits_per_byte`` of every whole text.
 
     ``lang_pred`` is the label of least code length (ties: the first in order), and ``score`` its
-    share of the languages' probabilities for an average hundred bytes of the text. A text that is null or has no letter
-    gets ``und`` with score 0, as does every text if there was nothing to learn from. Rows stay one
-    for one; an empty table gives none.
+    share of the languages' probabilities for an average hundred bytes of the text. A text that is
+    null or has no letter gets ``und`` with score 0, as does every text if there was nothing to
+    learn from. Columns of these three names are replaced; an empty table gives no rows.
     """
-    kept = common.only(docs, doc_id=doc_id, text=text)
+    added = ("lang_pred", "score", "bits_per_byte")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's bytes
+    columns = [c for c in docs.columns if c not in added]
+    kept = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    at = columns.index(text)
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            raw, offsets = common.text_buffer(batch.column(1))
-            letters = np.array([has_letter(t) for t in batch.column(1).to_pylist()], bool)
+            raw, offsets = common.text_buffer(batch.column(at))
+            letters = np.array([has_letter(t) for t in batch.column(at).to_pylist()], bool)
             n = len(letters)
             if not own.languages:
                 letters[:] = False
@@ -253,13 +257,18 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
             else:
                 bits = text_bits(own, raw, offsets)
                 size = np.maximum(np.diff(offsets), 1)
-                best = bits.argmin(axis=1)
-                least = bits.min(axis=1)
+                best, least = bits.argmin(axis=1), bits.min(axis=1)
                 gap = (bits - least[:, None]) * (np.minimum(size, 100) / size)[:, None]
                 score = 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1)
                 rate = least / size
             pred = [own.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(rate)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(rate)], [*batch.schema.names, *added])
+
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
+    done = kept.mapInArrow(run, schema)
+    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], *added)
 
-    kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+
+def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, lang_pred, score, bits_per_byte)`` of every whole text; see :func:`annotate`."""
+    return annotate(common.only(docs, doc_id=doc_id, text=text), model).drop("text")

@@ -255,17 +255,20 @@ def _chunk_rows(table: pa.Table, doc_id: str, text: str):
     return table, raw, offsets, ids, nth
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
     """All rows and columns of ``docs``, with ``removed_spans`` (byte ranges) and ``kept_bytes`` (what is left).
 
+    With ``as_text`` the last column is ``kept_text`` instead, without the parts of characters that a span cut.
+
     Removes every byte covered by a ``length``-byte string that also starts earlier: in a document of
     smaller id or earlier in the same one; overlaps count. Texts are UTF-8 bytes, null ones are empty; matches never cross
     documents and are judged on the input. Rows of one id stand in order of their texts; rows with
     a null id come last. Texts shorter than ``length`` stay whole. An empty table gives no rows.
     ``kept_bytes`` may hold parts of characters where a span cuts one. Ids must be integers.
-    Columns named ``removed_spans`` or ``kept_bytes`` are replaced.
+    Columns of the added names are replaced.
     """
-    docs = docs.select(*[c for c in docs.columns if c not in ("removed_spans", "kept_bytes")])
+    rest = "kept_text" if as_text else "kept_bytes"
+    docs = docs.select(*[c for c in docs.columns if c not in ("removed_spans", rest)])
     total = common.total_bytes(docs, text)
     chunks = max(1, -(-total // CHUNK_BYTES))
     buckets = max(48, chunks // 16)
@@ -393,8 +396,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
         spans = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.StructArray.from_arrays([pa.array(first - offsets[row]), pa.array(last - offsets[row])], ["start", "end"]))
         left_over = np.append(0, np.cumsum(~gone))[offsets]
         body = raw[~gone].tobytes()
-        kept = pa.array([body[a:b] for a, b in zip(left_over[:-1].tolist(), left_over[1:].tolist(), strict=True)], pa.binary())
-        return pa.table({"__text": table.column("__text"), **{n: table.column(n) for n in names}, "removed_spans": spans.cast(spans_type), "kept_bytes": kept})
+        parts = [body[a:b] for a, b in zip(left_over[:-1].tolist(), left_over[1:].tolist(), strict=True)]
+        kept = pa.array([p.decode(errors="ignore") for p in parts], pa.string()) if as_text else pa.array(parts, pa.binary())
+        return pa.table({"__text": table.column("__text"), **{n: table.column(n) for n in names}, "removed_spans": spans.cast(spans_type), rest: kept})
 
     by_chunk = dealt.groupBy(chunk_of)
     grams = by_chunk.applyInArrow(scan, "bucket long, chunk long, value binary, multiple binary")
@@ -402,7 +406,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
     regions = by_chunk.cogroup(wanted.groupBy("__chunk")).applyInArrow(send, "shard long, chunk long, ids binary, nth binary, start binary, size binary, bytes binary")
     later = regions.groupBy("shard").applyInArrow(sort_shard, "__chunk long, ids binary, nth binary, begin binary, end binary")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([*dealt.drop(chunk_of, id_of).schema.fields, T.StructField("removed_spans", T.ArrayType(span)), T.StructField("kept_bytes", T.BinaryType())])
+    schema = T.StructType([*dealt.drop(chunk_of, id_of).schema.fields, T.StructField("removed_spans", T.ArrayType(span)), T.StructField(rest, T.StringType() if as_text else T.BinaryType())])
     done = by_chunk.cogroup(later.groupBy("__chunk")).applyInArrow(cut, schema)
     named = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    return done.select(*[F.col("__text" if c == text else named[c]).alias(c) for c in docs.columns], "removed_spans", "kept_bytes")
+    return done.select(*[F.col("__text" if c == text else named[c]).alias(c) for c in docs.columns], "removed_spans", rest)
