@@ -74,6 +74,17 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def run_spans(ordered: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal values."""
+    at = runs(ordered)
+    return list(zip(at.tolist(), np.append(at, len(ordered))[1:].tolist(), strict=True))
+
+
 def ragged_arange(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenation of ``arange(s, s + l)`` for each pair."""
     lengths = np.asarray(lengths, np.int64)

@@ -92,10 +92,6 @@ def set_table(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key long")
 
 
-def _runs(ordered: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
-
-
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     """Fewest shared shingles of a set of size n with any partner."""
     return -(-percent * n // 100)
@@ -119,7 +115,7 @@ def shared_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFra
                 item, owner = items[place], np.repeat(np.arange(len(first), dtype=np.uint16), n[first])
                 order = np.argsort(item)
                 item, owner = item[order], owner[order]
-                start = _runs(item)
+                start = common.runs(item)
                 held = np.diff(np.append(start, len(item)))
                 hot = np.repeat(held >= HOT_IN_SLICE, held)
                 told = start[held >= HOT_IN_SLICE]
@@ -130,8 +126,7 @@ def shared_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFra
                 for which, i, o in ((0, rest_item[order], rest_owner[order]), (salt, item[hot], owner[hot])):
                     bucket = (i >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
                     low = (i << np.uint64(bits)) >> np.uint64(16)
-                    at = _runs(bucket)
-                    for a, b in zip(at.tolist(), np.append(at[1:], len(i)).tolist(), strict=True):
+                    for a, b in common.run_spans(bucket):
                         own = low[a:b]
                         out.append((int(bucket[a]), which, (own >> np.uint64(16)).astype(np.uint32).tobytes(), own.astype(np.uint16).tobytes(), o[a:b].tobytes()))
                 k, sizes = keys[first].tobytes(), n[first].astype(np.uint32).tobytes()
@@ -155,7 +150,7 @@ def shared_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFra
         item, owner, size = np.concatenate(item), np.concatenate(owner), np.concatenate(size)
         order = np.argsort(item, kind="stable")
         item, owner, size = item[order], owner[order], size[order]
-        at = _runs(item)
+        at = common.runs(item)
         n = np.diff(np.append(at, len(item)))
         low, high = np.minimum.reduceat(owner, at), np.maximum.reduceat(owner, at)
         told = low == 0
@@ -165,10 +160,9 @@ def shared_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFra
         group = (owner % np.uint64(groups)).astype(np.int64)
         order = np.lexsort((owner, group))
         item, owner, size, rarity, group = item[order], owner[order], size[order], rarity[order], group[order]
-        at = _runs(group)
         rows = []
-        for a, b in zip(at.tolist(), np.append(at[1:], len(group)).tolist(), strict=True):
-            own = _runs(owner[a:b])
+        for a, b in common.run_spans(group):
+            own = common.runs(owner[a:b])
             each = np.diff(np.append(own, b - a)).astype(np.uint32)
             rows.append((int(group[a]), owner[a:b][own].tobytes(), size[a:b][own].tobytes(), each.tobytes(), item[a:b].tobytes(), rarity[a:b].tobytes()))
         columns = list(zip(*rows, strict=True)) or [[]] * 6
@@ -181,7 +175,7 @@ def shared_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFra
         owner, size, items = owner[order], size[order], items[order]
         new = np.append(True, (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])) if len(items) else np.zeros(0, bool)
         owner, size, items = owner[new], size[new], items[new]
-        at = _runs(owner)
+        at = common.runs(owner)
         n = np.diff(np.append(at, len(owner)))
         enough = np.flatnonzero(n >= least_overlap(size[at].astype(np.int64), percent))
         return pa.table(
@@ -257,7 +251,7 @@ def divide_skip(sets: list[np.ndarray], n: np.ndarray, side: np.ndarray, percent
         count = np.bincount(met, minlength=m) if len(met) > m else None
         if count is None:
             met.sort()
-            at = _runs(met)
+            at = common.runs(met)
             partner, got = met[at], np.diff(np.append(at, len(met)))
         else:
             partner = np.flatnonzero(count)

@@ -88,10 +88,6 @@ def _word_shards(words: np.ndarray, bits: int) -> np.ndarray:
     return (words >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
 
 
-def _runs(ordered: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
-
-
 def _save(folder: str, name: str, values: np.ndarray) -> None:
     """Write an array under its final name at once, so that a repeated task leaves the same file."""
     part = f"{name}.{uuid.uuid4().hex}.part"
@@ -135,7 +131,7 @@ def frequent_words(train: DataFrame, text: str) -> tuple[int, ...]:
             for _, _, raw, offsets in _sliced(batch.column(0)):
                 history, _, _ = events(raw, offsets)
                 history.sort()
-                first = _runs(history)
+                first = common.runs(history)
                 n = np.diff(np.append(first, len(history)))
                 kept = n >= max(2, len(history) * HOT_SHARE / 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(history[first][kept], 0).view(np.int64)), pa.array(np.append(n[kept], len(history)))], ["word", "n"])
@@ -177,20 +173,19 @@ def fit(train: DataFrame, text: str = "text") -> Model:
                 shard = _shards(history, keys, hot_words, bits)
                 order = np.lexsort((keys, shard)) if bits else np.argsort(keys)
                 keys, history, word, shard = keys[order], history[order], word[order], shard[order]
-                first = _runs(keys)
+                first = common.runs(keys)
                 n = np.diff(np.append(first, len(keys))).astype(np.uint32)
                 history, word, shard = history[first], word[first], shard[first]
-                by = _runs(shard)
-                ends = np.append(by[1:], len(shard))
-                cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(by, ends, strict=True)], pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(shard[by]), cut(history), cut(word), cut(n)], ["shard", "history", "word", "n"])
+                spans = common.run_spans(shard)
+                cut = lambda x: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array([shard[a] for a, _ in spans]), cut(history), cut(word), cut(n)], ["shard", "history", "word", "n"])
 
     def merge(key, table):
         history, word, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), d) for c, d in (("history", np.uint64), ("word", np.uint64), ("n", np.uint32)))
         keys = bigram_keys(history, word)
         order = np.argsort(keys, kind="stable")
         keys, history, word = keys[order], history[order], word[order]
-        first = _runs(keys)
+        first = common.runs(keys)
         n = np.add.reduceat(n[order].astype(np.int64), first)
         keys, history, word = keys[first], history[first], word[first]
         name = f"bigrams-{key[0].as_py():06d}"
@@ -201,12 +196,12 @@ def fit(train: DataFrame, text: str = "text") -> Model:
         # What smoothing needs of each word, as history and as word.
         order = np.argsort(history)
         h, m = history[order], n[order]
-        at = _runs(h)
+        at = common.runs(h)
         add = lambda x: np.add.reduceat(x.astype(np.int64), at)
         left = np.stack([np.zeros(len(at), np.int64), add(m), add(m == 1), add(m == 2), add(m > 2), np.zeros(len(at), np.int64)])
         order = np.argsort(word)
         w, m2 = word[order], n[order]
-        at2 = _runs(w)
+        at2 = common.runs(w)
         right = np.zeros((6, len(at2)), np.int64)
         right[COUNT] = np.add.reduceat(m2, at2)
         right[BEFORE] = np.diff(np.append(at2, len(w)))
@@ -216,20 +211,19 @@ def fit(train: DataFrame, text: str = "text") -> Model:
     def _merged(words, rows):
         order = np.argsort(words)
         words, rows = words[order], rows[:, order]
-        at = _runs(words)
+        at = common.runs(words)
         return words[at], np.add.reduceat(rows, at, axis=1)
 
     def _word_table(words, rows, types):
         part = _word_shards(words, bits)
-        by = _runs(part)
-        ends = np.append(by[1:], len(part))
+        spans = common.run_spans(part)
         small = rows.astype(np.uint32) if rows.max(initial=0) < 2**32 else rows
         return pa.table(
             {
-                "part": pa.array(np.append(part[by], -1)),
-                "words": pa.array([words[a:b].tobytes() for a, b in zip(by, ends, strict=True)] + [b""], pa.binary()),
-                "stats": pa.array([np.ascontiguousarray(small[:, a:b]).tobytes() for a, b in zip(by, ends, strict=True)] + [np.array(types, np.int64).tobytes()], pa.binary()),
-                "wide": pa.array([small.dtype.itemsize == 8] * (len(by) + 1)),
+                "part": pa.array([int(part[a]) for a, _ in spans] + [-1]),
+                "words": pa.array([words[a:b].tobytes() for a, b in spans] + [b""], pa.binary()),
+                "stats": pa.array([np.ascontiguousarray(small[:, a:b]).tobytes() for a, b in spans] + [np.array(types, np.int64).tobytes()], pa.binary()),
+                "wide": pa.array([small.dtype.itemsize == 8] * (len(spans) + 1)),
             }
         )
 
@@ -287,7 +281,7 @@ def _unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values in order, one place of each and the distinct value's number of every value."""
     order = np.argsort(values)
     ordered = values[order]
-    first = _runs(ordered)
+    first = common.runs(ordered)
     number = np.empty(len(values), np.int64)
     number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(values))))
     return ordered[first], order[first], number
@@ -297,7 +291,7 @@ def word_rows(model: Model, asked: np.ndarray) -> np.ndarray:
     """Statistics of sorted distinct words, zeros where a word wasn't seen."""
     out = np.zeros((len(asked), 6), np.int64)
     part = _word_shards(asked, model.bits)
-    for a, b in _spans(part):
+    for a, b in common.run_spans(part):
         keys = _array(model, f"words-{part[a]:06d}")
         if keys is not None and len(keys):
             at, ok = _found(keys, asked[a:b])
@@ -305,15 +299,10 @@ def word_rows(model: Model, asked: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spans(ordered: np.ndarray):
-    first = _runs(ordered)
-    return zip(first.tolist(), np.append(first[1:], len(ordered)).tolist(), strict=True)
-
-
 def bigram_counts(model: Model, shard: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Counts of bigrams ordered by shard and key, 0 where one wasn't seen."""
     out = np.zeros(len(keys), np.int64)
-    for a, b in _spans(shard):
+    for a, b in common.run_spans(shard):
         name = f"bigrams-{shard[a]:06d}"
         held = _array(model, name)
         if held is None or not len(held):
@@ -343,7 +332,7 @@ def log_probabilities(model: Model, history: np.ndarray, word: np.ndarray) -> tu
     shard = _shards(history, keys, np.array(model.hot, np.uint64), model.bits)
     order = np.lexsort((keys, shard)) if model.bits else np.argsort(keys)
     ordered = keys[order]
-    first = _runs(ordered)
+    first = common.runs(ordered)
     counts = bigram_counts(model, shard[order][first], ordered[first])
     n = np.empty(len(keys), np.int64)
     n[order] = np.repeat(counts, np.diff(np.append(first, len(keys))))

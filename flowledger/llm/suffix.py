@@ -75,10 +75,6 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(common.GOLDEN), n, 1 << 64))
 
 
-def _runs(ordered: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
-
-
 # --- induced sorting -------------------------------------------------------------------------
 
 
@@ -111,7 +107,7 @@ def _sort_leftmost(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarr
     m = len(sample)
     order = np.argsort(key)
     rank = np.empty(m, np.int64)
-    first = _runs(key[order])
+    first = common.runs(key[order])
     sizes = np.diff(np.append(first, m))
     rank[order] = np.repeat(first, sizes)
     left = order[np.repeat(sizes > 1, sizes)]
@@ -122,8 +118,8 @@ def _sort_leftmost(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarr
         pair = rank[left] << 32 | second
         order = np.argsort(pair)
         pair, left = pair[order], left[order]
-        group = _runs(pair >> 32)
-        first = _runs(pair)
+        group = common.runs(pair >> 32)
+        first = common.runs(pair)
         sizes = np.diff(np.append(first, len(pair)))
         base = np.repeat(group, np.diff(np.append(group, len(pair))))  # where each element's old group starts
         rank[left] = (pair >> 32) + np.repeat(first, sizes) - base
@@ -193,8 +189,7 @@ def _deal(text: np.ndarray, suffixes: np.ndarray, into: list[list[np.ndarray]])
     own = text[suffixes]
     order = np.argsort(own, kind="stable")
     suffixes, own = suffixes[order], own[order]
-    at = _runs(own)
-    for a, b in zip(at.tolist(), np.append(at[1:], len(own)).tolist(), strict=True):
+    for a, b in common.run_spans(own):
         into[own[a]].append(suffixes[a:b])
 
 
@@ -250,7 +245,7 @@ def _chunk_rows(table: pa.Table, doc_id: str, text: str):
     table = table.sort_by([(doc_id, "ascending"), (text, "ascending")])
     raw, offsets = common.text_buffer(table.column(text))
     ids = np.array(table.column(doc_id).cast(pa.int64()).fill_null(NO_ID))
-    at = _runs(ids)
+    at = common.runs(ids)
     nth = np.arange(len(ids)) - np.repeat(at, np.diff(np.append(at, len(ids))))
     return table, raw, offsets, ids, nth
 
@@ -282,7 +277,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
         _, _, value, twice = stretches(raw, offsets, length)
         order = np.argsort(value)
         value, twice = value[order], twice[order]
-        at = _runs(value)
+        at = common.runs(value)
         multiple = (np.diff(np.append(at, len(value))) > 1) | (np.add.reduceat(twice, at) > 0 if len(at) else np.zeros(0, bool))
         value = value[at]
         bucket = ((value >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -302,7 +297,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
         flags = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[: len(v)].astype(bool) for v, m in zip(values, table.column("multiple").to_pylist(), strict=True)])
         flat = np.concatenate(values)
         order = np.argsort(flat)
-        at = _runs(flat[order])
+        at = common.runs(flat[order])
         n = np.diff(np.append(at, len(flat)))
         keep = np.empty(len(flat), bool)
         keep[order] = np.repeat((n > 1) | (np.add.reduceat(flags[order], at) > 0), n)
@@ -331,8 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
             shard = (value >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
             shard[~fresh] = (1 << bits) + chunk % (1 << bits)  # known here to be later copies: only passed on
             order = np.lexsort((np.arange(len(shard)), shard))
-            by = _runs(shard[order])
-            for a, b in zip(by.tolist(), np.append(by[1:], len(order)).tolist(), strict=True):
+            for a, b in common.run_spans(shard[order]):
                 o = order[a:b]
                 new = bool(fresh[o[0]])
                 rows.append((int(shard[o[0]]), chunk, ids[row[o]].tobytes(), nth[row[o]].astype(np.int32).tobytes(), at_doc[o].tobytes(), (end - start)[o].tobytes(), b"".join([bodies[i] for i in o]) if new else b""))
@@ -365,10 +359,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
         which, begin, end = found
         order = np.argsort(chunk[which], kind="stable")
         which, begin, end = which[order], begin[order], end[order]
-        by = _runs(chunk[which])
-        cuts = list(zip(by.tolist(), np.append(by[1:], len(which)).tolist(), strict=True))
+        cuts = common.run_spans(chunk[which])
         blob = lambda x: pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary())
-        return pa.table({"__chunk": pa.array(chunk[which][by], pa.int64()), "ids": blob(ids[which]), "nth": blob(nth[which]), "begin": blob(begin), "end": blob(end)})
+        return pa.table({"__chunk": pa.array([chunk[which[a]] for a, _ in cuts], pa.int64()), "ids": blob(ids[which]), "nth": blob(nth[which]), "begin": blob(begin), "end": blob(end)})
 
     names = [f"c{i}" for i, c in enumerate(docs.columns) if c != text]
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
