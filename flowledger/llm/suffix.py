@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Bytes of a gram; text bytes of a chunk of documents, for each shard, and of the slices inside a task.
-GRAM, CHUNK_BYTES, SHARD_BYTES, SLICE = 32, 2 << 20, 4 << 20, 1 << 18
+GRAM, CHUNK_BYTES, SHARD_BYTES, SLICE = 32, 2 << 20, 1 << 20, 1 << 18
 _TABLE = common.mix64(np.arange(1, 257, dtype=np.uint64) * common.MIX_B)
 NO_ID = np.iinfo(np.int64).max
 
