@@ -4,6 +4,8 @@ Every window of ``length`` bytes belongs to the stretch of windows that share it
 so equal windows lie in stretches of one hash. Stretches whose hash occurs once can't repeat and go no further.
 The others travel, with their bytes, to the shard of their hash; a chunk sends equal stretches once.
 A shard sorts its suffixes by induced sorting, compares neighbours and keeps each window's earliest start.
+Where very many different stretches share one hash (the surroundings of a very common line), no shard gets
+them all: their windows are dealt one by one, by two 64-bit hashes of all their bytes.
 """
 
 from __future__ import annotations
@@ -18,10 +20,32 @@ from . import common
 
 #: Bytes of a gram; text bytes of a chunk of documents, for each shard, and of the slices inside a task.
 GRAM, CHUNK_BYTES, SHARD_BYTES, SLICE = 32, 2 << 20, 1 << 20, 1 << 18
-_TABLE = common.mix64(np.arange(1, 257, dtype=np.uint64) * common.MIX_B)
+#: Stretches of one hash beyond this number are hot: their windows are dealt by their own hashes instead.
+HOT_STRETCHES = 500
+_TABLES = [common.mix64(np.arange(1, 257, dtype=np.uint64) * m) for m in (common.MIX_B, common.MIX_A)]
+_BASES = (int(common.GOLDEN), 0xD6E8FEB86659FD93)
 NO_ID = np.iinfo(np.int64).max
 
 
+def rolling_hash(raw: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+    """Polynomial hash of every ``length`` bytes, from hashes of powers of two."""
+    power = lambda n: np.uint64(pow(_BASES[which], n, 1 << 64))
+    part, size, done, held, left = _TABLES[which][raw], 1, None, 0, length
+    while left:
+        if left & size:
+            if done is None:
+                done, held = part.copy(), size
+            else:
+                n = min(len(done), len(part) - held)
+                done = done[:n] * power(size) + part[held : held + n]
+                held += size
+            left -= size
+        if left:
+            part = part[:-size] * power(size) + part[size:]
+            size *= 2
+    return common.mix64(done)
+
+
 def stretches(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of windows with one least gram hash: first window, number of windows, hash, and whether windows inside may be equal."""
     grams = min(GRAM, length)
@@ -30,22 +54,7 @@ def stretches(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     for at in range(0, max(len(raw) - length + 1, 0), SLICE):
         stop = min(at + SLICE, len(raw) - length + 1)
         part = raw[at : stop + length - 1]
-        gram, size = _TABLE[part], 1
-        done = None
-        left = grams
-        while left:  # hashes of `grams` bytes from hashes of powers of two
-            if left & size:
-                if done is None:
-                    done, held = gram.copy(), size
-                else:
-                    n = min(len(done), len(gram) - held)
-                    done = done[:n] * _power(size) + gram[held : held + n]
-                    held += size
-                left -= size
-            if left:
-                gram = gram[:-size] * _power(size) + gram[size:]
-                size *= 2
-        gram = common.mix64(done)
+        gram = rolling_hash(part, grams)
         least, size = gram, 1
         while 2 * size <= span:
             least = np.minimum(least[:-size], least[size:])
@@ -71,10 +80,6 @@ def stretches(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.uint64, bool), strict=True))
 
 
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(int(common.GOLDEN), n, 1 << 64))
-
-
 # --- induced sorting -------------------------------------------------------------------------
 
 
@@ -278,7 +283,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
         order = np.argsort(value)
         value, twice = value[order], twice[order]
         at = common.runs(value)
-        multiple = (np.diff(np.append(at, len(value))) > 1) | (np.add.reduceat(twice, at) > 0 if len(at) else np.zeros(0, bool))
+        count = np.diff(np.append(at, len(value))).astype(np.uint32)
+        if len(at):  # a stretch that may repeat inside itself counts twice
+            count += np.add.reduceat(twice, at) > 0
         value = value[at]
         bucket = ((value >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         cut = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
@@ -288,34 +295,33 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
                 "bucket": pa.array(some, pa.int64()),
                 "chunk": pa.array([key[0].as_py()] * len(some), pa.int64()),
                 "value": pa.array([value[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
-                "multiple": pa.array([np.packbits(multiple[cut[b] : cut[b + 1]]).tobytes() for b in some], pa.binary()),
+                "count": pa.array([count[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
             }
         )
 
     def repeated(key, table):
         values = [np.frombuffer(v, np.uint64) for v in table.column("value").to_pylist()]
-        flags = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[: len(v)].astype(bool) for v, m in zip(values, table.column("multiple").to_pylist(), strict=True)])
+        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in table.column("count").to_pylist()]).astype(np.int64)
         flat = np.concatenate(values)
         order = np.argsort(flat)
         at = common.runs(flat[order])
-        n = np.diff(np.append(at, len(flat)))
-        keep = np.empty(len(flat), bool)
-        keep[order] = np.repeat((n > 1) | (np.add.reduceat(flags[order], at) > 0), n)
+        total = np.empty(len(flat), np.int64)
+        total[order] = np.repeat(np.add.reduceat(counts[order], at), np.diff(np.append(at, len(flat))))
         ends = np.append(0, np.cumsum([len(v) for v in values]))
-        return pa.table({"__chunk": table.column("chunk"), "value": pa.array([v[keep[a:b]].tobytes() for v, a, b in zip(values, ends[:-1], ends[1:], strict=True)], pa.binary())})
+        cut = lambda x, keep: pa.array([x[a:b][keep[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        return pa.table({"__chunk": table.column("chunk"), "value": cut(flat, (total > 1) & (total <= HOT_STRETCHES)), "hot": cut(flat, total > HOT_STRETCHES)})
 
     def send(key, left, right):
         chunk = key[0].as_py()
         rows = []
         if left.num_rows and right.num_rows:
             _, raw, offsets, ids, nth = _chunk_rows(left, id_of, "__text")
-            wanted = np.sort(np.frombuffer(b"".join(right.column("value").to_pylist()), np.uint64))
             start, count, value, _ = stretches(raw, offsets, length)
-            if len(wanted):
-                hit = wanted[np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)] == value
-                start, count, value = start[hit], count[hit], value[hit]
-            else:
-                start, count, value = start[:0], count[:0], value[:0]
+            wanted, hot = (np.frombuffer(b"".join(right.column(c).to_pylist()), np.uint64) for c in ("value", "hot"))
+            known = np.sort(np.concatenate([wanted, hot]))
+            hit = np.isin(value, known, assume_unique=False, kind="sort") if len(known) else np.zeros(len(value), bool)
+            start, count, value = start[hit], count[hit], value[hit]
+            hot = np.isin(value, hot)
             row = np.searchsorted(offsets, start, "right") - 1
             end = start + count + length - 1
             held = raw.tobytes()
@@ -325,11 +331,25 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
             at_doc = start - offsets[row]
             shard = (value >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
             shard[~fresh] = (1 << bits) + chunk % (1 << bits)  # known here to be later copies: only passed on
-            order = np.lexsort((np.arange(len(shard)), shard))
+            plain = np.flatnonzero(~fresh | ~hot)
+            order = plain[np.argsort(shard[plain], kind="stable")]
             for a, b in common.run_spans(shard[order]):
                 o = order[a:b]
-                new = bool(fresh[o[0]])
-                rows.append((int(shard[o[0]]), chunk, ids[row[o]].tobytes(), nth[row[o]].astype(np.int32).tobytes(), at_doc[o].tobytes(), (end - start)[o].tobytes(), b"".join([bodies[i] for i in o]) if new else b""))
+                body = b"".join([bodies[i] for i in o]) if fresh[o[0]] else b""
+                rows.append((int(shard[o[0]]), chunk, ids[row[o]].tobytes(), nth[row[o]].astype(np.int32).tobytes(), at_doc[o].tobytes(), (end - start)[o].tobytes(), body))
+            o = np.flatnonzero(fresh & hot)
+            if len(o):  # one row a window: its two hashes, and where it starts
+                size = (end - start)[o]
+                joined = np.frombuffer(b"".join([bodies[i] for i in o]), np.uint8)
+                window = common.ragged_arange(np.cumsum(size) - size, count[o])
+                first_hash, second_hash = rolling_hash(joined, length)[window], rolling_hash(joined, length, 1)[window]
+                of = np.repeat(o, count[o])
+                place = at_doc[of] + common.ragged_arange(np.zeros(len(o), np.int64), count[o])
+                shard = (2 << bits) + (first_hash >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                for a, b in common.run_spans(shard[order]):
+                    i = order[a:b]
+                    rows.append((int(shard[i[0]]), chunk, ids[row[of[i]]].tobytes(), nth[row[of[i]]].astype(np.int32).tobytes(), place[i].tobytes(), np.full(len(i), length).tobytes(), np.stack([first_hash[i], second_hash[i]], axis=1).tobytes()))
         columns = list(zip(*rows, strict=True)) or [[]] * 7
         return pa.table({c: pa.array(v, pa.int64() if c in ("shard", "chunk") else pa.binary()) for c, v in zip(("shard", "chunk", "ids", "nth", "start", "size", "bytes"), columns, strict=True)})
 
@@ -337,7 +357,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
         columns = {c: table.column(c).to_pylist() for c in table.column_names}
         ids, nth, start, size = (np.concatenate([np.frombuffer(x, t) for x in columns[c]]) for c, t in (("ids", np.int64), ("nth", np.int32), ("start", np.int64), ("size", np.int64)))
         chunk = np.repeat(columns["chunk"], [len(x) // 8 for x in columns["ids"]])
-        if key[0].as_py() >= 1 << bits:
+        if key[0].as_py() >= 2 << bits:
+            window = np.frombuffer(b"".join(columns["bytes"]), np.uint64).reshape(-1, 2)
+            order = np.lexsort((start, nth, ids, window[:, 1], window[:, 0]))
+            again = np.append(False, (window[order][1:] == window[order][:-1]).all(axis=1))
+            which = order[again]  # all but the earliest of equal windows
+            which = which[np.lexsort((start[which], nth[which], ids[which]))]
+            found = which, start[which], start[which] + size[which]
+        elif key[0].as_py() >= 1 << bits:
             found = np.arange(len(ids)), start, start + size
         else:
             flat = b"".join(columns["bytes"])
@@ -394,8 +421,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
         return pa.table({"__text": table.column("__text"), **{n: table.column(n) for n in names}, "removed_spans": spans.cast(spans_type), rest: kept})
 
     by_chunk = dealt.groupBy(chunk_of)
-    grams = by_chunk.applyInArrow(scan, "bucket long, chunk long, value binary, multiple binary")
-    wanted = grams.groupBy("bucket").applyInArrow(repeated, "__chunk long, value binary")
+    grams = by_chunk.applyInArrow(scan, "bucket long, chunk long, value binary, count binary")
+    wanted = grams.groupBy("bucket").applyInArrow(repeated, "__chunk long, value binary, hot binary")
     regions = by_chunk.cogroup(wanted.groupBy("__chunk")).applyInArrow(send, "shard long, chunk long, ids binary, nth binary, start binary, size binary, bytes binary")
     later = regions.groupBy("shard").applyInArrow(sort_shard, "__chunk long, ids binary, nth binary, begin binary, end binary")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
