@@ -93,10 +93,9 @@ def compare_runs(totals: DataFrame, stats: DataFrame, names: DataFrame) -> DataF
 
 def share_matrix(stats: DataFrame, names: DataFrame, top: int = 15) -> DataFrame:
     """``(name, run_id, share, total)`` of the ``top`` names that cost most over all runs; a missing cell has no row."""
-    exact = lambda c: F.sum(F.round(c, 6).cast("decimal(28,6)")).cast("double")
     renamed = names.select(F.col("process").alias("_p"), "name")
-    shares = pricing.with_share(stats).join(renamed, stats["process"] == F.col("_p")).groupBy("name", "run_id").agg(F.sum(F.round("share", 12).cast("decimal(28,12)")).cast("double").alias("share"), exact("cost").alias("cost"))
-    totals = shares.groupBy("name").agg(exact("cost").alias("total")).orderBy(F.desc("total"), "name").limit(top).select(F.col("name").alias("_n"), "total")
+    shares = pricing.with_share(stats).join(renamed, stats["process"] == F.col("_p")).groupBy("name", "run_id").agg(pricing.fixed_sum(F.col("share"), digits=12).alias("share"), pricing.fixed_sum(F.col("cost")).alias("cost"))
+    totals = shares.groupBy("name").agg(pricing.fixed_sum(F.col("cost")).alias("total")).orderBy(F.desc("total"), "name").limit(top).select(F.col("name").alias("_n"), "total")
     return shares.join(F.broadcast(totals), shares["name"] == F.col("_n")).select("name", "run_id", "share", "total")
 
 

@@ -40,10 +40,9 @@ def share_history(stats: DataFrame) -> DataFrame:
 
 def release_delta(stats: DataFrame, names: DataFrame, before: str, after: str) -> DataFrame:
     """Cost and hours of each name in two runs, and the change; a name in one run only has null on the other side."""
-    exact = lambda c, a: F.sum(F.round(c, 6).cast("decimal(28,6)")).cast("double").alias(a)
     renamed = names.select(F.col("process").alias("_p"), "name")
     named = stats.join(renamed, stats["process"] == F.col("_p"))
-    side = lambda run, x: named.where(F.col("run_id") == run).groupBy(F.col("name").alias(f"name_{x}")).agg(exact("cost", f"cost_{x}"), exact("realtime_h", f"hours_{x}"))
+    side = lambda run, x: named.where(F.col("run_id") == run).groupBy(F.col("name").alias(f"name_{x}")).agg(pricing.fixed_sum(F.col("cost")).alias(f"cost_{x}"), pricing.fixed_sum(F.col("realtime_h")).alias(f"hours_{x}"))
     joined = side(before, "before").join(side(after, "after"), F.col("name_before") == F.col("name_after"), "full")
     change = F.coalesce("cost_after", F.lit(0.0)) - F.coalesce("cost_before", F.lit(0.0))
     return joined.select(F.coalesce("name_before", "name_after").alias("name"), "cost_before", "cost_after", "hours_before", "hours_after", change.alias("change"))

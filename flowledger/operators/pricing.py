@@ -78,6 +78,13 @@ def price_tasks(tasks: DataFrame) -> DataFrame:
     )
 
 
+def fixed_sum(x: Column, window=None, digits: int = 6) -> Column:
+    """Sum of doubles rounded to ``digits`` places first, so that it doesn't depend on the order of rows."""
+    scale = 10.0**digits
+    total = F.sum(F.floor(x * scale + 0.5))
+    return (total if window is None else total.over(window)).cast("double") / scale
+
+
 def _hours(c: Column, per: float) -> Column:
     return F.coalesce(F.sum(c).cast("double"), F.lit(0.0)) / per
 
@@ -174,8 +181,7 @@ def run_totals(processes: DataFrame, priced: DataFrame, r: Rates) -> DataFrame:
         *[c.alias(n) for c, n in zip(_amounts(cached), ("cached_cpu_h", "cached_gib_h"), strict=True)],
     )
     totals = totals.withColumns({"total_cost": _cost("priced_cpu_h", "priced_gib_h", r), "failed_cost": _cost("failed_cpu_h", "failed_gib_h", r), "cached_cost": _cost("cached_cpu_h", "cached_gib_h", r)})
-    # Rounded before summing, so that the order of processes can't show in the last digits.
-    waste = processes.groupBy(F.col("run_id").alias("_run")).agg(F.sum(F.round(F.coalesce("waste", F.lit(0.0)), 6).cast("decimal(28,6)")).cast("double").alias("total_waste"), F.count("*").alias("processes"))
+    waste = processes.groupBy(F.col("run_id").alias("_run")).agg(fixed_sum(F.coalesce("waste", F.lit(0.0))).alias("total_waste"), F.count("*").alias("processes"))
     metered = F.col("cpu_h_req_metered") * r.cpu_hour + F.col("gib_h_req_metered") * r.gib_hour
     joined = totals.join(waste, totals["run_id"] == waste["_run"]).drop("_run").withColumn("metered_cost", metered)
     return joined.withColumn("unused_share", F.when(F.col("metered_cost") > 0, F.col("total_waste") / F.col("metered_cost")))
@@ -189,14 +195,13 @@ def reprice(totals: DataFrame, table: DataFrame) -> DataFrame:
 
 def with_share(df: DataFrame, cost: str = "cost") -> DataFrame:
     """``share``: the row's part of its run's cost, 0 where a run costs nothing."""
-    total = F.sum(F.round(cost, 6).cast("decimal(28,6)")).over(Window.partitionBy("run_id")).cast("double")
+    total = fixed_sum(F.col(cost), Window.partitionBy("run_id"))
     return df.withColumn("share", F.when(total > 0, F.col(cost) / total).otherwise(F.lit(0.0)))
 
 
 def tagged_share(tags: DataFrame) -> DataFrame:
     """``(run_id, tagged_share)``: the part of each run's cost on tagged tasks (null if it costs nothing)."""
-    exact = lambda c: F.sum(F.round(c, 6).cast("decimal(28,6)")).cast("double")
-    sums = tags.groupBy("run_id").agg(F.coalesce(exact(F.when(F.col("tag").isNotNull(), F.col("cost"))), F.lit(0.0)).alias("tagged"), exact(F.col("cost")).alias("total"))
+    sums = tags.groupBy("run_id").agg(F.coalesce(fixed_sum(F.when(F.col("tag").isNotNull(), F.col("cost"))), F.lit(0.0)).alias("tagged"), fixed_sum(F.col("cost")).alias("total"))
     return sums.select("run_id", F.when(F.col("total") > 0, F.col("tagged") / F.col("total")).alias("tagged_share"))
 
 

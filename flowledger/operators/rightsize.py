@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import units
-from .pricing import Rates
+from .pricing import Rates, fixed_sum
 
 
 def _now(base: str, most: str):
@@ -60,7 +60,7 @@ def not_sized(stats: DataFrame) -> DataFrame:
 
 def total_saving(recs: DataFrame, totals: DataFrame) -> DataFrame:
     """``(run_id, saving, saving_share)`` of every run; the share is null if a run costs nothing."""
-    sums = recs.groupBy(F.col("run_id").alias("_run")).agg(F.sum(F.round("saving", 6).cast("decimal(28,6)")).cast("double").alias("saving"))
+    sums = recs.groupBy(F.col("run_id").alias("_run")).agg(fixed_sum(F.col("saving")).alias("saving"))
     joined = totals.join(sums, totals["run_id"] == sums["_run"], "left")
     saving = F.coalesce("saving", F.lit(0.0))
     return joined.select("run_id", saving.alias("saving"), F.when(F.col("total_cost") > 0, saving / F.col("total_cost")).alias("saving_share"))

@@ -31,7 +31,7 @@ def _max(x: str, where: str, per: str) -> str:
 
 def _dec(x: str) -> str:
     """A sum of doubles rounded to millionths first."""
-    return f"CAST(sum(CAST(round({x}, 6) AS DECIMAL(28, 6))) AS DOUBLE)"
+    return f"(CAST(sum(CAST(floor({x} * 1000000.0 + 0.5) AS BIGINT)) AS DOUBLE) / 1000000.0)"
 
 
 _BASE = f"""
@@ -52,7 +52,7 @@ ps0 AS (SELECT run_id, process, count(*) AS tasks, count(*) FILTER (NOT ok) AS f
 ps AS MATERIALIZED (SELECT *, priced_cpu_h * {_RC} + priced_gib_h * {_RM} AS cost, failed_cpu_h * {_RC} + failed_gib_h * {_RM} AS failed_cost,
   CASE WHEN cpu_h_req_metered > 0 THEN cpu_h_used / cpu_h_req_metered END AS cpu_efficiency, CASE WHEN gib_h_req_metered > 0 THEN gib_h_used / gib_h_req_metered END AS mem_efficiency, {_WASTE} AS waste FROM ps0),
 sh AS MATERIALIZED (SELECT *, CASE WHEN tot > 0 THEN cost / tot ELSE 0.0 END AS share, row_number() OVER (PARTITION BY run_id ORDER BY cost DESC, process) AS rank
-  FROM (SELECT *, CAST(sum(CAST(round(cost, 6) AS DECIMAL(28, 6))) OVER (PARTITION BY run_id) AS DOUBLE) AS tot FROM ps)),
+  FROM (SELECT *, CAST(sum(CAST(floor(cost * 1000000.0 + 0.5) AS BIGINT)) OVER (PARTITION BY run_id) AS DOUBLE) / 1000000.0 AS tot FROM ps)),
 ts AS MATERIALIZED (SELECT *, priced_cpu_h * {_RC} + priced_gib_h * {_RM} AS cost, failed_cpu_h * {_RC} + failed_gib_h * {_RM} AS failed_cost, {_WASTE} AS waste
   FROM (SELECT run_id, tag, count(*) AS tasks, count(DISTINCT process) AS processes, {_USAGE} FROM p GROUP BY run_id, tag)),
 rt0 AS (SELECT run_id, count(*) AS tasks, count(*) FILTER (NOT ok) AS failed_tasks, count(*) FILTER (status = 'CACHED') AS cached_tasks, count(*) FILTER (NOT ({_BOTH})) AS tasks_without_requests,
@@ -133,8 +133,8 @@ BODIES: dict[str, str] = {
       FROM (SELECT rn.*, CASE WHEN k % 3 = 0 THEN 'rsem' WHEN small THEN 'small' WHEN std THEN 'salmon' END AS route FROM rn JOIN (SELECT run_id, bool_or(process LIKE '%SMALL\\_ALIGN' ESCAPE '\\') AS small, bool_or(process LIKE '%STANDARD\\_ALIGN' ESCAPE '\\') AS std FROM t GROUP BY run_id) x ON rn.run_id = x.run_id)""",
     "start_dates": "SELECT DISTINCT order_date, order_date AS start_date FROM lens",
     "compare_runs": "SELECT rt.run_id, rt.tasks, cached_tasks, rt.failed_tasks, rt.cpu_h_requested, rt.gib_h_requested, total_cost, rt.tasks - tasks_without_metrics AS metered_tasks, unused_share, mn.name AS top_process, sh.share AS top_share FROM rt JOIN sh ON sh.run_id = rt.run_id AND sh.rank = 1 JOIN mn ON mn.process = sh.process",
-    "share_matrix_long": f"SELECT m.name, run_id, share, total FROM (SELECT name, run_id, CAST(sum(CAST(round(share, 12) AS DECIMAL(28, 12))) AS DOUBLE) AS share, {_dec('cost')} AS cost FROM sh JOIN mn USING (process) GROUP BY name, run_id) m JOIN (SELECT name, {_dec('c')} AS total FROM (SELECT name, run_id, {_dec('cost')} AS c FROM sh JOIN mn USING (process) GROUP BY name, run_id) GROUP BY name ORDER BY total DESC, name LIMIT 15) n ON m.name = n.name",
-    "share_matrix_pivot": f"SELECT m.name, {', '.join(f'max(share) FILTER (run_id = ' + chr(39) + f'run{i}' + chr(39) + f') AS run{i}' for i in range(7))} FROM (SELECT name, run_id, CAST(sum(CAST(round(share, 12) AS DECIMAL(28, 12))) AS DOUBLE) AS share FROM sh JOIN mn USING (process) GROUP BY name, run_id) m JOIN (SELECT name, {_dec('c')} AS total FROM (SELECT name, run_id, {_dec('cost')} AS c FROM sh JOIN mn USING (process) GROUP BY name, run_id) GROUP BY name ORDER BY total DESC, name LIMIT 15) n ON m.name = n.name GROUP BY m.name",
+    "share_matrix_long": f"SELECT m.name, run_id, share, total FROM (SELECT name, run_id, CAST(sum(CAST(floor(share * 1000000000000.0 + 0.5) AS BIGINT)) AS DOUBLE) / 1000000000000.0 AS share, {_dec('cost')} AS cost FROM sh JOIN mn USING (process) GROUP BY name, run_id) m JOIN (SELECT name, {_dec('c')} AS total FROM (SELECT name, run_id, {_dec('cost')} AS c FROM sh JOIN mn USING (process) GROUP BY name, run_id) GROUP BY name ORDER BY total DESC, name LIMIT 15) n ON m.name = n.name",
+    "share_matrix_pivot": f"SELECT m.name, {', '.join(f'max(share) FILTER (run_id = ' + chr(39) + f'run{i}' + chr(39) + f') AS run{i}' for i in range(7))} FROM (SELECT name, run_id, CAST(sum(CAST(floor(share * 1000000000000.0 + 0.5) AS BIGINT)) AS DOUBLE) / 1000000000000.0 AS share FROM sh JOIN mn USING (process) GROUP BY name, run_id) m JOIN (SELECT name, {_dec('c')} AS total FROM (SELECT name, run_id, {_dec('cost')} AS c FROM sh JOIN mn USING (process) GROUP BY name, run_id) GROUP BY name ORDER BY total DESC, name LIMIT 15) n ON m.name = n.name GROUP BY m.name",
     "top_processes": "SELECT run_id, CAST(rank AS INT) AS rank, process, cost FROM sh WHERE rank <= 25",
     "report_totals": "SELECT run_id, metric, value FROM (UNPIVOT (SELECT run_id, " + ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in ("tasks", "failed_tasks", "cached_tasks", "total_cost", "total_waste", "failed_cost", "cpu_h_requested", "cpu_h_used", "gib_h_requested", "gib_h_used")) + " FROM rt) ON COLUMNS(* EXCLUDE run_id) INTO NAME metric VALUE value)",
     "inspect_runs": f"SELECT {_FILE} AS path, 'trace' AS kind, count(*) AS tasks, CAST(0 AS BIGINT) AS with_requests, count(*) FILTER (pct_cpu_units IS NOT NULL OR peak_rss_kib IS NOT NULL) AS with_metrics, '%cpu,exit,hash,name,peak_rss,realtime,status' AS columns, concat_ws('; ', CASE WHEN count(*) FILTER (pct_cpu_units IS NOT NULL OR peak_rss_kib IS NOT NULL) = 0 THEN 'no usage metrics: priced but not right-sized' END, 'no cpus or memory columns') AS notes FROM lens GROUP BY 1",
