@@ -95,6 +95,8 @@ def _grams(raw: np.ndarray, length: int) -> np.ndarray:
 def fit_texts(samples: dict[str, list[bytes]], order: int = ORDER) -> Model:
     """Fit from texts of each language: method C escapes (a context with t distinct symbols in n escapes with t / (n + t))."""
     languages = sorted(samples)
+    if not languages:
+        return Model([], [], [], [], [])
     counted: list[list[tuple[np.ndarray, np.ndarray]]] = []
     for name in languages:
         by_order = []

@@ -1,0 +1,33 @@
+import duckdb
+import pytest
+
+from flowledger.llm import queries
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    got = queries.queries()[name](spark, DATA).toArrow()
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name]).to_arrow_table()
+    columns = sorted(got.column_names)
+    rows = lambda t: sorted(map(repr, zip(*[t.column(c).to_pylist() for c in columns], strict=True)))
+    assert columns == sorted(want.column_names) and rows(got) == rows(want)
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    assert {p.doc_id for p in pieces} == set(kept) and 0.5 * before < len(kept) <= before
+    assert corpus_pipeline.run(spark, DATA).count() == len(pieces)
