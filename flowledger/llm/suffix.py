@@ -75,7 +75,8 @@ def stretches(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
         count = np.diff(np.append(start, len(window)))
         # The least gram leaves the window and stays the least: the stretch holds it twice.
         twice = np.append((gram[window[:-1]] == value[:-1]) & ~new[1:], False)
-        for held, x in zip(out, (window[start] + at, count, value[start], np.add.reduceat(twice, start) > 0), strict=True):
+        # Least values crowd near 0: mixed again, they deal evenly.
+        for held, x in zip(out, (window[start] + at, count, common.mix64(value[start] + common.GOLDEN), np.add.reduceat(twice, start) > 0), strict=True):
             held.append(x)
     return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.uint64, bool), strict=True))
 
