@@ -1,6 +1,7 @@
 """Pricing of tasks, and statistics by process, tag and run.
 
-Products of whole units are summed as decimals and divided once, so results don't depend on the order of rows.
+Products of whole units are summed exactly and divided once, so results don't depend on the order of rows. A task's
+product must fit 63 bits (a terabyte for over 200 days).
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def price_tasks(tasks: DataFrame) -> DataFrame:
     ``mem_metered`` (null unless a task has both request and metric), ``ok`` and ``killed``.
     """
     ms = F.coalesce("realtime_ms", F.lit(0))
-    times = lambda c: F.col(c).cast("decimal(18,0)") * ms.cast("decimal(18,0)")
+    times = lambda c: F.col(c) * ms
     out = tasks.withColumns(
         {"ms": ms, "ok": units.succeeded(F.col("status")), "killed": is_killed(), "cpu_requested": times("cpus_units"), "mem_requested": times("memory_kib"), "cpu_at_use": times("pct_cpu_units"), "mem_at_use": times("peak_rss_kib")}
     )
@@ -86,7 +87,10 @@ def fixed_sum(x: Column, window=None, digits: int = 6) -> Column:
 
 
 def _hours(c: Column, per: float) -> Column:
-    return F.coalesce(F.sum(c).cast("double"), F.lit(0.0)) / per
+    """Exact sum of long products over ``per``: high and low bits are summed apart, so neither overflows, and joined once."""
+    high, low = F.sum(F.shiftright(c, 30)), F.sum(c.bitwiseAND(F.lit((1 << 30) - 1)))
+    total = high.cast("decimal(20,0)") * F.lit(1 << 30).cast("decimal(10,0)") + low.cast("decimal(20,0)")
+    return F.coalesce(total.cast("double"), F.lit(0.0)) / per
 
 
 def _amounts(where: Column | None = None) -> tuple[Column, Column]:
