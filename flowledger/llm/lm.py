@@ -28,6 +28,8 @@ BEGIN, END = np.uint64(1), np.uint64(2)
 HOT_SHARE = 1 / 500
 #: Text bytes handled at a time inside a task, and text bytes for each shard of the model.
 SLICE_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
+#: Model files that a worker keeps mapped at once.
+MAPPED_FILES = 300
 #: Columns of a word's row in the model.
 COUNT, AFTER, ONE, TWO, MORE, BEFORE = range(6)
 
@@ -259,12 +261,14 @@ _OPENED: dict[str, dict[str, np.ndarray | None]] = {}
 
 
 def _array(model: Model, name: str) -> np.ndarray | None:
-    """A model file of this worker, mapped once; None if no bigram or word fell into that shard."""
+    """A model file mapped by this worker, the latest ones kept; None if no bigram or word fell into that shard."""
     if model.folder not in _OPENED:
         _OPENED.clear()
         _OPENED[model.folder] = {}
     held = _OPENED[model.folder]
     if name not in held:
+        if len(held) >= MAPPED_FILES:
+            held.pop(next(iter(held)))
         try:
             held[name] = _mapped(model.folder, name)
         except FileNotFoundError:
