@@ -8,8 +8,9 @@ files and looks every event up by binary search.
 
 from __future__ import annotations
 
-import io
+import mmap
 import os
+import sys
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -29,7 +30,7 @@ HOT_SHARE = 1 / 500
 #: Text bytes handled at a time inside a task, and text bytes for each shard of the model.
 SLICE_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
 #: Model files that a worker keeps mapped at once.
-MAPPED_FILES = 300
+MAPPED_FILES = 20_000
 #: Columns of a word's row in the model.
 COUNT, AFTER, ONE, TWO, MORE, BEFORE = range(6)
 
@@ -90,39 +91,68 @@ def _word_shards(words: np.ndarray, bits: int) -> np.ndarray:
     return (words >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
 
 
-def _save(folder: str, name: str, values: np.ndarray) -> None:
-    """Write an array under its final name at once, so that a repeated task leaves the same file."""
+def _save(folder: str, name: str, *arrays: np.ndarray) -> None:
+    """Write arrays to one file, under its final name at once, so that a repeated task leaves the same file.
+
+    The file holds the number of arrays, then of each its type, rows and columns, then their bytes, all in eights.
+    """
+    head = [len(arrays)]
+    for x in arrays:
+        head += [ord(x.dtype.kind) << 8 | x.dtype.itemsize, x.shape[0], x.shape[1] if x.ndim > 1 else 0]
+    parts = [np.array(head, np.int64).tobytes()]
+    for x in arrays:
+        body = np.ascontiguousarray(x).tobytes()
+        parts.append(body + bytes(-len(body) % 8))
     part = f"{name}.{uuid.uuid4().hex}.part"
     url = urlparse(folder)
     if url.scheme in ("", "file"):
         os.makedirs(url.path, exist_ok=True)
-        np.save(f"{url.path}/{part}", values)
-        os.replace(f"{url.path}/{part}.npy", f"{url.path}/{name}.npy")
+        with open(f"{url.path}/{part}", "wb") as out:
+            out.writelines(parts)
+        os.replace(f"{url.path}/{part}", f"{url.path}/{name}")
         return
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
-    held = io.BytesIO()
-    np.save(held, values)
     with store.open_output_stream(f"{path}/{part}") as out:
-        out.write(held.getbuffer())
-    store.move(f"{path}/{part}", f"{path}/{name}.npy")
+        for body in parts:
+            out.write(body)
+    store.move(f"{path}/{part}", f"{path}/{name}")
+
+
+def _map(file) -> mmap.mmap:
+    """Map an open file; the map keeps no descriptor where Python can do without."""
+    if sys.version_info >= (3, 13):
+        return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+    return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
 
 
-def _mapped(folder: str, name: str) -> np.ndarray:
-    """Memory-map an array; from a store without local paths, by an unlinked local copy."""
+def _mapped(folder: str, name: str) -> list[np.ndarray]:
+    """Memory-map a file's arrays; from a store without local paths, by an unlinked local copy."""
     url = urlparse(folder)
     if url.scheme in ("", "file"):
-        return np.load(f"{url.path}/{name}.npy", mmap_mode="r")
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    with store.open_input_stream(f"{path}/{name}.npy") as source, tempfile.NamedTemporaryFile(suffix=".npy") as copy:
-        while block := source.read(1 << 22):
-            copy.write(block)
-        copy.flush()
-        return np.load(copy.name, mmap_mode="r")
+        with open(f"{url.path}/{name}", "rb") as file:
+            held = _map(file)
+    else:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        with store.open_input_stream(f"{path}/{name}") as source, tempfile.TemporaryFile() as copy:
+            while block := source.read(1 << 22):
+                copy.write(block)
+            copy.flush()
+            held = _map(copy)
+    n = int(np.frombuffer(held, np.int64, 1)[0])
+    head = np.frombuffer(held, np.int64, 3 * n, 8).reshape(n, 3).tolist()
+    at, out = 8 + 24 * n, []
+    for kind, rows, columns in head:
+        dtype = np.dtype(f"{chr(kind >> 8)}{kind & 255}")
+        size = rows * max(columns, 1)
+        own = np.frombuffer(held, dtype, size, at)
+        out.append(own.reshape(rows, columns) if columns else own)
+        at += -(-size * dtype.itemsize // 8) * 8
+    return out
 
 
 def frequent_words(train: DataFrame, text: str) -> tuple[int, ...]:
@@ -192,9 +222,7 @@ def fit(train: DataFrame, text: str = "text") -> Model:
         keys, history, word = keys[first], history[first], word[first]
         name = f"bigrams-{key[0].as_py():06d}"
         large = n > 254
-        _save(folder, name, keys)
-        _save(folder, f"{name}-n", np.where(large, 255, n).astype(np.uint8))
-        _save(folder, f"{name}-large", np.stack([keys[large], n[large].astype(np.uint64)]))
+        _save(folder, name, keys, np.where(large, 255, n).astype(np.uint8), keys[large], n[large])
         # What smoothing needs of each word, as history and as word.
         order = np.argsort(history)
         h, m = history[order], n[order]
@@ -240,8 +268,7 @@ def fit(train: DataFrame, text: str = "text") -> Model:
                 np.concatenate([np.frombuffer(x, np.uint64) for x in held]),
                 np.concatenate([np.frombuffer(s, np.int64 if x else np.uint32).reshape(6, -1).astype(np.int64) for s, x in zip(stats, wide, strict=True)], axis=1),
             )
-            _save(folder, f"words-{part:06d}", found)
-            _save(folder, f"words-{part:06d}-stats", np.ascontiguousarray((rows.astype(np.uint32) if rows.max(initial=0) < 2**32 else rows).T))
+            _save(folder, f"words-{part:06d}", found, (rows.astype(np.uint32) if rows.max(initial=0) < 2**32 else rows).T)
             seen = rows[BEFORE]
             totals[5:] = [rows[COUNT].sum(), (rows[COUNT] > 0).sum(), *[(seen == k).sum() for k in (1, 2, 3, 4)], (seen > 2).sum(), seen.sum()]
         return pa.table({f"t{i}": pa.array([int(x)]) for i, x in enumerate(totals)})
@@ -257,10 +284,10 @@ def fit(train: DataFrame, text: str = "text") -> Model:
     return Model(folder, bits, hot, t[5], t[6], _discounts(*t[:4]), low, types, gamma if t[12] else 1.0)
 
 
-_OPENED: dict[str, dict[str, np.ndarray | None]] = {}
+_OPENED: dict[str, dict[str, list[np.ndarray] | None]] = {}
 
 
-def _array(model: Model, name: str) -> np.ndarray | None:
+def _arrays(model: Model, name: str) -> list[np.ndarray] | None:
     """A model file mapped by this worker, the latest ones kept; None if no bigram or word fell into that shard."""
     if model.folder not in _OPENED:
         _OPENED.clear()
@@ -296,10 +323,10 @@ def word_rows(model: Model, asked: np.ndarray) -> np.ndarray:
     out = np.zeros((len(asked), 6), np.int64)
     part = _word_shards(asked, model.bits)
     for a, b in common.run_spans(part):
-        keys = _array(model, f"words-{part[a]:06d}")
-        if keys is not None and len(keys):
-            at, ok = _found(keys, asked[a:b])
-            out[a:b][ok] = _array(model, f"words-{part[a]:06d}-stats")[at[ok]]
+        held = _arrays(model, f"words-{part[a]:06d}")
+        if held is not None:
+            at, ok = _found(held[0], asked[a:b])
+            out[a:b][ok] = held[1][at[ok]]
     return out
 
 
@@ -307,16 +334,14 @@ def bigram_counts(model: Model, shard: np.ndarray, keys: np.ndarray) -> np.ndarr
     """Counts of bigrams ordered by shard and key, 0 where one wasn't seen."""
     out = np.zeros(len(keys), np.int64)
     for a, b in common.run_spans(shard):
-        name = f"bigrams-{shard[a]:06d}"
-        held = _array(model, name)
-        if held is None or not len(held):
+        held = _arrays(model, f"bigrams-{shard[a]:06d}")
+        if held is None:
             continue
-        at, ok = _found(held, keys[a:b])
-        n = np.where(ok, _array(model, f"{name}-n")[at], 0).astype(np.int64)
+        at, ok = _found(held[0], keys[a:b])
+        n = np.where(ok, held[1][at], 0).astype(np.int64)
         large = np.flatnonzero(n == 255)
         if len(large):
-            over = _array(model, f"{name}-large")
-            n[large] = over[1][np.searchsorted(over[0], keys[a:b][large])]
+            n[large] = held[3][np.searchsorted(held[2], keys[a:b][large])]
         out[a:b] = n
     return out
 
