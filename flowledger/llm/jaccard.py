@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Text bytes handled at a time, and text bytes for each bucket of shingles.
-SLICE_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+SLICE_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: A shingle in this many different sets of one slice is dealt apart from its bucket.
 HOT_IN_SLICE, SALTS = 64, 64
 #: Sets of a join cell; clusters beyond it are cut into blocks, and each pair of blocks is a cell.

@@ -251,8 +251,8 @@ def annotate(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         own = shared.value
         for batch in batches:
             raw, offsets = common.text_buffer(batch.column(at))
-            letters = np.array([has_letter(t) for t in batch.column(at).to_pylist()], bool)
-            n = len(letters)
+            n = batch.num_rows
+            letters = np.array([has_letter(t) for i in range(0, n, 256) for t in batch.column(at).slice(i, 256).to_pylist()], bool)
             if not own.languages:
                 letters[:] = False
                 best, score, rate = np.zeros(n, int), np.zeros(n), np.zeros(n)
