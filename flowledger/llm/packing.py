@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,50 +11,81 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-#: BM25 saturation and length normalisation; rarest terms that a query is made of; neighbours fetched at once.
-K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 32, 64
+#: BM25 saturation and length normalisation; neighbours fetched at once.
+K1, B, NEIGHBOURS = 1.2, 0.75, 64
+#: Terms of more of a shard's items than one in so many are kept as a full row of weights.
+DENSE = 8
+
+
+def _postings(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(item, term, count)`` of every distinct term of each item, by item and term."""
+    sizes = np.array([len(i) for i in items], np.int64)
+    keys = (np.repeat(np.arange(len(items), dtype=np.uint64), sizes) << np.uint64(32)) | np.concatenate([*items, np.zeros(0, np.uint32)]).astype(np.uint64)
+    keys.sort()
+    first = common.runs(keys)
+    count = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), count
+
+
+@dataclass
+class Statistics:
+    """How many items each term is in, how many items there are, and their mean length."""
+
+    df: np.ndarray
+    n: int
+    mean: float
+
+    @staticmethod
+    def of(items: list[np.ndarray]) -> Statistics:
+        return Statistics(np.bincount(_postings(items)[1]), len(items), sum(map(len, items)) / max(len(items), 1))
+
+    def weights(self, item: np.ndarray, term: np.ndarray, count: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """BM25 weight of each posting."""
+        idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+        damp = K1 * (1 - B + B * sizes / max(self.mean, 1))
+        return idf[term] * count * (K1 + 1) / (count + damp[item])
 
 
 class Bm25:
-    """Inverted index over the token lists of one shard."""
+    """Inverted index over the token lists of one shard, weighted by the statistics of all shards."""
 
-    def __init__(self, items: list[np.ndarray]):
+    def __init__(self, items: list[np.ndarray], statistics: Statistics | None = None):
         n = len(items)
-        sizes = np.array([len(i) for i in items], np.int64)
-        keys = np.concatenate(items).astype(np.uint64) * np.uint64(n) + np.repeat(np.arange(n, dtype=np.uint64), sizes)
-        keys.sort()
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        tf = np.diff(np.append(first, len(keys)))
-        keys = keys[first]
-        self.item = (keys % np.uint64(n)).astype(np.int32)
-        term = (keys // np.uint64(n)).astype(np.int64)
-        df = np.bincount(term)
-        self.starts = np.append(0, np.cumsum(df))
-        self.df, self.n = df, n
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        damp = K1 * (1 - B + B * sizes / max(sizes.mean(), 1))
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + damp[self.item])).astype(np.float32)
+        item, term, count = _postings(items)
+        weight = (statistics or Statistics.of(items)).weights(item, term, count, np.array([len(i) for i in items], np.int64)).astype(np.float32)
+        order = np.argsort(term, kind="stable")
+        self.item, self.weight, term = item[order].astype(np.int32), weight[order], term[order]
+        self.df, self.n = np.bincount(term), n
+        self.starts = np.append(0, np.cumsum(self.df))
+        common_terms = np.flatnonzero(self.df * DENSE > n)
+        self.row = np.full(len(self.df), -1)
+        self.row[common_terms] = np.arange(len(common_terms))
+        self.dense = np.zeros((len(common_terms), n), np.float32)
+        at = self.row[term] >= 0
+        self.dense[self.row[term[at]], self.item[at]] = self.weight[at]
 
     def neighbours(self, item_tokens: np.ndarray, used: np.ndarray) -> list[int]:
-        """Unused items of positive score, best first (ties: earlier item), by the query's rarest shared terms."""
+        """Unused items of positive score, best first (ties: earlier item), by all terms shared with the query."""
         terms = np.unique(item_tokens)
         terms = terms[self.df[terms] > 1]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(self.df[terms], QUERY_TERMS)[:QUERY_TERMS]]
-        at = common.ragged_arange(self.starts[terms], self.df[terms])
-        score = np.bincount(self.item[at], self.weight[at], minlength=self.n)
+        row = self.row[terms]
+        sparse = terms[row < 0]
+        at = common.ragged_arange(self.starts[sparse], self.df[sparse])
+        score = np.bincount(self.item[at], self.weight[at], minlength=self.n) + np.add.reduce(self.dense[row[row >= 0]], axis=0)
         score[used] = 0
         best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
         best = best[score[best] > 0]
         return best[np.lexsort((best, -score[best]))].tolist()
 
 
-def pack_shard(ids: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(ids: list[np.ndarray], window: int, statistics: Statistics | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces ``(document, start, length, sequence, offset)`` of one shard's documents.
 
     Documents longer than a window fill whole windows of their own first. Then each window takes
     a seed, its unused neighbours best first and, when they run out, the next document in order;
-    the document that reaches the edge is cut there and seeds the next window.
+    the document that reaches the edge is cut there and seeds the next window. Scores use
+    ``statistics`` of the whole table (without them, those of the shard).
     """
     pieces: list[tuple[int, int, int, int, int]] = []
     sequence = 0
@@ -69,7 +102,7 @@ def pack_shard(ids: list[np.ndarray], window: int) -> list[tuple[int, int, int,
     if not doc:
         return pieces
     items = [ids[d][s:] for d, s in zip(doc, start, strict=True)]
-    index = Bm25(items)
+    index = Bm25(items, statistics)
     used = np.zeros(len(doc), bool)
     following, cut = 0, None
     while True:
@@ -110,37 +143,134 @@ def pack_shard(ids: list[np.ndarray], window: int) -> list[tuple[int, int, int,
         sequence += 1
 
 
+def _tails(column: pa.Array, window: int, kind: str) -> list[np.ndarray]:
+    """What whole windows leave of each document's ids."""
+    ids = [np.frombuffer(x, kind) for x in column.to_pylist()]
+    return [i[len(i) - len(i) % window :] for i in ids]
+
+
+def statistics_of(coded: DataFrame, window: int, kind: str) -> Statistics:
+    """Term statistics of what whole windows leave of all documents; the driver gets a row a term of the vocabulary."""
+
+    def count(batches):
+        df, n, total = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            items = [i for i in _tails(batch.column("ids"), window, kind) if len(i)]
+            more = np.bincount(_postings(items)[1], minlength=len(df))
+            more[: len(df)] += df
+            df, n, total = more, n + len(items), total + sum(map(len, items))
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": np.append(term, -1), "docs": np.append(df[term], n), "tokens": np.append(0 * term, total)})
+
+    found = coded.select("ids").mapInArrow(count, "term long, docs long, tokens long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    term, docs, tokens_ = (np.asarray(c, np.int64) for c in found.toArrow().select(["term", "docs", "tokens"]).columns)
+    df = np.zeros(max(term.max(initial=0) + 1, 1), np.int64)
+    df[term[term >= 0]] = docs[term >= 0]
+    n = int(docs[term < 0].sum())
+    return Statistics(df, n, int(tokens_.sum()) / max(n, 1))
+
+
+def strongest_terms(items: list[np.ndarray], statistics: Statistics, least: float = 2) -> tuple[np.ndarray, np.ndarray]:
+    """The two terms of highest weight of each item, of those that ``least`` items share, then of those that two share.
+
+    Ties take the smaller term, and -1 stands for no term.
+    """
+    item, term, count = _postings(items)
+    weight = statistics.weights(item, term, count, np.array([len(i) for i in items], np.int64))
+    shared = statistics.df[term]
+    weight = np.where(shared >= max(least, 2), weight + weight.max(initial=0), np.where(shared >= 2, weight, -1))
+    starts = common.runs(item)
+    out = []
+    for _ in range(2):
+        best = np.full(len(items), -1, np.int64)
+        if len(starts):
+            most = np.maximum.reduceat(weight, starts)
+            at = np.flatnonzero((weight == np.repeat(most, np.diff(np.append(starts, len(item))))) & (weight >= 0))
+            at = at[common.runs(item[at])]
+            best[item[at]] = term[at]
+            weight[at] = -1
+        out.append(best)
+    return out[0], out[1]
+
+
+def lay_out(cells: list[tuple[int, int, int]], shard_bytes: int) -> list[tuple[int, int, int, int]]:
+    """``(term, part, first shard, shards)`` of ``(term, part, bytes)`` cells; small cells fill shards in order, a large one has several."""
+    out, shard, filled = [], 0, 0
+    for term, part, size in sorted(cells):
+        if filled and filled + size > shard_bytes:
+            shard, filled = shard + 1, 0
+        several = max(1, -(-size // shard_bytes))
+        out.append((term, part, shard, several))
+        if several > 1:
+            shard += several
+        else:
+            filled += size
+    return out
+
+
+def place(termed: DataFrame, shard_bytes: int) -> DataFrame:
+    """Adds ``shard``: documents of one strongest term together, those of a hot one by their second term, and only then by a hash."""
+    spark = termed.sparkSession
+    hot = termed.groupBy("term").agg(F.sum("size").alias("s")).where(F.col("s") > shard_bytes).collect()
+    parts = spark.createDataFrame([(r["term"], -(-r["s"] // shard_bytes)) for r in hot], "t long, parts long")
+    dealt = termed.join(F.broadcast(parts), termed["term"] == parts["t"], "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("second"), F.coalesce("parts", F.lit(1)))).drop("t", "parts")
+    cells = [(r["term"], r["part"], r["s"]) for r in dealt.groupBy("term", "part").agg(F.sum("size").alias("s")).collect()]
+    where = spark.createDataFrame(lay_out(cells, shard_bytes), "t long, p long, first long, several long")
+    joined = dealt.join(F.broadcast(where), (dealt["term"] == where["t"]) & (dealt["part"] == where["p"]))
+    return joined.select("doc_id", "ids", (F.col("first") + F.pmod(F.xxhash64("doc_id", "ids"), F.col("several"))).alias("shard"))
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 6 << 20) -> DataFrame:
     """Pack whole documents into sequences of at most ``window`` tokens.
 
     Returns a row per piece: ``doc_id, start, length, ids`` (binary, little-endian unsigned 32-bit),
     ``doc_tokens, sequence_id, offset``. Every document's ids are those of the tokenizer and then
-    ``end_id``; a null or empty text is the end id alone. Documents are dealt to shards of about
-    ``shard_bytes`` by a hash of id and text, so a hot source or repeated id spreads, and each
-    shard builds its own index; only a shard's last sequence may be short. Repeated rows are
-    packed each time; rows with a null id are packed like others; an empty table gives no rows.
+    ``end_id``; a null or empty text is the end id alone. Term statistics are those of all
+    documents. Documents go to shards of up to about ``shard_bytes`` by content: by the term of
+    highest weight that enough documents share to fill a shard, the next one where that term is
+    hot, and a hash of id and ids where both are. A seed's neighbours are searched by all shared
+    terms, but in its own shard only; only a shard's last sequence may be short. Repeated rows are packed each time; rows
+    with a null id are packed like others; an empty table gives no rows.
     """
     kept = common.only(docs, doc_id=doc_id, text=text)
-    shards = max(1, round(common.total_bytes(kept) / shard_bytes))
-    kind = kept.schema["doc_id"].dataType.simpleString()
+    id_type = kept.schema["doc_id"].dataType.simpleString()
+    kind = "<u2" if max(tokens.encoder(tokenizer).tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
 
-    def run(key, table):
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    def encode(batches):
         coder = tokens.encoder(tokenizer)
-        ids = [np.append(i, np.uint32(end_id)) for i in coder.encode(table.column("text").to_pylist())]
-        pieces = pack_shard(ids, window)
+        for batch in batches:
+            ids = [np.append(i, np.uint32(end_id)).astype(kind).tobytes() for i in coder.encode(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("size"), pa.array(ids, pa.binary())], ["doc_id", "size", "ids"])
+
+    sized = kept.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+    coded = common.checkpoint(sized.mapInArrow(encode, f"doc_id {id_type}, size long, ids binary"))
+    statistics = statistics_of(coded, window, kind)
+    # A term of fewer documents than a shard holds would leave them among documents of any other terms.
+    least = statistics.n * shard_bytes / max(coded.agg(F.sum("size")).first()[0] or 0, shard_bytes)
+
+    def strongest(batches):
+        for batch in batches:
+            first, second = strongest_terms(_tails(batch.column("ids"), window, kind), statistics, least)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(second)], ["doc_id", "size", "ids", "term", "second"])
+
+    termed = common.checkpoint(coded.mapInArrow(strongest, f"doc_id {id_type}, size long, ids binary, term long, second long"))
+
+    def run(key, table):
+        table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+        ids = [np.frombuffer(x, kind) for x in table.column("ids").to_pylist()]
+        pieces = pack_shard(ids, window, statistics)
         d, start, length, sequence, offset = (list(x) for x in zip(*pieces, strict=True))
         return pa.table(
             {
                 "doc_id": table.column("doc_id").take(pa.array(d, pa.int64())),
                 "start": pa.array(start, pa.int64()),
                 "length": pa.array(length, pa.int64()),
-                "ids": pa.array([ids[x][s : s + n].tobytes() for x, s, n in zip(d, start, length, strict=True)], pa.binary()),
+                "ids": pa.array([ids[x][s : s + n].astype("<u4").tobytes() for x, s, n in zip(d, start, length, strict=True)], pa.binary()),
                 "doc_tokens": pa.array([len(ids[x]) for x in d], pa.int64()),
                 "sequence_id": pa.array(np.array(sequence, np.int64) + (key[0].as_py() << 32)),
                 "offset": pa.array(offset, pa.int64()),
             }
         )
 
-    dealt = kept.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return place(termed, shard_bytes).groupBy("shard").applyInArrow(run, f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -308,6 +309,45 @@ def test_packing_brings_neighbours_together():
     assert together[1] > 0.8 * len(by_seq)
 
 
+def test_packing_scores_all_shared_terms():
+    # Item 0 and items 1 to 40 share 40 rare terms, one each; item 41 shares the 60 common ones with it.
+    rare, often = np.arange(40), np.arange(100, 160)
+    items = [np.append(rare, often)] + [np.array([r, 200 + r]) for r in rare] + [often] + [np.append(often[i::2], 300 + i) for i in (0, 1)]
+    items = [i.astype(np.uint32) for i in items]
+    index, used = packing.Bm25(items), np.zeros(len(items), bool)
+    used[0] = True
+    n, mean = len(items), sum(map(len, items)) / len(items)
+    df = Counter(t for i in items for t in set(i.tolist()))
+    idf = {t: math.log1p((n - k + 0.5) / (k + 0.5)) for t, k in df.items()}
+    score = {k: sum(idf[t] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(i) / mean)) for t in set(i.tolist()) & set(items[0].tolist())) for k, i in enumerate(items) if k}
+    found = index.neighbours(items[0], used)
+    assert found[0] == 41 and len(found) == 43 and [score[k] for k in found] == pytest.approx(sorted(score.values(), reverse=True))
+
+
+def test_packing_places_by_content_with_statistics_of_all(documents, tokenizer):
+    path, rng = tokenizer("word_bpe_49k.json"), random.Random(5)
+    topics = [["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(12)] for _ in range(6)]
+    texts = [" ".join(rng.choice(topics[i % 6]) for _ in range(60)) for i in range(240)]
+    rows = packing.pack(documents(texts), path, window=512, shard_bytes=sum(map(len, texts)) // 6).collect()
+    shards, by_seq = {}, {}
+    for r in rows:
+        shards.setdefault(r.sequence_id >> 32, set()).add(r.doc_id)
+        by_seq.setdefault(r.sequence_id, set()).add(r.doc_id % 6)
+    assert len(shards) >= 6 and set().union(*shards.values()) == set(range(240)) and sum(map(len, shards.values())) == 240
+    assert sum(len(s) == 1 for s in by_seq.values()) > 0.6 * len(by_seq)
+    ids = [np.append(i, 1).astype(np.uint32) for i in tokens.encoder(path).encode(texts)]
+    coded = documents(texts).sparkSession.createDataFrame([(i.astype("<u2").tobytes(),) for i in ids], "ids binary")
+    got, want = packing.statistics_of(coded, 512, "<u2"), packing.Statistics.of([i[len(i) - len(i) % 512 :] for i in ids])
+    assert got.n == want.n == 240 and got.mean == want.mean and (got.df == want.df).all()
+
+
+def test_packing_splits_a_hot_group(documents, tokenizer):
+    texts = ["the same words in every copy of it"] * 300
+    rows = packing.pack(documents(texts), tokenizer("word_bpe_49k.json"), window=64, shard_bytes=2000).collect()
+    sizes = Counter(shard for shard, _ in {(r.sequence_id >> 32, r.doc_id) for r in rows})
+    assert sum(sizes.values()) == 300 and max(sizes.values()) < 120
+
+
 # --- language model
 
 
