@@ -31,3 +31,14 @@ def test_pipeline_stages(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
     assert {p.doc_id for p in pieces} == set(kept) and 0.5 * before < len(kept) <= before
     assert corpus_pipeline.run(spark, DATA).count() == len(pieces)
+
+
+def test_pipeline_keeps_one_of_a_large_group_of_copies(spark, documents):
+    import corpus_pipeline
+
+    copy = "first line of a copied page with words\n\n\nsecond line of it with other words"
+    docs = documents([copy] * 4 + [f"menu\nown words number {i} of page {i * i} and {i + 7}" for i in range(36)]).select("doc_id", "text", "lang", "source", "n_chars")
+    found = corpus_pipeline.line_dedup(spark, docs, DATA)
+    texts = {r.doc_id: r.text for r in found.collect()}
+    assert [texts[i] for i in range(4)] == [copy] * 4 and all("menu" not in texts[i] for i in range(4, 40))
+    assert [r.doc_id for r in corpus_pipeline.ngram_jaccard(spark, found, DATA).where("doc_id < 4").collect()] == [0]
