@@ -28,11 +28,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a source repeats on too many documents go; a document of such lines only stays as it is.
+    """Lines that a source of any size repeats on too many documents go; a document of such lines only stays as it is.
 
     Copies that make up a large share of a source consist of listed lines: the next stage keeps one of them.
     """
-    found = lines.drop_boilerplate(docs.withColumn("whole", F.col("text")))
+    found = lines.drop_boilerplate(docs.withColumn("whole", F.col("text")), min_pages=1, min_copies=2)
     nothing_left = (F.col("lines_dropped") > 0) & (F.trim(F.translate("text", "\n", " ")) == "")
     return _documents(found.withColumn("text", F.when(nothing_left, F.col("whole")).otherwise(F.col("text"))))
 

@@ -22,8 +22,8 @@ def _lines(text):
     return F.split(text, "\n", -1)
 
 
-def boilerplate_lines(docs: DataFrame, ratio: float = 0.05, min_pages: int = 20, host: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``(host, line_hash, pages, total)`` of lines that more than ``ratio`` of a host's pages contain.
+def boilerplate_lines(docs: DataFrame, ratio: float = 0.05, min_pages: int = 20, host: str = "source", text: str = "text", doc_id: str = "doc_id", min_copies: int = 1) -> DataFrame:
+    """``(host, line_hash, pages, total)`` of lines that more than ``ratio`` of a host's pages contain, ``min_copies`` pages at least.
 
     Hosts with fewer than ``min_pages`` pages have no list. Blank lines are never listed, and a
     page counts a line once. Rows with a null host form a group of their own, as any host does.
@@ -33,13 +33,14 @@ def boilerplate_lines(docs: DataFrame, ratio: float = 0.05, min_pages: int = 20,
     once = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))
     counts = pages.select("host", F.explode(once).alias("line_hash")).groupBy("host", "line_hash").agg(F.count("*").alias("pages"))
     # A line of one page is listed only where one page is more than the ratio of the least total.
-    if ratio * min_pages >= 1:
-        counts = counts.where("pages > 1")
+    least = max(min_copies, 2 if ratio * min_pages >= 1 else 1)
+    if least > 1:
+        counts = counts.where(F.col("pages") >= least)
     totals = totals.select(F.col("host").alias("h"), "total")
     return counts.join(totals, counts["host"].eqNullSafe(totals["h"])).where(F.col("pages") > F.col("total") * ratio).select("host", "line_hash", "pages", "total")
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = 0.05, min_pages: int = 20, host: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, ratio: float = 0.05, min_pages: int = 20, host: str = "source", text: str = "text", doc_id: str = "doc_id", min_copies: int = 1) -> DataFrame:
     """Every row of ``docs`` with its text rebuilt from the lines that its host doesn't repeat on too many pages.
 
     All columns stay as they are but ``text``, and ``lines_dropped`` is added (replaced if the table
@@ -48,7 +49,7 @@ def drop_boilerplate(docs: DataFrame, ratio: float = 0.05, min_pages: int = 20,
     A host lists at most (distinct lines of a page) / ratio lines, so its list is bounded; lists
     are broadcast while they're few, and beyond that joined with each host's pages salted.
     """
-    listed = common.checkpoint(boilerplate_lines(docs, ratio, min_pages, host, text, doc_id))
+    listed = common.checkpoint(boilerplate_lines(docs, ratio, min_pages, host, text, doc_id, min_copies))
     per_host = listed.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line_hash").alias("__listed"))
     if listed.count() <= BROADCAST_LINES:
         joined = docs.join(F.broadcast(per_host), docs[host].eqNullSafe(per_host["__host"]), "left")

@@ -42,3 +42,11 @@ def test_pipeline_keeps_one_of_a_large_group_of_copies(spark, documents):
     texts = {r.doc_id: r.text for r in found.collect()}
     assert [texts[i] for i in range(4)] == [copy] * 4 and all("menu" not in texts[i] for i in range(4, 40))
     assert [r.doc_id for r in corpus_pipeline.ngram_jaccard(spark, found, DATA).where("doc_id < 4").collect()] == [0]
+
+
+def test_pipeline_drops_lines_of_small_sources(spark, documents):
+    import corpus_pipeline
+
+    docs = documents([f"menu\nown words number {i} of page {i * i}" for i in range(19)] + ["menu\nalone"], sources=["small"] * 19 + ["one"]).select("doc_id", "text", "lang", "source", "n_chars")
+    small = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, DATA).collect()}
+    assert all("menu" not in small[i] and "own" in small[i] for i in range(19)) and small[19] == "menu\nalone"
