@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from flowledger.llm import common, jaccard, langid, lines, packing, suffix
 from flowledger.llm.queries import tokenizer
 
-#: Code length from which no learned language explains a text: random bytes cost 8 bits each.
-MOST_BITS_PER_BYTE = 7.8
-
 
 def _documents(df: DataFrame) -> DataFrame:
     """The columns of documents, with n_chars of the present text."""
@@ -21,9 +18,9 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents take the predicted language; those without a letter, or that no language explains, go."""
+    """Documents take the predicted language (``und`` if there was nothing to learn from); those without a letter go."""
     found = langid.annotate(docs, langid.fit(docs))
-    kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("bits_per_byte") <= MOST_BITS_PER_BYTE))
+    kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) | F.col("text").rlike(r"\p{L}"))
     return _documents(kept.withColumn("lang", F.col("lang_pred")))
 
 

@@ -50,3 +50,12 @@ def test_pipeline_drops_lines_of_small_sources(spark, documents):
     docs = documents([f"menu\nown words number {i} of page {i * i}" for i in range(19)] + ["menu\nalone"], sources=["small"] * 19 + ["one"]).select("doc_id", "text", "lang", "source", "n_chars")
     small = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, DATA).collect()}
     assert all("menu" not in small[i] and "own" in small[i] for i in range(19)) and small[19] == "menu\nalone"
+
+
+@pytest.mark.parametrize("langs", [["en"] * 40 + [None] * 5, [None] * 45])
+def test_pipeline_keeps_every_text_with_a_letter(spark, documents, langs):
+    import corpus_pipeline
+
+    texts = [f"plain words of a text, number {i}" for i in range(40)] + ["Все счастливые семьи", "日本語のテキスト", "Ω", "12 345 ...", None]
+    docs = documents(texts, langs=langs).select("doc_id", "text", "lang", "source", "n_chars")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, DATA).collect()) == list(range(43))
