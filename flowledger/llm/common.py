@@ -139,35 +139,78 @@ def _slices(raw: np.ndarray, offsets: np.ndarray, size: int):
         at = stop
 
 
-def _slice_hashes(raw: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slice_words(raw: np.ndarray, row_starts: np.ndarray, apart: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = ~_BLANK[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     begins[row_starts] = inside[row_starts]
+    if apart is not None:
+        begins |= apart
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.zeros(0, np.uint64), starts
+        return np.zeros(0, np.uint64), starts, starts
     at = np.flatnonzero(inside)
     lengths = np.diff(np.append(np.searchsorted(at, starts), len(at)))
     values = _RANDOM_BYTES[_LOWER[raw[at]]]
     values *= _powers(int(lengths.max()))[at - np.repeat(starts, lengths)]
     sums = np.add.reduceat(values, np.cumsum(lengths) - lengths)
-    return mix64(sums + lengths.astype(np.uint64) * MIX_A), starts
+    return mix64(sums + lengths.astype(np.uint64) * MIX_A), starts, lengths
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^ \\t-\\r]+`` of every row with A-Z lower-cased, and each row's word offsets.
+def word_spans(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and length in bytes of the words ``[^ \\t-\\r]+`` of all rows, A-Z lower-cased; ``apart`` marks further places where a word starts.
 
     Works in slices, so that its own arrays stay small however long a text is.
     """
-    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     row_starts = offsets[:-1][offsets[:-1] < offsets[1:]]
     for a, b in _slices(raw, offsets, 1 << 18):
         i, j = np.searchsorted(row_starts, [a, b])
-        h, starts = _slice_hashes(raw[a:b], row_starts[i:j] - a)
-        hashes.append(h)
-        places.append(starts + a)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets)
+        hashes, starts, lengths = _slice_words(raw[a:b], row_starts[i:j] - a, None if apart is None else apart[a:b])
+        parts.append((hashes, starts + a, lengths))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of every row (see :func:`word_spans`), and each row's word offsets."""
+    hashes, starts, _ = word_spans(raw, offsets)
+    return hashes, np.searchsorted(starts, offsets)
+
+
+def lower_ascii(raw: np.ndarray) -> np.ndarray:
+    return _LOWER[raw]
+
+
+def is_blank(raw: np.ndarray) -> np.ndarray:
+    return _BLANK[raw]
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, one place of each and the distinct value's number of every value."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = runs(ordered)
+    number = np.empty(len(values), np.int64)
+    number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(values))))
+    return ordered[first], order[first], number
+
+
+def row_slices(column: pa.Array, limit: int, most_rows: int = 1 << 31):
+    """Row ranges of a text column of about ``limit`` bytes, with their bytes and offsets."""
+    raw, offsets = text_buffer(column)
+    at, rows = 0, len(offsets) - 1
+    while at < rows:
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        stop = min(stop, at + most_rows, rows)
+        yield at, stop, raw[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at]
+        at = stop
+
+
+def binary_column(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that stand end to end in ``data``; ``ends`` are byte offsets, one more than values."""
+    kind, width = (pa.binary(), np.int32) if ends[-1] < 2**31 else (pa.large_binary(), np.int64)
+    found = pa.Array.from_buffers(kind, len(ends) - 1, [None, pa.py_buffer(ends.astype(width)), pa.py_buffer(np.ascontiguousarray(data))])
+    return found if kind == pa.binary() else found.cast(pa.binary())
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

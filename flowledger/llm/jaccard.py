@@ -68,23 +68,13 @@ def fingerprints(items: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.where(n > 0, common.mix64(sums[ends[1:]] - sums[ends[:-1]] + n * common.MIX_B), 0).astype(np.uint64)
 
 
-def _slices(column: pa.Array):
-    raw, offsets = common.text_buffer(column)
-    at, rows = 0, len(offsets) - 1
-    while at < rows:
-        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
-        stop = min(stop, at + WITNESS - 1, rows)
-        yield at, stop, raw[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at]
-        at = stop
-
-
 def set_table(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
     """``(doc_id, n_shingles, set_key)`` of every row; the key is null for an empty set."""
     kept = common.only(docs, doc_id=doc_id, text=text)
 
     def run(batches):
         for batch in batches:
-            for a, b, raw, offsets in _slices(batch.column(1)):
+            for a, b, raw, offsets in common.row_slices(batch.column(1), SLICE_BYTES, WITNESS - 1):
                 items, ends = shingle_sets(raw, offsets, words)
                 key = fingerprints(items, ends)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(ends)), pa.array(key.view(np.int64), mask=key == 0)], ["doc_id", "n_shingles", "set_key"])
@@ -104,7 +94,7 @@ def shared_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFra
 
     def post(batches):
         for batch in batches:
-            for _, _, raw, offsets in _slices(batch.column(0)):
+            for _, _, raw, offsets in common.row_slices(batch.column(0), SLICE_BYTES, WITNESS - 1):
                 items, ends = shingle_sets(raw, offsets, words)
                 keys, n = fingerprints(items, ends), np.diff(ends)
                 first = np.unique(keys, return_index=True)[1]

@@ -50,16 +50,6 @@ class Model:
     low_gamma: float
 
 
-def _sliced(column: pa.Array, limit: int = SLICE_BYTES):
-    """Row ranges of a text column of about ``limit`` bytes, with their bytes and offsets."""
-    raw, offsets = common.text_buffer(column)
-    at, rows = 0, len(offsets) - 1
-    while at < rows:
-        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        yield at, stop, raw[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at]
-        at = stop
-
-
 def events(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """History and word hash of each event of each text, and the texts' event offsets: its words, then one end."""
     words, at = common.word_hashes(raw, offsets)
@@ -160,7 +150,7 @@ def frequent_words(train: DataFrame, text: str) -> tuple[int, ...]:
 
     def heavy(batches):
         for batch in batches:
-            for _, _, raw, offsets in _sliced(batch.column(0)):
+            for _, _, raw, offsets in common.row_slices(batch.column(0), SLICE_BYTES):
                 history, _, _ = events(raw, offsets)
                 history.sort()
                 first = common.runs(history)
@@ -199,7 +189,7 @@ def fit(train: DataFrame, text: str = "text") -> Model:
     def count(batches):
         hot_words = np.array(hot, np.uint64)
         for batch in batches:
-            for _, _, raw, offsets in _sliced(batch.column(0)):
+            for _, _, raw, offsets in common.row_slices(batch.column(0), SLICE_BYTES):
                 history, word, _ = events(raw, offsets)
                 keys = bigram_keys(history, word)
                 shard = _shards(history, keys, hot_words, bits)
@@ -308,16 +298,6 @@ def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == asked
 
 
-def _unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values in order, one place of each and the distinct value's number of every value."""
-    order = np.argsort(values)
-    ordered = values[order]
-    first = common.runs(ordered)
-    number = np.empty(len(values), np.int64)
-    number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(values))))
-    return ordered[first], order[first], number
-
-
 def word_rows(model: Model, asked: np.ndarray) -> np.ndarray:
     """Statistics of sorted distinct words, zeros where a word wasn't seen."""
     out = np.zeros((len(asked), 6), np.int64)
@@ -352,7 +332,7 @@ def log_probabilities(model: Model, history: np.ndarray, word: np.ndarray) -> tu
         return np.zeros(0), np.zeros(0, np.int64)
     uniform = 1.0 / (model.vocabulary + 1)
     low_d, d = np.array((0.0, *model.low_discounts)), np.array((0.0, *model.discounts))
-    both, _, number = _unique(np.concatenate([history, word]))
+    both, _, number = common.distinct(np.concatenate([history, word]))
     stats = word_rows(model, both)
     of_history, of_word = number[: len(word)], number[len(word) :]
     before = stats[:, BEFORE]
@@ -383,7 +363,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def run(batches):
         log_base = np.log10(model.train_tokens + 0.5 * (model.vocabulary + 1))
         for batch in batches:
-            for a, b, raw, offsets in _sliced(batch.column(1)):
+            for a, b, raw, offsets in common.row_slices(batch.column(1), SLICE_BYTES):
                 history, word, ends = events(raw, offsets)
                 logs, count = log_probabilities(model, history, word)
                 n = np.diff(ends)

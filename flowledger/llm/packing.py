@@ -240,8 +240,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, d
     def encode(batches):
         coder = tokens.encoder(tokenizer)
         for batch in batches:
-            ids = [np.append(i, np.uint32(end_id)).astype(kind).tobytes() for i in coder.encode(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("size"), pa.array(ids, pa.binary())], ["doc_id", "size", "ids"])
+            for a, b, ids, ends in coder.encode(batch.column("text")):
+                ends = ends + np.arange(len(ends))  # an end id behind each document
+                full = np.empty(int(ends[-1]), kind)
+                full[ends[1:] - 1] = end_id
+                full[common.ragged_arange(ends[:-1], np.diff(ends) - 1)] = ids
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("size")[a:b], common.binary_column(full, ends * full.itemsize)], ["doc_id", "size", "ids"])
 
     sized = kept.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
     coded = common.checkpoint(sized.mapInArrow(encode, f"doc_id {id_type}, size long, ids binary"))

@@ -70,14 +70,14 @@ def test_components(spark):
 def test_word_encoder_equals_library(tokenizer):
     coder = tokens.encoder(tokenizer("word_bpe_49k.json"))
     texts = [t or "" for t in ODD] + sample(4) + ["don't we'LL <|startoftext|>X", "1½²", "…!?,.", "naïve CAFÉ."]
-    for t, got in zip(texts, coder.encode(texts), strict=True):
+    for t, got in zip(texts, coder.encode_texts(texts), strict=True):
         assert got.tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 def test_length_histogram(spark, documents, tokenizer):
     texts = ODD + sample(5)
     coder = tokens.encoder(tokenizer("word_bpe_49k.json"))
-    n = Counter(len(i) + 1 for i in coder.encode(texts))
+    n = Counter(len(i) + 1 for i in coder.encode_texts(texts))
     sums = tokens.length_histogram(documents(texts), tokenizer("word_bpe_49k.json"), end_ids=1)
     want = {(k, n[k], sum(v for x, v in n.items() if x >= k), sum(v * x for x, v in n.items() if x >= k), sum(v for x, v in n.items() if x <= k), sum(v * min(x, k) for x, v in n.items())) for k in n}
     assert {tuple(r) for r in sums.collect()} == want
@@ -278,7 +278,7 @@ def test_packing_keeps_every_id(documents, tokenizer):
     path = tokenizer("word_bpe_49k.json")
     texts = ODD + sample(12) + ["word " * 5000]
     coder = tokens.encoder(path)
-    ids = [np.append(i, 1) for i in coder.encode(texts)]
+    ids = [np.append(i, 1) for i in coder.encode_texts(texts)]
     rows = packing.pack(documents(texts), path, window=256).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
@@ -335,7 +335,7 @@ def test_packing_places_by_content_with_statistics_of_all(documents, tokenizer):
         by_seq.setdefault(r.sequence_id, set()).add(r.doc_id % 6)
     assert len(shards) >= 6 and set().union(*shards.values()) == set(range(240)) and sum(map(len, shards.values())) == 240
     assert sum(len(s) == 1 for s in by_seq.values()) > 0.6 * len(by_seq)
-    ids = [np.append(i, 1).astype(np.uint32) for i in tokens.encoder(path).encode(texts)]
+    ids = [np.append(i, 1).astype(np.uint32) for i in tokens.encoder(path).encode_texts(texts)]
     coded = documents(texts).sparkSession.createDataFrame([(i.astype("<u2").tobytes(),) for i in ids], "ids binary")
     got, want = packing.statistics_of(coded, 512, "<u2"), packing.Statistics.of([i[len(i) - len(i) % 512 :] for i in ids])
     assert got.n == want.n == 240 and got.mean == want.mean and (got.df == want.df).all()
