@@ -20,13 +20,18 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; where it is unset, a temporary one if all runs on this machine.
+
+    Raises on a cluster that names none: machines don't see each other's temporary folders.
+    """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     own = tempfile.mkdtemp(prefix="flowledger-checkpoint-")
     spark.sparkContext.setCheckpointDir(own)
     return own

@@ -21,6 +21,8 @@ from . import common
 
 #: Longest context in bytes; documents and bytes of training text a language, at most.
 ORDER, SAMPLE_DOCS, SAMPLE_BYTES = 4, 400, 1_000_000
+#: Documents of a label that are ordered, for each one of the sample.
+SPARE = 8
 #: Prediction for texts without a letter.
 UNDETERMINED = "und"
 #: Bytes scored at a time.
@@ -216,20 +218,28 @@ def has_letter(text: str | None) -> bool:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Fit on at most ``sample_docs`` whole texts, and about ``sample_bytes`` bytes, of each label.
+    """Fit on at most ``sample_docs`` texts, and ``sample_bytes`` bytes, of each label.
 
-    The documents of each label are those of smallest id hash; null labels, texts and ids are left out.
-    A text is used whole or not at all, unless a label's first text alone is over the bound.
+    Null labels, texts and ids and empty texts are left out; of rows of one id and label the least text counts. The documents of each label are those of smallest
+    id hash, used whole; texts of over a twentieth of ``sample_bytes`` come after all others, so that they can't displace them. A label that has only such
+    texts is learned from ten windows of its first. Only documents whose hash lies under a bound that a label's number of ids sets are
+    ordered, so no task gets more than some SPARE * ``sample_docs`` of a label, and the driver gets no more than the sample.
     """
     kept = common.only(labelled, doc_id=doc_id, lang=lang, text=text).where("lang is not null and text is not null and doc_id is not null and text <> ''")
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = kept.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("b")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_docs)
-    chosen = chosen.withColumn("sum", F.sum("b").over(first)).where((F.col("sum") <= sample_bytes) | (F.col("r") == 1)).select(F.col("doc_id").alias("i"), F.col("lang").alias("l")).distinct()
-    # At most sample_docs short rows a label: small enough to broadcast.
-    rows = kept.join(F.broadcast(chosen), (kept["doc_id"] == chosen["i"]) & (kept["lang"] == chosen["l"]), "left_semi").select("lang", "text").collect()
+    hashed = F.xxhash64("doc_id")
+    many = kept.groupBy(F.col("lang").alias("l")).agg(F.approx_count_distinct("doc_id").alias("ids"))
+    near = kept.join(many, kept["lang"] == many["l"]).where(F.shiftrightunsigned(hashed, 11) / 2.0**53 * F.col("ids") <= SPARE * sample_docs)
+    one = near.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    size = F.octet_length("text")
+    first = Window.partitionBy("lang").orderBy("long", "h", "doc_id")
+    ranked = one.withColumns({"h": hashed, "b": size, "long": size > sample_bytes / 20}).withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_docs)
+    chosen = ranked.withColumn("sum", F.sum("b").over(first)).where((F.col("sum") <= sample_bytes) | (F.col("r") == 1))
+    part = sample_bytes // 40  # characters, of up to four bytes
+    windows = F.concat_ws("\n", *[F.substring(F.col("text"), (F.length("text") * i / 10).cast("int") + 1, F.lit(part)) for i in range(10)])
+    rows = chosen.select("lang", F.when(F.col("b") > sample_bytes, windows).otherwise(F.col("text")).alias("text")).collect()
     samples: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["text"])):
-        samples.setdefault(r["lang"], []).append(r["text"].encode()[: 2 * sample_bytes])
+        samples.setdefault(r["lang"], []).append(r["text"].encode())
     return fit_texts(samples)
 
 

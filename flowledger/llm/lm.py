@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import mmap
 import os
+import shutil
 import sys
 import tempfile
 import uuid
@@ -256,15 +257,18 @@ def fit(train: DataFrame, text: str = "text") -> Model:
         else:
             found, rows = _merged(
                 np.concatenate([np.frombuffer(x, np.uint64) for x in held]),
-                np.concatenate([np.frombuffer(s, np.int64 if x else np.uint32).reshape(6, -1).astype(np.int64) for s, x in zip(stats, wide, strict=True)], axis=1),
+                np.concatenate([np.frombuffer(s, np.int64 if x else np.uint32).reshape(6, len(h) // 8).astype(np.int64) for s, x, h in zip(stats, wide, held, strict=True)], axis=1),
             )
             _save(folder, f"words-{part:06d}", found, (rows.astype(np.uint32) if rows.max(initial=0) < 2**32 else rows).T)
             seen = rows[BEFORE]
             totals[5:] = [rows[COUNT].sum(), (rows[COUNT] > 0).sum(), *[(seen == k).sum() for k in (1, 2, 3, 4)], (seen > 2).sum(), seen.sum()]
         return pa.table({f"t{i}": pa.array([int(x)]) for i, x in enumerate(totals)})
 
-    blobs = train.select(text).mapInArrow(count, "shard long, history binary, word binary, n binary")
-    per_word = blobs.groupBy("shard").applyInArrow(merge, "part long, words binary, stats binary, wide boolean")
+    # Every shard and part gets an empty row, so that each writes a file and a missing one is an error, not an empty shard.
+    every = spark.range(1 << bits)
+    none = F.lit(b"").cast("binary")
+    blobs = train.select(text).mapInArrow(count, "shard long, history binary, word binary, n binary").union(every.select("id", none, none, none))
+    per_word = blobs.groupBy("shard").applyInArrow(merge, "part long, words binary, stats binary, wide boolean").union(every.select("id", none, none, F.lit(False)))
     # The shards' counts of counts (part -1) are a row each; spread by a part of their own each is not needed: 40 bytes a row.
     totals = per_word.groupBy("part").applyInArrow(words, ", ".join(f"t{i} long" for i in range(13))).agg(*[F.sum(f"t{i}").alias(f"t{i}") for i in range(13)]).first()
     t = [int(x or 0) for x in totals]
@@ -274,11 +278,11 @@ def fit(train: DataFrame, text: str = "text") -> Model:
     return Model(folder, bits, hot, t[5], t[6], _discounts(*t[:4]), low, types, gamma if t[12] else 1.0)
 
 
-_OPENED: dict[str, dict[str, list[np.ndarray] | None]] = {}
+_OPENED: dict[str, dict[str, list[np.ndarray]]] = {}
 
 
-def _arrays(model: Model, name: str) -> list[np.ndarray] | None:
-    """A model file mapped by this worker, the latest ones kept; None if no bigram or word fell into that shard."""
+def _arrays(model: Model, name: str) -> list[np.ndarray]:
+    """A model file mapped by this worker, the latest ones kept. Each shard has a file; a missing or short one raises."""
     if model.folder not in _OPENED:
         _OPENED.clear()
         _OPENED[model.folder] = {}
@@ -286,14 +290,25 @@ def _arrays(model: Model, name: str) -> list[np.ndarray] | None:
     if name not in held:
         if len(held) >= MAPPED_FILES:
             held.pop(next(iter(held)))
-        try:
-            held[name] = _mapped(model.folder, name)
-        except FileNotFoundError:
-            held[name] = None
+        held[name] = _mapped(model.folder, name)
     return held[name]
 
 
+def delete(model: Model) -> None:
+    """Remove a model's files, once nothing that scores with it will run again."""
+    url = urlparse(model.folder)
+    if url.scheme in ("", "file"):
+        shutil.rmtree(url.path)
+        return
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(model.folder)
+    store.delete_dir(path)
+
+
 def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
     at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
     return at, keys[at] == asked
 
@@ -304,9 +319,8 @@ def word_rows(model: Model, asked: np.ndarray) -> np.ndarray:
     part = _word_shards(asked, model.bits)
     for a, b in common.run_spans(part):
         held = _arrays(model, f"words-{part[a]:06d}")
-        if held is not None:
-            at, ok = _found(held[0], asked[a:b])
-            out[a:b][ok] = held[1][at[ok]]
+        at, ok = _found(held[0], asked[a:b])
+        out[a:b][ok] = held[1][at[ok]]
     return out
 
 
@@ -315,10 +329,9 @@ def bigram_counts(model: Model, shard: np.ndarray, keys: np.ndarray) -> np.ndarr
     out = np.zeros(len(keys), np.int64)
     for a, b in common.run_spans(shard):
         held = _arrays(model, f"bigrams-{shard[a]:06d}")
-        if held is None:
-            continue
         at, ok = _found(held[0], keys[a:b])
-        n = np.where(ok, held[1][at], 0).astype(np.int64)
+        n = np.zeros(b - a, np.int64)
+        n[ok] = held[1][at[ok]]
         large = np.flatnonzero(n == 255)
         if len(large):
             n[large] = held[3][np.searchsorted(held[2], keys[a:b][large])]

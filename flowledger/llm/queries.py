@@ -101,7 +101,7 @@ OP4_SQL = """
 WITH l AS (SELECT DISTINCT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 n AS (SELECT source, line, count(*) AS pages FROM l WHERE trim(line) <> '' GROUP BY source, line),
 t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
-b AS (SELECT n.source, list(line) AS listed FROM n JOIN t USING (source) WHERE total >= 20 AND pages > total * 0.05 GROUP BY n.source),
+b AS (SELECT n.source, list(line) AS listed FROM n JOIN t USING (source) WHERE pages >= 2 AND pages > total * 0.05 GROUP BY n.source),
 k AS (SELECT doc_id, text, coalesce(listed, []) AS listed, string_split(text, chr(10)) AS lines FROM documents LEFT JOIN b USING (source))
 SELECT doc_id, array_to_string(list_filter(lines, lambda x: trim(x) = '' OR NOT list_contains(listed, x)), chr(10)) AS text,
        CAST(len(list_filter(lines, lambda x: trim(x) <> '' AND list_contains(listed, x))) AS BIGINT) AS lines_dropped FROM k

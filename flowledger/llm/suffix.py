@@ -5,7 +5,7 @@ so equal windows lie in stretches of one hash. Stretches whose hash occurs once
 The others travel, with their bytes, to the shard of their hash; a chunk sends equal stretches once.
 A shard sorts its suffixes by induced sorting, compares neighbours and keeps each window's earliest start.
 Where very many different stretches share one hash (the surroundings of a very common line), no shard gets
-them all: their windows are dealt one by one, by two 64-bit hashes of all their bytes.
+them all: their windows are dealt one by one, by two 64-bit hashes of all their bytes, and of a chunk's equal windows only the earliest travels with them.
 """
 
 from __future__ import annotations
@@ -347,7 +347,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
                 of = np.repeat(o, count[o])
                 place = at_doc[of] + common.ragged_arange(np.zeros(len(o), np.int64), count[o])
                 shard = (2 << bits) + (first_hash >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
+                # Of a chunk's equal windows the earliest takes part (the stretches stand in order); the others are known to be later copies.
+                order = np.lexsort((np.arange(len(of)), second_hash, first_hash))
+                again = np.append(False, (first_hash[order][1:] == first_hash[order][:-1]) & (second_hash[order][1:] == second_hash[order][:-1]))
+                copies = np.sort(order[again])
+                if len(copies):  # adjoining ones as one span
+                    first = np.flatnonzero(np.append(True, (of[copies][1:] != of[copies][:-1]) | (place[copies][1:] != place[copies][:-1] + 1)))
+                    spans = np.diff(np.append(first, len(copies))) + length - 1
+                    i = copies[first]
+                    rows.append(((1 << bits) + chunk % (1 << bits), chunk, ids[row[of[i]]].tobytes(), nth[row[of[i]]].astype(np.int32).tobytes(), place[i].tobytes(), spans.tobytes(), b""))
+                order = np.sort(order[~again])
+                order = order[np.argsort(shard[order], kind="stable")]
                 for a, b in common.run_spans(shard[order]):
                     i = order[a:b]
                     rows.append((int(shard[i[0]]), chunk, ids[row[of[i]]].tobytes(), nth[row[of[i]]].astype(np.int32).tobytes(), place[i].tobytes(), np.full(len(i), length).tobytes(), np.stack([first_hash[i], second_hash[i]], axis=1).tobytes()))

@@ -70,3 +70,16 @@ def test_near_vectors_match_brute_force(spark, monkeypatch, rows_a_pivot):
 
 def test_near_vectors_of_nothing(spark):
     assert metric.near_vectors(table(spark, [(0, [1.0], 0, "n", "s")]).limit(0)).count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1e30, 1.0], 0, "n", "s"), (50, [1e13, -3e12], 0, "n", "s"), (1, [1e30, -1.0], 0, "n", "s"), (2, [3e12, 1e13], 0, "n", "s"), (3, [0.5, 0.25], 0, "n", "s"), (4, [-1e30, 0.0], 0, "n", "s")]
+    rows = [(i, [float(np.float32(x)) for x in v], *rest) for i, v, *rest in rows]
+    df = table(spark, rows)
+    got = {tuple(r) for r in topk.top_k(df, df.where("vec_id % 50 = 0")).collect()}
+    whole = {i: [int(np.floor(256 * np.float64(x))) for x in v] for i, v, *_ in rows}
+    want = set()
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in whole.items() if i != q)[:5]
+        want |= {(q, r, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best, 1)}
+    assert {(q, i, s) for q, _, i, s in got} == {(q, i, s) for q, _, i, s in want}

@@ -407,3 +407,58 @@ def test_language_model_of_nothing(documents):
 def test_remainder_is_the_ids_crc(documents):
     got = {r.doc_id: r.m for r in documents(["a"] * 20).select("doc_id", common.id_remainder("doc_id", 5).alias("m")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 for i in range(20)}
+
+
+# --- cases of one id, clashing names, long texts and lost files
+
+
+def test_language_sample_is_bounded(spark, documents):
+    texts = [f"text number {i} of the label" for i in range(3000)]
+    one_id = langid.fit(documents(texts, ids=[7] * 3000), sample_docs=5)
+    alone = langid.fit(documents([min(texts)]), sample_docs=5)
+    assert one_id.languages == ["en"] and all((a == b).all() for a, b in zip(one_id.costs, alone.costs, strict=True))
+    long = langid.fit(documents(["aaaa " * 4000] + ["bb cc"] * 10), sample_bytes=2000)  # the long text is in no one's way
+    assert not (long.grams[0].find(np.array([256 + ord("a")], np.uint64)) >= 0).any()
+    assert (langid.fit(documents(["aaaa " * 4000]), sample_bytes=2000).grams[0].find(np.array([256 + ord("a")], np.uint64)) >= 0).all()
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_line_dedup_names_and_repeated_rows(spark, most):
+    names = ["doc_id", "text", "source", "h", "listed", "row", "salt", "lines_dropped", "c0", "__host"]
+    rows = [(1 if i < 10 else i, f"menu\nown {i % 5}", "s", *["kept"] * 7) for i in range(30)] + [(None, "menu", None, *["kept"] * 7)]
+    got = lines.drop_boilerplate(spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names)), broadcast_lines=most)
+    assert sorted(got.columns) == sorted(names)
+    found = [(r.doc_id, r.text, r.source, r.h, r["__host"], r.lines_dropped) for r in got.collect()]
+    want = [(r[0], "", "s", "kept", "kept", 2) for r in rows[:30]] + [(None, "menu", None, "kept", "kept", 0)]
+    assert sorted(map(repr, found)) == sorted(map(repr, want))
+
+
+def test_a_lost_model_file_is_an_error(spark, documents, tmp_path):
+    import dataclasses
+    import os
+    import shutil
+
+    texts = ["a b c", "b c d", "c d e " * 20]
+    model = lm.fit(documents(texts))
+    copy = dataclasses.replace(model, folder=str(tmp_path / "model"))  # no worker has it open
+    shutil.copytree(model.folder.removeprefix("file:"), copy.folder)
+    assert lm.score(documents(texts), model).count() == 3
+    os.remove(sorted(str(f) for f in (tmp_path / "model").glob("words*"))[0])
+    with pytest.raises(Exception, match="No such file|not find"):
+        lm.score(documents(texts), copy).collect()
+    lm.delete(copy)
+    assert not os.path.exists(copy.folder) and lm.score(documents(texts), model).count() == 3
+
+
+def test_long_texts_cross_slices(documents, tokenizer, monkeypatch):
+    long = " ".join(sample(11, 40))
+    texts = [long, "short one", None, long + " more"]
+    for module, name in ((tokens, "SLICE_BYTES"), (lm, "SLICE_BYTES"), (jaccard, "SLICE_BYTES"), (langid, "SLICE")):
+        monkeypatch.setattr(module, name, 1 << 9)
+    coder = tokens.WordEncoder(tokenizer("word_bpe_49k.json"), cache_words=40)
+    want = [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [i.tolist() for i in coder.encode_texts(texts)] == want and len(coder.keys) < 2000
+    raw, offsets = common.text_buffer(__import__("pyarrow").array(texts))
+    items, ends = jaccard.shingle_sets(raw, offsets, 5)
+    whole = words_of(long)
+    assert ends[1] == len({tuple(whole[i : i + 5]) for i in range(len(whole) - 4)})
