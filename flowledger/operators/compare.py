@@ -37,7 +37,7 @@ def matrix_names(processes: DataFrame) -> DataFrame:
     return depths.select("process", "leaf").distinct().join(need, "leaf").select("process", _suffix(F.split("process", ":"), F.col("need")).alias("name"))
 
 
-#: Routes by path folder, and by the ends of process names that show which one ran; the first that fits counts.
+#: Routes by path folder, and by the ends of process names that show which one ran; the first that fits counts.
 ROUTE_FOLDERS = {"star_salmon": "salmon", "star_rsem": "rsem", "hisat2": "hisat2"}
 ROUTE_PROCESSES = {"rsem": ("RSEM_CALCULATEEXPRESSION",), "hisat2": ("HISAT2_ALIGN",), "salmon": ("STAR_ALIGN", "STAR_ALIGN_IGENOMES")}
 
@@ -106,6 +106,8 @@ def pivot_matrix(long: DataFrame, runs: list[str]) -> DataFrame:
 
 def report_tables(stats: DataFrame, tags: DataFrame, totals: DataFrame, recs: DataFrame, r: Rates, top: int = 25, top_sized: int = 15) -> dict[str, DataFrame]:
     """The tables of a run report: totals as metric and value, processes, tags, right-sizing, tight limits and guarded processes."""
+    stats = stats.drop("exact")
+    recs = recs.drop("exact")
     names = display_names(stats).select(F.col("run_id").alias("_r"), F.col("process").alias("_p"), "name")
     named = lambda df: df.join(names, (df["run_id"] == F.col("_r")) & (df["process"] == F.col("_p"))).drop("_r", "_p")
     metrics = ["tasks", "failed_tasks", "cached_tasks", "total_cost", "total_waste", "failed_cost", "cpu_h_requested", "cpu_h_used", "gib_h_requested", "gib_h_used"]

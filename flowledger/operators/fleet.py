@@ -9,8 +9,9 @@ from . import pricing
 
 
 def reconcile_cpu_hours(totals: DataFrame, headers: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """Computed requested CPU-hours against the header's figure (``1'177.0``)."""
-    stated = headers.select(F.col("run_id").alias("_r"), F.regexp_replace("cpu_hours", "'", "").try_cast("double").alias("stated"))
+    """Computed requested CPU-hours against the header's figure: its first word, with thousands set apart (``1'177.0 (4.2% failed)``)."""
+    first = F.regexp_extract("cpu_hours", r"^\s*(\S+)", 1)
+    stated = headers.select(F.col("run_id").alias("_r"), F.regexp_replace(first, "[',]", "").try_cast("double").alias("stated"))
     joined = totals.join(stated, totals["run_id"] == stated["_r"])
     return joined.select("run_id", "cpu_h_requested", "stated", (F.abs(F.col("cpu_h_requested") - F.col("stated")) <= tolerance).alias("agrees"))
 
@@ -38,14 +39,32 @@ def share_history(stats: DataFrame) -> DataFrame:
     return ranks.groupBy("process").agg(F.count("*").alias("runs"), F.min("share").alias("least_share"), F.max("share").alias("most_share"), F.min("rank").alias("best_rank"), F.max("rank").alias("worst_rank"))
 
 
+def share_by_release(stats: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each process's cost share and rank in each run, with the run's ``position`` from ``runs(run_id, position)``."""
+    order = runs.select(F.col("run_id").alias("_r"), "position")
+    ranks = pricing.ranked(pricing.with_share(stats), "cost", "process")
+    return ranks.join(order, ranks["run_id"] == order["_r"]).select("position", "run_id", "process", "share", "rank")
+
+
+def share_band(history: DataFrame, first: int, last: int) -> DataFrame:
+    """Range of each process's share over the runs between two positions, both included."""
+    return history.where(F.col("position").between(first, last)).groupBy("process").agg(F.count("*").alias("runs"), F.min("share").alias("least_share"), F.max("share").alias("most_share"))
+
+
 def release_delta(stats: DataFrame, names: DataFrame, before: str, after: str) -> DataFrame:
-    """Cost and hours of each name in two runs, and the change; a name in one run only has null on the other side."""
+    """Cost, hours and largest requests of each name in two runs, and the change of cost; a name in one run only has null on the other side."""
     renamed = names.select(F.col("process").alias("_p"), "name")
-    named = stats.join(renamed, stats["process"] == F.col("_p"))
-    side = lambda run, x: named.where(F.col("run_id") == run).groupBy(F.col("name").alias(f"name_{x}")).agg(pricing.fixed_sum(F.col("cost")).alias(f"cost_{x}"), pricing.fixed_sum(F.col("realtime_h")).alias(f"hours_{x}"))
-    joined = side(before, "before").join(side(after, "after"), F.col("name_before") == F.col("name_after"), "full")
-    change = F.coalesce("cost_after", F.lit(0.0)) - F.coalesce("cost_before", F.lit(0.0))
-    return joined.select(F.coalesce("name_before", "name_after").alias("name"), "cost_before", "cost_after", "hours_before", "hours_after", change.alias("change"))
+    named = stats.where(F.col("run_id").isin(before, after)).join(renamed, stats["process"] == F.col("_p"))
+    of = {"before": F.col("run_id") == before, "after": F.col("run_id") == after}
+    figures = [f.alias(f"{n}_{x}") for x, own in of.items() for n, f in (("cost", pricing.fixed_sum(F.when(own, F.col("cost")))), ("hours", pricing.fixed_sum(F.when(own, F.col("realtime_h")))), ("cpus", F.max(F.when(own, F.col("max_cpus")))), ("mem_gib", F.max(F.when(own, F.col("max_mem_gib")))))]
+    joined = named.groupBy("name").agg(*figures)
+    return joined.withColumn("change", F.coalesce("cost_after", F.lit(0.0)) - F.coalesce("cost_before", F.lit(0.0)))
+
+
+def biggest_mover(delta: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """The name whose cost changed most, either way, of those not named in ``without`` (ties: the first name)."""
+    rest = delta.where(~F.col("name").isin(*without)) if without else delta
+    return rest.select(F.abs("change").alias("moved"), "name", "change").orderBy(F.desc("moved"), "name").limit(1).select("name", "change")
 
 
 def outside_band(totals: DataFrame, low: float, high: float) -> DataFrame:
@@ -88,20 +107,32 @@ def metering_audit(tasks: DataFrame) -> DataFrame:
 
 
 def attempt_history(tasks: DataFrame) -> DataFrame:
-    """Attempts of each (run, process, tag) in order, long form, with the number of attempts (null as 1)."""
+    """Attempts of each (run, process, tag) in order, long form, with the number of attempts (null as 1); untagged tasks of a process are one series."""
     attempt = F.coalesce("attempt", F.lit(1))
     group = Window.partitionBy("run_id", "process", "tag")
-    return tasks.where("tag is not null").select("run_id", "process", "tag", attempt.alias("attempt"), "status", "exit", "realtime_ms", F.row_number().over(group.orderBy(attempt, "pos")).alias("step"), F.max(attempt).over(group).alias("most_attempts"))
+    return tasks.select("run_id", "process", "tag", attempt.alias("attempt"), "status", "exit", "realtime_ms", F.row_number().over(group.orderBy(attempt, "pos")).alias("step"), F.max(attempt).over(group).alias("most_attempts"))
 
 
-def launch_changes(runs: DataFrame, columns: tuple[str, ...] = ("profile", "nextflow_version")) -> DataFrame:
+def launch_changes(runs: DataFrame, columns: tuple[str, ...] = ("profile", "nextflow_version"), by: str | None = None) -> DataFrame:
     """For each run in order, which launch facts differ from the run before (null-safe; the first run has no changes).
 
-    ``runs`` needs ``position``; the window runs over one row a run.
+    ``runs`` needs ``position``; the window runs over one row a run, or one row a run of each group of the column ``by``.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy("position")
+    group = [by] if by else []
+    order = Window.partitionBy(*(group or [F.lit(0)])).orderBy("position")
     first = F.lag(F.lit(1)).over(order).isNull()
-    return runs.select("run_id", "position", *[(~first & ~F.lag(c).over(order).eqNullSafe(F.col(c))).alias(f"{c}_changed") for c in columns])
+    return runs.select("run_id", *group, "position", *[(~first & ~F.lag(c).over(order).eqNullSafe(F.col(c))).alias(f"{c}_changed") for c in columns])
+
+
+def launched_tasks(tasks: DataFrame) -> DataFrame:
+    """``(run_id, process, script, image, registry)`` of the first task of each process in each run, its tag masked in the script.
+
+    ``image`` is the container's last two path components, ``registry`` what stands before them.
+    """
+    first = tasks.groupBy("run_id", "process").agg(F.min_by(F.struct("script", "container", "tag"), "pos").alias("t"))
+    script = F.when(F.col("t.tag").isNull() | (F.col("t.tag") == ""), F.col("t.script")).otherwise(F.replace("t.script", "t.tag", F.lit("<S>")))
+    image = F.regexp_extract("t.container", r"((?:[^/]+/)?[^/]+)$", 1)
+    return first.select("run_id", "process", script.alias("script"), image.alias("image"), F.substr("t.container", F.lit(1), F.length("t.container") - F.length(image)).alias("registry"))
 
 
 def sample_range(tags: DataFrame, pattern: str) -> DataFrame:

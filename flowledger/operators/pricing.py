@@ -86,18 +86,10 @@ def fixed_sum(x: Column, window=None, digits: int = 6) -> Column:
     return (total if window is None else total.over(window)).cast("double") / scale
 
 
-def _hours(c: Column, per: float) -> Column:
-    """Exact sum of long products over ``per``: high and low bits are summed apart, so neither overflows, and joined once."""
+def _exact(c: Column) -> Column:
+    """Exact sum of long products: high and low bits are summed apart, so neither overflows, and joined once."""
     high, low = F.sum(F.shiftright(c, 30)), F.sum(c.bitwiseAND(F.lit((1 << 30) - 1)))
-    total = high.cast("decimal(20,0)") * F.lit(1 << 30).cast("decimal(10,0)") + low.cast("decimal(20,0)")
-    return F.coalesce(total.cast("double"), F.lit(0.0)) / per
-
-
-def _amounts(where: Column | None = None) -> tuple[Column, Column]:
-    cpu, mem = F.col("cpu_priced"), F.col("mem_priced")
-    if where is not None:
-        cpu, mem = F.when(where, cpu), F.when(where, mem)
-    return _hours(cpu, CPU_HOUR), _hours(mem, GIB_HOUR)
+    return F.coalesce(high.cast("decimal(20,0)") * F.lit(1 << 30).cast("decimal(10,0)") + low.cast("decimal(20,0)"), F.lit(0).cast("decimal(31,0)")).cast("decimal(31,0)")
 
 
 def _cost(cpu: str | Column, mem: str | Column, r: Rates) -> Column:
@@ -105,15 +97,39 @@ def _cost(cpu: str | Column, mem: str | Column, r: Rates) -> Column:
     return of(cpu) * r.cpu_hour + of(mem) * r.gib_hour
 
 
-def _usage() -> list[Column]:
+def _amounts() -> dict[str, tuple[Column, float]]:
+    """The hours of a group of priced tasks: what is summed exactly, and over what it is divided."""
+    cpu, mem = F.col("cpu_priced"), F.col("mem_priced")
+    failed, cached = ~F.col("ok"), F.col("status") == "CACHED"
+    return {
+        "realtime_h": (F.col("ms"), HOUR_MS),
+        "cpu_h_used": (F.col("cpu_used"), CPU_HOUR),
+        "gib_h_used": (F.col("mem_used"), GIB_HOUR),
+        "cpu_h_req_metered": (F.col("cpu_metered"), CPU_HOUR),
+        "gib_h_req_metered": (F.col("mem_metered"), GIB_HOUR),
+        "priced_cpu_h": (cpu, CPU_HOUR),
+        "priced_gib_h": (mem, GIB_HOUR),
+        "failed_cpu_h": (F.when(failed, cpu), CPU_HOUR),
+        "failed_gib_h": (F.when(failed, mem), GIB_HOUR),
+        "cached_cpu_h": (F.when(cached, cpu), CPU_HOUR),
+        "cached_gib_h": (F.when(cached, mem), GIB_HOUR),
+        "cpu_h_requested": (F.col("cpu_requested"), CPU_HOUR),
+        "gib_h_requested": (F.col("mem_requested"), GIB_HOUR),
+    }
+
+
+def _hours(names, exact: str = "exact") -> dict[str, Column]:
+    """Hours from the exact sums in the struct column ``exact``."""
+    per = {n: p for n, (_, p) in _amounts().items()}
+    return {n: F.col(f"{exact}.{n}").cast("double") / per[n] for n in names}
+
+
+def _counts() -> list[Column]:
     return [
-        _hours(F.col("ms"), HOUR_MS).alias("realtime_h"),
-        _hours(F.col("cpu_used"), CPU_HOUR).alias("cpu_h_used"),
-        _hours(F.col("mem_used"), GIB_HOUR).alias("gib_h_used"),
-        _hours(F.col("cpu_metered"), CPU_HOUR).alias("cpu_h_req_metered"),
-        _hours(F.col("mem_metered"), GIB_HOUR).alias("gib_h_req_metered"),
-        *[c.alias(n) for c, n in zip(_amounts(), ("priced_cpu_h", "priced_gib_h"), strict=True)],
-        *[c.alias(n) for c, n in zip(_amounts(~F.col("ok")), ("failed_cpu_h", "failed_gib_h"), strict=True)],
+        F.count("*").alias("tasks"),
+        F.count_if(~F.col("ok")).alias("failed_tasks"),
+        F.count_if(F.col("status") == "CACHED").alias("cached_tasks"),
+        F.count_if(F.col("cpus_units").isNull() | F.col("memory_kib").isNull()).alias("tasks_without_requests"),
         F.count_if(F.col("pct_cpu_units").isNotNull() | F.col("peak_rss_kib").isNotNull()).alias("tasks_with_metrics"),
     ]
 
@@ -126,25 +142,24 @@ def with_waste(df: DataFrame, r: Rates) -> DataFrame:
 
 
 def process_stats(priced: DataFrame, r: Rates) -> DataFrame:
-    """A row for each run and process: counts, hours, maxima of requests and peaks, cost, efficiency and waste."""
+    """A row for each run and process: counts, hours, maxima of requests and peaks, cost, efficiency and waste.
+
+    The struct ``exact`` holds the sums that the hours come from, so that totals of runs need no second pass over the tasks.
+    """
     largest = lambda c, where, per: F.coalesce(F.max(F.when(where, F.col(c))), F.lit(0)) / per
     requested = F.col("cpus_units").isNotNull() & F.col("memory_kib").isNotNull()
     first, every = F.coalesce("attempt", F.lit(1)) == 1, F.lit(True)
     retry = F.coalesce("attempt", F.lit(1)) > 1
     stats = priced.groupBy("run_id", "process").agg(
-        F.count("*").alias("tasks"),
-        F.count_if(~F.col("ok")).alias("failed_tasks"),
+        *_counts(),
         F.count_if(retry).alias("retried_tasks"),
         F.count_if("killed").alias("killed_tasks"),
         (F.count("attempt") > 0).alias("attempts_known"),
         F.count("pct_cpu_units").alias("tasks_with_cpu"),
         F.count("peak_rss_kib").alias("tasks_with_rss"),
         F.count_if(F.col("ok") & F.col("pct_cpu_units").isNotNull() & F.col("peak_rss_kib").isNotNull()).alias("completed_with_metrics"),
-        F.count_if(~requested).alias("tasks_without_requests"),
         (F.count_if(requested) > 0).alias("has_requests"),
-        *_usage(),
-        _hours(F.col("cpu_requested"), CPU_HOUR).alias("cpu_h_requested"),
-        _hours(F.col("mem_requested"), GIB_HOUR).alias("gib_h_requested"),
+        F.struct(*[_exact(c).alias(n) for n, (c, _) in _amounts().items()]).alias("exact"),
         *[largest("cpus_units", requested & w, CORE_UNITS).alias(n) for n, w in (("max_cpus", every), ("base_cpus", first), ("retry_cpus", ~first))],
         *[largest("memory_kib", requested & w, GIB_KIB).alias(n) for n, w in (("max_mem_gib", every), ("base_mem_gib", first), ("retry_mem_gib", ~first))],
         *[largest("time_ms", w, HOUR_MS).alias(n) for n, w in (("max_limit_h", every), ("base_limit_h", first), ("retry_limit_h", ~first))],
@@ -152,7 +167,7 @@ def process_stats(priced: DataFrame, r: Rates) -> DataFrame:
         largest("peak_rss_kib", every, GIB_KIB).alias("max_rss_gib"),
         largest("ms", every, HOUR_MS).alias("max_realtime_h"),
     )
-    stats = stats.withColumns(
+    stats = stats.withColumns(_hours(_amounts())).withColumns(
         {
             "cost": _cost("priced_cpu_h", "priced_gib_h", r),
             "failed_cost": _cost("failed_cpu_h", "failed_gib_h", r),
@@ -164,31 +179,30 @@ def process_stats(priced: DataFrame, r: Rates) -> DataFrame:
 
 
 def tag_stats(priced: DataFrame, r: Rates) -> DataFrame:
-    """A row for each run and tag; tasks without a tag are a group of their own."""
-    stats = priced.groupBy("run_id", "tag").agg(F.count("*").alias("tasks"), F.countDistinct("process").alias("processes"), *_usage())
+    """A row for each run and tag; tasks without a tag are a group of their own.
+
+    Tasks are first summed by (run, tag, process), so that a hot tag's processes are counted from few rows.
+    """
+    sums = priced.groupBy("run_id", "tag", "process").agg(*_counts(), *[_exact(c).alias(n) for n, (c, _) in _amounts().items()])
+    counts = ("tasks", "failed_tasks", "cached_tasks", "tasks_without_requests", "tasks_with_metrics")
+    stats = sums.groupBy("run_id", "tag").agg(*[F.sum(c).alias(c) for c in counts], F.count("*").alias("processes"), F.struct(*[F.sum(n).alias(n) for n in _amounts()]).alias("exact"))
+    stats = stats.withColumns(_hours(_amounts())).drop("exact")
     return with_waste(stats.withColumns({"cost": _cost("priced_cpu_h", "priced_gib_h", r), "failed_cost": _cost("failed_cpu_h", "failed_gib_h", r)}), r)
 
 
-def run_totals(processes: DataFrame, priced: DataFrame, r: Rates) -> DataFrame:
-    """A row for each run. Amounts come from the tasks' exact sums; waste is the sum of the processes' waste."""
-    requested = F.col("cpus_units").isNotNull() & F.col("memory_kib").isNotNull()
-    cached = F.col("status") == "CACHED"
-    totals = priced.groupBy("run_id").agg(
-        F.count("*").alias("tasks"),
-        F.count_if(~F.col("ok")).alias("failed_tasks"),
-        F.count_if(cached).alias("cached_tasks"),
-        F.count_if(~requested).alias("tasks_without_requests"),
-        F.count_if(F.col("pct_cpu_units").isNull() & F.col("peak_rss_kib").isNull()).alias("tasks_without_metrics"),
-        *_usage(),
-        _hours(F.col("cpu_requested"), CPU_HOUR).alias("cpu_h_requested"),
-        _hours(F.col("mem_requested"), GIB_HOUR).alias("gib_h_requested"),
-        *[c.alias(n) for c, n in zip(_amounts(cached), ("cached_cpu_h", "cached_gib_h"), strict=True)],
+def run_totals(processes: DataFrame, r: Rates) -> DataFrame:
+    """A row for each run from its :func:`process_stats`: exact sums of the processes' sums; waste is the sum of the processes' waste."""
+    counts = ("tasks", "failed_tasks", "cached_tasks", "tasks_without_requests", "tasks_with_metrics")
+    totals = processes.groupBy("run_id").agg(
+        *[F.sum(c).alias(c) for c in counts],
+        F.count("*").alias("processes"),
+        F.struct(*[F.sum(f"exact.{n}").alias(n) for n in _amounts()]).alias("exact"),
+        fixed_sum(F.coalesce("waste", F.lit(0.0))).alias("total_waste"),
     )
+    totals = totals.withColumns(_hours(_amounts())).drop("exact").withColumn("tasks_without_metrics", F.col("tasks") - F.col("tasks_with_metrics"))
     totals = totals.withColumns({"total_cost": _cost("priced_cpu_h", "priced_gib_h", r), "failed_cost": _cost("failed_cpu_h", "failed_gib_h", r), "cached_cost": _cost("cached_cpu_h", "cached_gib_h", r)})
-    waste = processes.groupBy(F.col("run_id").alias("_run")).agg(fixed_sum(F.coalesce("waste", F.lit(0.0))).alias("total_waste"), F.count("*").alias("processes"))
     metered = F.col("cpu_h_req_metered") * r.cpu_hour + F.col("gib_h_req_metered") * r.gib_hour
-    joined = totals.join(waste, totals["run_id"] == waste["_run"]).drop("_run").withColumn("metered_cost", metered)
-    return joined.withColumn("unused_share", F.when(F.col("metered_cost") > 0, F.col("total_waste") / F.col("metered_cost")))
+    return totals.withColumn("metered_cost", metered).withColumn("unused_share", F.when(F.col("metered_cost") > 0, F.col("total_waste") / F.col("metered_cost")))
 
 
 def reprice(totals: DataFrame, table: DataFrame) -> DataFrame:

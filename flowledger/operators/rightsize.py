@@ -74,7 +74,7 @@ def config_blocks(recs: DataFrame) -> DataFrame:
             line(F.col("cpus_new") < F.col("cpus_now"), "        cpus   = ", F.col("cpus_new").cast("string")),
             line(F.col("mem_new_gib") < F.col("mem_now_gib"), "        memory = '", units.memory_literal(F.col("mem_new_gib")), "'"),
             line((F.col("time_new_h") > 0) & (F.col("time_new_h") < F.col("time_now_h")), "        time   = '", units.duration_literal(F.col("time_new_h")), "'"),
-            line(F.col("time_tight"), "        // time: longest task ", F.format_string("%.1f", F.col("max_realtime_h")), " h of the ", units.show_hours(F.col("time_now_h")), " limit; consider raising it"),
+            line(F.col("time_tight"), "        // near its limit: ", F.format_string("%.1f", F.col("max_realtime_h")), " h used of ", units.show_hours(F.col("time_now_h"))),
         )
     )
     blocks = recs.where("not needs_escalation").withColumn("lines", lines).where(F.size("lines") > 0)
@@ -82,7 +82,7 @@ def config_blocks(recs: DataFrame) -> DataFrame:
 
 
 #: Heading of a config fragment.
-HEADING = "// Review before use. Only lowered values are written; each replaces the pipeline's setting,\n// including its retry escalation. What isn't written stays as it is.\nprocess {\n"
+HEADING = "// Requests lowered to what the tasks of this run used, with a margin.\n// A process without an entry keeps its settings; an entry also ends growth on retry.\nprocess {\n"
 
 
 def config_fragments(recs: DataFrame) -> DataFrame:

@@ -58,36 +58,38 @@ def merge_tasks(trace: DataFrame, report: DataFrame) -> DataFrame:
     k-th with k-th in file order, where the trace row or the report record has no hash. Non-empty report strings and known report
     values come first, and a matched task's tag is always the report's. Unmatched rows of both sides stay, trace rows first.
     A run without a report keeps its deduplicated trace; one without a trace keeps its report as it is.
+
+    Both sides are one table that is shuffled twice: by (run, hash), which deduplicates and matches, and by (run, name) for what is
+    left; matched rows are dealt by their place there, so they crowd no name.
     """
-    t = dedup_tasks(trace)
-    traced = t.select(F.col("run_id").alias("_r")).distinct()
-    alone = report.join(traced, report["run_id"] == F.col("_r"), "left_anti")
-    r = report.join(traced, report["run_id"] == F.col("_r"), "left_semi").withColumn("_last", F.row_number().over(Window.partitionBy("run_id", "hash").orderBy(F.desc("pos"))))
-    columns = [*STRINGS, *OPTIONAL, "tag", "pos", "path"]
-    right = r.select(F.col("run_id").alias("r_run"), *[F.col(c).alias(f"r_{c}") for c in columns], "_last")
-    hashes = right.where("r_hash <> '' and _last = 1")
-    by_hash = t.join(hashes, (t["run_id"] == F.col("r_run")) & (t["hash"] == F.col("r_hash")) & (t["hash"] != ""), "left")
-    matched = by_hash.where("r_run is not null")
-    open_trace = by_hash.where("r_run is null").select(*t.columns)
-    used = matched.select(F.col("run_id").alias("u_run"), F.col("r_pos").alias("u_pos"))
-    open_report = right.join(used, (F.col("r_run") == F.col("u_run")) & (F.col("r_pos") == F.col("u_pos")), "left_anti")
+    held = [*STRINGS, *OPTIONAL, "tag"]
+    of_side = lambda df, n: df.select("run_id", "path", "pos", *held, F.lit(n).alias("side"))
+    rows = of_side(trace, 0).unionByName(of_side(report, 1))
+    traced, reported = F.col("side") == 0, F.col("side") == 1
+    record = F.struct(*held)
+
+    # Of a report's rows without a hash each is a group of its own, as no trace row can match it here.
+    report_key = F.when(F.col("hash") != "", F.concat(F.lit("h"), "hash")).otherwise(F.concat(F.lit("r"), F.col("pos").cast("string")))
+    rows = rows.withColumn("_key", F.when(reported, report_key).otherwise(_key()))
+    task = Window.partitionBy("run_id", "_key")
+    own = Window.partitionBy("run_id", "_key", "side")
+    rows = rows.withColumns({"_rank": F.row_number().over(own.orderBy(F.desc("pos"))), "_first": F.min("pos").over(own)})
+    rows = rows.where(reported | (F.col("_rank") == 1))
+    last = reported & (F.col("_rank") == 1)
+    rows = rows.withColumns({"_match": F.when(traced, F.max(F.when(last, record)).over(task)), "_taken": last & (F.min("side").over(task) == 0)})
+    rows = rows.where("not _taken").withColumn("pos", F.when(traced, F.col("_first")).otherwise(F.col("pos"))).drop("_key", "_rank", "_first", "_taken")
+
     # A trace has hashes or it hasn't: with them, only report records without one pair by name.
-    open_trace = open_trace.withColumn("_k", F.row_number().over(Window.partitionBy("run_id", "name").orderBy("pos")))
-    with_hash = t.groupBy("run_id").agg(F.max((F.col("hash") != "").cast("int")).alias("_hashed")).select(F.col("run_id").alias("h_run"), "_hashed")
-    able = open_report.join(with_hash, F.col("r_run") == F.col("h_run")).where("_hashed = 0 or r_hash = ''").drop("h_run", "_hashed")
-    able = able.withColumn("r_k", F.row_number().over(Window.partitionBy("r_run", "r_name").orderBy("r_pos")))
-    by_name = open_trace.join(able, (F.col("run_id") == F.col("r_run")) & (F.col("name") == F.col("r_name")) & (F.col("_k") == F.col("r_k")), "left")
-    named = by_name.where("r_run is not null")
-    only_trace = by_name.where("r_run is null").select(*t.columns)
-    used_names = named.select(F.col("run_id").alias("n_run"), F.col("r_pos").alias("n_pos"))
-    only_report = open_report.join(used_names, (F.col("r_run") == F.col("n_run")) & (F.col("r_pos") == F.col("n_pos")), "left_anti")
-
-    def both(df: DataFrame) -> DataFrame:
-        picked = [F.coalesce(F.nullif(f"r_{c}", F.lit("")), c).alias(c) for c in STRINGS] + [F.coalesce(f"r_{c}", c).alias(c) for c in OPTIONAL]
-        return df.select("run_id", "path", F.lit("both").alias("source"), "pos", *picked, F.col("r_tag").alias("tag"), F.lit(0).alias("side"))
-
-    plain = [*STRINGS, *OPTIONAL]
-    left = only_trace.select("run_id", "path", F.lit("trace").alias("source"), "pos", *plain, "tag", F.lit(0).alias("side"))
-    rest = only_report.select(F.col("r_run").alias("run_id"), F.col("r_path").alias("path"), F.lit("report").alias("source"), F.col("r_pos").alias("pos"), *[F.col(f"r_{c}").alias(c) for c in plain], F.col("r_tag").alias("tag"), F.lit(1).alias("side"))
-    untouched = alone.select("run_id", "path", F.lit("report").alias("source"), "pos", *plain, "tag", F.lit(1).alias("side"))
-    return both(matched).unionByName(both(named)).unionByName(left).unionByName(rest).unionByName(untouched)
+    is_open = F.col("_match").isNull()
+    rows = rows.withColumn("_name", F.when(is_open, F.concat(F.lit("n"), "name")).otherwise(F.concat(F.lit("m"), F.col("pos").cast("string"))))
+    hashed = F.max(F.when(traced, F.col("hash") != "")).over(Window.partitionBy("run_id", "_name"))
+    rows = rows.withColumn("_able", is_open & (traced | (F.col("hash") == "") | ~F.coalesce(hashed, F.lit(True))))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("run_id", "_name", "_able", "side").orderBy("pos")))
+    pair = Window.partitionBy("run_id", "_name", "_able", "_k")
+    by_name = F.max(F.when(reported & F.col("_able"), record)).over(pair)
+    rows = rows.withColumns({"_match": F.when(traced & F.col("_able"), by_name).otherwise(F.col("_match")), "_taken": reported & F.col("_able") & (F.min("side").over(pair) == 0)})
+
+    both = F.col("_match").isNotNull()
+    picked = [F.coalesce(F.nullif(F.col(f"_match.{c}"), F.lit("")), c).alias(c) for c in STRINGS] + [F.coalesce(f"_match.{c}", c).alias(c) for c in OPTIONAL]
+    source = F.when(both, "both").when(traced, "trace").otherwise("report")
+    return rows.where("not _taken").select("run_id", "path", source.alias("source"), "pos", *picked, F.when(both, F.col("_match.tag")).otherwise(F.col("tag")).alias("tag"), "side")

@@ -86,6 +86,12 @@ _TAGGED = "'tag-' || substr(sha256('fixed-salt' || chr(0) || {0}), 1, 10)"
 _VALUED = "'redacted-' || substr(sha256('fixed-salt' || chr(0) || {0}), 1, 10)"
 _FILE = "run_id || '/part' || CAST((pos - 1) // 2000 AS VARCHAR)"
 
+_SIDE = "SELECT name, {dec_cost} AS cost_{x}, {dec_hours} AS hours_{x}, max(max_cpus) AS cpus_{x}, max(max_mem_gib) AS mem_gib_{x} FROM ps JOIN mn USING (process) WHERE run_id = '{run}' GROUP BY name"
+_DELTA = (
+    "SELECT coalesce(a.name, b.name) AS name, " + ", ".join(f"{c}_{x}" for c in ("cost", "hours", "cpus", "mem_gib") for x in ("before", "after")) + ", coalesce(cost_after, 0.0) - coalesce(cost_before, 0.0) AS change FROM ("
+    + _SIDE.format(dec_cost=_dec("cost"), dec_hours=_dec("realtime_h"), x="before", run="run1") + ") a FULL JOIN (" + _SIDE.format(dec_cost=_dec("cost"), dec_hours=_dec("realtime_h"), x="after", run="run2") + ") b ON a.name = b.name"
+)
+
 BODIES: dict[str, str] = {
     "process_cost": "SELECT run_id, CAST(rank AS INT) AS rank, process, tasks, failed_tasks, cost, share, cpu_efficiency, mem_efficiency, waste FROM sh",
     "process_statistics": "SELECT run_id, process, tasks, retried_tasks, killed_tasks, attempts_known, tasks_with_metrics, tasks_with_cpu, tasks_with_rss, completed_with_metrics, has_requests, realtime_h, cpu_h_requested, cpu_h_used, gib_h_requested, gib_h_used, cpu_h_req_metered, gib_h_req_metered, max_cores_used, max_rss_gib, max_realtime_h, failed_cost FROM ps",
@@ -118,12 +124,12 @@ BODIES: dict[str, str] = {
     "recommendations": "SELECT run_id, process, cpus_now, cpus_new, mem_now_gib, mem_new_gib, time_now_h, time_new_h, saving, needs_escalation, time_tight FROM rc",
     "not_sized": "SELECT run_id, process, tasks, completed_with_metrics FROM ps WHERE has_requests AND completed_with_metrics * 2 < tasks",
     "total_saving": f"SELECT rt.run_id, coalesce(s.saving, 0.0) AS saving, CASE WHEN total_cost > 0 THEN coalesce(s.saving, 0.0) / total_cost END AS saving_share FROM rt LEFT JOIN (SELECT run_id, {_dec('saving')} AS saving FROM rc GROUP BY run_id) s ON rt.run_id = s.run_id",
-    "config_fragments": """SELECT run_id, '// Review before use. Only lowered values are written; each replaces the pipeline''s setting,' || chr(10) || '// including its retry escalation. What isn''t written stays as it is.' || chr(10) || 'process {' || chr(10) || string_agg(b, chr(10) ORDER BY saving DESC, cost DESC, process) || chr(10) || '}' || chr(10) AS fragment
+    "config_fragments": """SELECT run_id, '// Requests lowered to what the tasks of this run used, with a margin.' || chr(10) || '// A process without an entry keeps its settings; an entry also ends growth on retry.' || chr(10) || 'process {' || chr(10) || string_agg(b, chr(10) ORDER BY saving DESC, cost DESC, process) || chr(10) || '}' || chr(10) AS fragment
       FROM (SELECT *, '    withName: ''' || process || ''' {' || chr(10) || array_to_string(l, chr(10)) || chr(10) || '    }' AS b FROM (SELECT *, list_filter([
         CASE WHEN cpus_new < cpus_now THEN '        cpus   = ' || cpus_new END,
         CASE WHEN mem_new_gib < mem_now_gib THEN '        memory = ''' || CAST(mem_new_gib AS BIGINT) || '.GB''' END,
         CASE WHEN time_new_h > 0 AND time_new_h < time_now_h THEN '        time   = ''' || CASE WHEN time_new_h = floor(time_new_h) THEN CAST(time_new_h AS BIGINT) || '.h' ELSE CAST(round(time_new_h * 60) AS BIGINT) || '.m' END || '''' END,
-        CASE WHEN time_tight THEN '        // time: longest task ' || printf('%.1f', max_realtime_h) || ' h of the ' || CAST(time_now_h AS BIGINT) || 'h limit; consider raising it' END], lambda x: x IS NOT NULL) AS l FROM rc WHERE NOT needs_escalation) WHERE len(l) > 0) GROUP BY run_id""",
+        CASE WHEN time_tight THEN '        // near its limit: ' || printf('%.1f', max_realtime_h) || ' h used of ' || CAST(time_now_h AS BIGINT) || 'h' END], lambda x: x IS NOT NULL) AS l FROM rc WHERE NOT needs_escalation) WHERE len(l) > 0) GROUP BY run_id""",
     "config_literals": """SELECT DISTINCT memory_kib, realtime_ms, CASE WHEN memory_kib IS NULL THEN NULL WHEN memory_kib % 1048576 = 0 THEN memory_kib // 1048576 || '.GB' WHEN memory_kib >= 1024 THEN memory_kib // 1024 || '.MB' ELSE memory_kib || '.KB' END AS memory,
       CASE WHEN s % 3600 = 0 THEN s // 3600 || '.h' WHEN s % 60 = 0 THEN s // 60 || '.m' ELSE s || '.s' END AS time FROM (SELECT *, greatest(realtime_ms // 1000, 1) AS s FROM t)""",
     "display_names": "SELECT run_id, process, name FROM dn",
@@ -137,40 +143,63 @@ BODIES: dict[str, str] = {
     "share_matrix_pivot": f"SELECT m.name, {', '.join(f'max(share) FILTER (run_id = ' + chr(39) + f'run{i}' + chr(39) + f') AS run{i}' for i in range(7))} FROM (SELECT name, run_id, CAST(sum(CAST(floor(share * 1000000000000.0 + 0.5) AS BIGINT)) AS DOUBLE) / 1000000000000.0 AS share FROM sh JOIN mn USING (process) GROUP BY name, run_id) m JOIN (SELECT name, {_dec('c')} AS total FROM (SELECT name, run_id, {_dec('cost')} AS c FROM sh JOIN mn USING (process) GROUP BY name, run_id) GROUP BY name ORDER BY total DESC, name LIMIT 15) n ON m.name = n.name GROUP BY m.name",
     "top_processes": "SELECT run_id, CAST(rank AS INT) AS rank, process, cost FROM sh WHERE rank <= 25",
     "report_totals": "SELECT run_id, metric, value FROM (UNPIVOT (SELECT run_id, " + ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in ("tasks", "failed_tasks", "cached_tasks", "total_cost", "total_waste", "failed_cost", "cpu_h_requested", "cpu_h_used", "gib_h_requested", "gib_h_used")) + " FROM rt) ON COLUMNS(* EXCLUDE run_id) INTO NAME metric VALUE value)",
+    "report_processes": "SELECT sh.run_id, CAST(rank AS INT) AS rank, name, tasks, cost, share, cpu_efficiency, mem_efficiency FROM sh JOIN dn ON dn.run_id = sh.run_id AND dn.process = sh.process WHERE rank <= 25",
+    "report_tags": f"SELECT run_id, CAST(rank AS INT) AS rank, tag, tasks, processes, cost, CASE WHEN tot > 0 THEN cost / tot ELSE 0.0 END AS share FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY cost DESC, tag NULLS FIRST) AS rank, CAST(sum(CAST(floor(cost * 1000000.0 + 0.5) AS BIGINT)) OVER (PARTITION BY run_id) AS DOUBLE) / 1000000.0 AS tot FROM ts) WHERE rank <= 25",
+    "report_right_sizing": "SELECT r.run_id, CAST(rank AS INT) AS rank, name, cpus_now, cpus_new, mem_now_gib, mem_new_gib, saving FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY saving DESC, process) AS rank FROM rc WHERE NOT needs_escalation) r JOIN dn ON dn.run_id = r.run_id AND dn.process = r.process WHERE rank <= 15",
+    "report_tight_and_kept": "SELECT rc.run_id, name, l AS list FROM rc JOIN dn ON dn.run_id = rc.run_id AND dn.process = rc.process JOIN (VALUES ('tight'), ('kept')) v(l) ON CASE l WHEN 'tight' THEN time_tight ELSE needs_escalation END",
     "inspect_runs": f"SELECT {_FILE} AS path, 'trace' AS kind, count(*) AS tasks, CAST(0 AS BIGINT) AS with_requests, count(*) FILTER (pct_cpu_units IS NOT NULL OR peak_rss_kib IS NOT NULL) AS with_metrics, '%cpu,exit,hash,name,peak_rss,realtime,status' AS columns, concat_ws('; ', CASE WHEN count(*) FILTER (pct_cpu_units IS NOT NULL OR peak_rss_kib IS NOT NULL) = 0 THEN 'no usage metrics: priced but not right-sized' END, 'no cpus or memory columns') AS notes FROM lens GROUP BY 1",
-    "manifest_check": "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 3 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'unlisted' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'ok' END AS status FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 7 <> 0",
+    "manifest_check": """SELECT coalesce(h.path, w.path) AS path, CASE WHEN h.path IS NULL THEN 'missing' WHEN w.path IS NULL THEN 'unlisted' WHEN w.changed THEN 'changed' ELSE 'ok' END AS status
+      FROM (SELECT CAST(doc_id AS VARCHAR) AS path FROM documents) h FULL JOIN (SELECT CAST(doc_id AS VARCHAR) || CASE WHEN n_chars % 7 = 0 THEN '.old' ELSE '' END AS path, n_chars % 5 = 0 AS changed FROM documents) w ON h.path = w.path""",
     "pseudonyms": f"SELECT DISTINCT tag, {_TAGGED.format('tag')} AS as_tag, {_VALUED.format('tag')} AS as_value FROM lens WHERE tag IS NOT NULL",
     "redacted_tasks": f"SELECT run_id, pos, hash, process, process || ' (' || {_TAGGED.format(chr(99) + 'oalesce(tag, ' + chr(39) + '1' + chr(39) + ')')} || ')' AS name, coalesce({_TAGGED.format('tag')}, '-') AS tag, {_VALUED.format('(' + chr(39) + 'queue-' + chr(39) + ' || substr(process, 6, 3))')} AS queue, {_VALUED.format('(' + chr(39) + '/work/' + chr(39) + ' || hash)')} AS workdir FROM t",
     "redaction_map": f"SELECT DISTINCT kind, CASE kind WHEN 'tag' THEN {_TAGGED.format('o')} ELSE {_VALUED.format('o')} END AS pseudonym, o AS original FROM (SELECT 'tag' AS kind, coalesce(tag, '1') AS o FROM t UNION SELECT 'value', 'queue-' || substr(process, 6, 3) FROM t UNION SELECT 'value', '/work/' || hash FROM t)",
-    "redaction_collisions": f"SELECT right(pseudonym, 2) AS ending, count(DISTINCT pseudonym) AS pseudonyms, count(DISTINCT o) AS originals FROM (SELECT o, CASE kind WHEN 'tag' THEN {_TAGGED.format('o')} ELSE {_VALUED.format('o')} END AS pseudonym FROM (SELECT 'tag' AS kind, coalesce(tag, '1') AS o FROM t UNION SELECT 'value', 'queue-' || substr(process, 6, 3) FROM t UNION SELECT 'value', '/work/' || hash FROM t)) GROUP BY 1",
-    "redaction_invariance": "SELECT count(*) AS differences FROM t WHERE FALSE",
-    "redacted_headers": f"SELECT run_id, {_VALUED.format('(' + chr(39) + 'nextflow run ' + chr(39) + ' || run_id)')} AS command, {_VALUED.format(chr(39) + 'https://github.com/pipes/rna' + chr(39))} AS repository, CASE WHEN k > 3 THEN 'aws' ELSE 'local' END AS profile FROM rn",
+    "redaction_collisions": f"SELECT right(pseudonym, 4) AS pseudonym, count(DISTINCT o) AS originals FROM (SELECT o, CASE kind WHEN 'tag' THEN {_TAGGED.format('o')} ELSE {_VALUED.format('o')} END AS pseudonym FROM (SELECT 'tag' AS kind, coalesce(tag, '1') AS o FROM t UNION SELECT 'value', 'queue-' || substr(process, 6, 3) FROM t UNION SELECT 'value', '/work/' || hash FROM t)) GROUP BY 1 HAVING count(DISTINCT o) > 1",
+    "redaction_counts": "SELECT kind, count(*) AS originals FROM (SELECT 'tag' AS kind, coalesce(tag, '1') AS o FROM t UNION SELECT 'value', 'queue-' || substr(process, 6, 3) FROM t UNION SELECT 'value', '/work/' || hash FROM t) GROUP BY kind",
+    "redaction_invariance": f"""SELECT rt.run_id, rt.tasks, processes, g.tags, g.tag_groups, total_cost, total_waste, unused_share, coalesce(s.saving, 0.0) AS saving FROM rt
+      JOIN (SELECT run_id, count(tag) AS tags, count(*) AS tag_groups FROM ts GROUP BY run_id) g ON g.run_id = rt.run_id LEFT JOIN (SELECT run_id, {_dec('saving')} AS saving FROM rc GROUP BY run_id) s ON s.run_id = rt.run_id""",
+    "redacted_traces": f"""SELECT run_id, hash, process || ' (' || {_TAGGED.format("coalesce(tag, '1')")} || ')' AS name, status,
+      (realtime_ms // 3600000) || 'h ' || (realtime_ms // 60000 % 60) || 'm ' || (realtime_ms // 1000 % 60) || 's ' || (realtime_ms % 1000) || 'ms' AS realtime FROM lens""",
+    "redacted_reports": f"""SELECT run_id, hash, process, coalesce({_TAGGED.format("tag")}, '-') AS tag, process || ' (' || {_TAGGED.format("coalesce(tag, '1')")} || ')' AS name, {_VALUED.format("'it''s </done>'")} AS script,
+      CAST(cpus_units // 100000 AS VARCHAR) AS cpus, CAST(memory_kib * 1024 AS VARCHAR) AS memory FROM lens""",
+    "redacted_headers": f"""SELECT run_id, {_VALUED.format("('nextflow run ' || run_id)")} AS command, {_VALUED.format("'https://github.com/pipes/rna'")} AS repository, CASE WHEN k > 3 THEN 'aws' ELSE 'local' END AS profile,
+      {_VALUED.format("('cannot read' || chr(10) || '  /data/' || run_id)")} AS error_text, {_VALUED.format("('run-' || run_id)")} AS run_name, '24.' || k % 3 AS nextflow_version FROM rn""",
+    "header_scan": f"""SELECT 'scanned' AS what, 'odd ' || run_id AS text FROM rn UNION ALL SELECT DISTINCT {_VALUED.format('o')}, o FROM (
+      SELECT unnest(['nextflow run ' || run_id, 'https://github.com/pipes/rna', 'cannot read' || chr(10) || '  /data/' || run_id, 'cannot read', '/data/' || run_id, 'run-' || run_id]) AS o FROM rn)""",
     "leak_scan": "SELECT DISTINCT doc_id AS id, item_id AS value FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
+    "leak_scan_tokens": """SELECT DISTINCT doc_id AS id, value FROM documents JOIN (SELECT CAST(item_id AS VARCHAR) AS value, text AS needle FROM benchmark
+      UNION ALL SELECT 'word ' || item_id, regexp_extract(text, '([A-Za-z]{5,})', 1) FROM benchmark WHERE regexp_extract(text, '([A-Za-z]{5,})', 1) <> '') b ON contains(documents.text, needle)""",
     "location_markers": "SELECT doc_id AS id, concat_ws(',', CASE WHEN contains(text, '@') THEN '@' END, CASE WHEN contains(text, 'example.com') THEN 'example.com' END) AS markers FROM documents WHERE contains(text, '@') OR contains(text, 'example.com')",
     "usage_quantiles": "SELECT process, count(*) AS tasks, quantile_cont(CAST(pct_cpu_units AS DOUBLE), 0.25) AS q25, quantile_cont(CAST(pct_cpu_units AS DOUBLE), 0.5) AS q50, quantile_cont(CAST(pct_cpu_units AS DOUBLE), 0.75) AS q75, CAST(sum(pct_cpu_units) AS DOUBLE) / count(*) AS mean, CAST(min(pct_cpu_units) AS DOUBLE) AS least, CAST(max(pct_cpu_units) AS DOUBLE) AS most FROM t WHERE pct_cpu_units IS NOT NULL GROUP BY process",
     "quantiles_since_release": "SELECT t.run_id, count(*) AS tasks, quantile_cont(CAST(realtime_ms AS DOUBLE), 0.25) AS q25, quantile_cont(CAST(realtime_ms AS DOUBLE), 0.75) AS q75, CAST(sum(realtime_ms) AS DOUBLE) / count(*) AS mean, CAST(min(realtime_ms) AS DOUBLE) AS least, CAST(max(realtime_ms) AS DOUBLE) AS most FROM t JOIN ro USING (run_id) WHERE ro.key >= [3, 8] GROUP BY t.run_id",
     "share_history": "SELECT process, count(*) AS runs, min(share) AS least_share, max(share) AS most_share, CAST(min(rank) AS INT) AS best_rank, CAST(max(rank) AS INT) AS worst_rank FROM sh GROUP BY process",
-    "release_delta": f"SELECT coalesce(a.name, b.name) AS name, cost_before, cost_after, hours_before, hours_after, coalesce(cost_after, 0.0) - coalesce(cost_before, 0.0) AS change FROM (SELECT name, {_dec('cost')} AS cost_before, {_dec('realtime_h')} AS hours_before FROM ps JOIN mn USING (process) WHERE run_id = 'run1' GROUP BY name) a FULL JOIN (SELECT name, {_dec('cost')} AS cost_after, {_dec('realtime_h')} AS hours_after FROM ps JOIN mn USING (process) WHERE run_id = 'run2' GROUP BY name) b ON a.name = b.name",
+    "share_by_release": "SELECT CAST(position AS INT) AS position, sh.run_id, process, share, CAST(rank AS INT) AS rank FROM sh JOIN ro ON ro.run_id = sh.run_id",
+    "share_band": "SELECT process, count(*) AS runs, min(share) AS least_share, max(share) AS most_share FROM sh JOIN ro ON ro.run_id = sh.run_id WHERE position BETWEEN 2 AND 4 GROUP BY process",
+    "release_delta": _DELTA,
+    "biggest_mover": f"SELECT name, change FROM ({_DELTA}) WHERE name <> 'STANDARD_ALIGN' ORDER BY abs(change) DESC, name LIMIT 1",
     "outside_band": "SELECT run_id, unused_share FROM rt WHERE unused_share < 0.5 OR unused_share > 0.62",
     "run_selection": """SELECT release, route, coalesce(max_by(m, s || m) FILTER (ok), max_by(m, s || m) FILTER (bad AND route = 'rsem')) AS run_id FROM (
       SELECT revision AS release, substr(order_date, 1, 7) AS m, CASE WHEN CAST(substr(order_date, 6, 2) AS INT) % 2 = 0 THEN 'rsem' ELSE 'salmon' END AS route, min(order_date) AS s, count(*) FILTER (status = 'FAILED') * 100 <= 8 * count(*) AS ok,
       bool_or(status = 'FAILED' AND process LIKE '%ALIGN') AS bad FROM t GROUP BY 1, 2, 3) GROUP BY release, route HAVING coalesce(max_by(m, s || m) FILTER (ok), max_by(m, s || m) FILTER (bad AND route = 'rsem')) IS NOT NULL""",
     "metering_audit": "SELECT run_id, count(*) FILTER (status = 'COMPLETED') AS completed, count(*) FILTER (status = 'COMPLETED' AND pct_cpu_units IS NULL AND peak_rss_kib IS NULL) AS completed_unmetered, bool_and(pct_cpu_units IS NULL AND peak_rss_kib IS NULL) AS unmetered FROM t GROUP BY run_id",
-    "attempt_history": "SELECT run_id, process, tag, attempt, status, exit, realtime_ms, CAST(row_number() OVER (PARTITION BY run_id, process, tag ORDER BY attempt, pos) AS INT) AS step, max(attempt) OVER (PARTITION BY run_id, process, tag) AS most_attempts FROM t WHERE tag IS NOT NULL",
+    "attempt_history": "SELECT run_id, process, tag, attempt, status, exit, realtime_ms, CAST(row_number() OVER (PARTITION BY run_id, process, tag ORDER BY attempt, pos) AS INT) AS step, max(attempt) OVER (PARTITION BY run_id, process, tag) AS most_attempts FROM t",
     "launch_changes": "SELECT run_id, CAST(position AS INT) AS position, coalesce((k > 3) <> lag(k > 3) OVER (ORDER BY position), FALSE) AS profile_changed, coalesce(k % 3 <> lag(k % 3) OVER (ORDER BY position), FALSE) AS nextflow_version_changed FROM ro",
+    "script_changes": """SELECT x.run_id, x.process, CAST(x.position AS INT) AS position, coalesce(x.s <> lag(x.s) OVER w, FALSE) AS script_changed, FALSE AS image_changed, coalesce(x.g <> lag(x.g) OVER w, FALSE) AS registry_changed
+      FROM (SELECT ps.run_id, process, position, CASE WHEN process LIKE '%SMALL%' THEN k % 2 ELSE 0 END AS s, k > 3 AS g FROM ps JOIN ro ON ro.run_id = ps.run_id) x WINDOW w AS (PARTITION BY x.process ORDER BY x.position)""",
     "request_history": "SELECT process, count(*) AS runs, min(base_cpus) AS least_base_cpus, max(base_cpus) AS most_base_cpus, min(base_mem_gib) AS least_base_mem_gib, max(base_mem_gib) AS most_base_mem_gib, min(base_limit_h) AS least_base_limit_h, max(base_limit_h) AS most_base_limit_h, count(DISTINCT base_cpus) = 1 AND count(DISTINCT base_mem_gib) = 1 AND count(DISTINCT base_limit_h) = 1 AS constant, max(max_cores_used) AS most_cores_used FROM ps WHERE has_requests GROUP BY process",
     "sample_range": "SELECT run_id, count(*) AS samples, min(cost) AS least, max(cost) AS most FROM ts WHERE tag IN ('S0', 'S1', 'S2', 'S3') GROUP BY run_id",
     "used_unused_by_release": "SELECT CAST(position AS INT) AS position, rt.run_id, metered_cost - total_waste AS used_cost, total_waste AS unused_cost FROM rt JOIN ro ON ro.run_id = rt.run_id",
     "cores_per_task": "SELECT process, count(*) AS tasks, quantile_cont(CAST(pct_cpu_units AS DOUBLE), 0.5) / 100000.0 AS median_cores FROM t WHERE status = 'COMPLETED' AND pct_cpu_units IS NOT NULL GROUP BY process",
     "escalation_audit": "SELECT process, count(*) AS runs, " + ", ".join(f"count(*) FILTER ({c}) AS {c}" for c in ("over_memory", "over_time", "retried_memory", "retried_cpus", "retried_time", "was_killed")) + ", count(*) FILTER (was_killed AND NOT (over_memory OR over_time OR retried_memory OR retried_cpus OR retried_time)) AS only_killed FROM rc GROUP BY process",
     "cached_audit": "SELECT run_id, count(*) FILTER (status = 'CACHED') AS cached, count(*) AS tasks, count(*) FILTER (status = 'CACHED') / count(*) AS cached_share FROM t GROUP BY run_id",
-    "cpu_hours_reconcile": "SELECT run_id, floor(cpu_h_requested) AS stated, abs(cpu_h_requested - floor(cpu_h_requested)) <= 0.5 AS agrees FROM rt",
+    "cpu_hours_reconcile": "SELECT run_id, t / 10 AS stated, run_id <> 'run2' AS agrees FROM (SELECT run_id, sum(CAST(cpus_units AS HUGEINT) * realtime_ms) // 36000000000 + CASE WHEN run_id = 'run2' THEN 10 ELSE 0 END AS t FROM t GROUP BY run_id)",
     "failure_tail": "SELECT run_id || '|' || hash AS run_id, CASE WHEN killed THEN 'Parsed ' || pos || ' entries' ELSE 'done' END AS last_line, CASE WHEN killed THEN pos END AS parsed, exit IS NULL AS timed_out FROM p WHERE status = 'FAILED'",
     "read_amplification": "SELECT run_id, hash, realtime_ms + 1 AS input_bytes, peak_rss_kib * 1024 / (realtime_ms + 1) AS amplification FROM t WHERE peak_rss_kib IS NOT NULL AND pos % 2 = 0",
     "scaling_table": """SELECT benchmark, variant, wall_s, first_value(wall_s) OVER w / wall_s AS speed_up, variant * wall_s AS cpus_x_wall, cpu_s / first_value(cpu_s) OVER w AS relative_cpu
       FROM (SELECT run_id AS benchmark, cpus_units // 100000 AS variant, max(realtime_ms) / 1000.0::DOUBLE AS wall_s, CAST(sum(realtime_ms) AS DOUBLE) / 1000.0::DOUBLE AS cpu_s FROM t WHERE cpus_units IS NOT NULL GROUP BY 1, 2) WINDOW w AS (PARTITION BY benchmark ORDER BY variant)""",
-    "output_identity": "SELECT source AS benchmark, substr(text, 1, 20) AS file, count(*) AS variants, count(DISTINCT sha256(text)) = 1 AS identical FROM documents GROUP BY 1, 2",
-    "analysis_documents": "SELECT rt.run_id, a.n AS processes, coalesce(b.n, 0) AS recommendations, coalesce(c.n, 0) AS not_sized, rt.tasks FROM rt JOIN (SELECT run_id, count(*) AS n FROM ps GROUP BY 1) a ON a.run_id = rt.run_id LEFT JOIN (SELECT run_id, count(*) AS n FROM rc GROUP BY 1) b ON b.run_id = rt.run_id LEFT JOIN (SELECT run_id, count(*) AS n FROM ps WHERE has_requests AND completed_with_metrics * 2 < tasks GROUP BY 1) c ON c.run_id = rt.run_id",
+    "output_identity": "SELECT source AS benchmark, CAST(n_chars AS VARCHAR) AS file, count(*) AS variants, count(DISTINCT sha256(text)) = 1 AS identical FROM documents GROUP BY 1, 2",
+    "analysis_documents": f"""SELECT ps.run_id, rt.tasks, rt.total_cost, 'seqera-compute' AS rates, CAST({_RC} AS DOUBLE) AS cpu_hour, rn.revision, CASE WHEN k > 3 THEN 'aws' ELSE 'local' END AS profile, ps.process, ps.cost, rc.saving,
+      CASE WHEN ps.has_requests AND ps.completed_with_metrics * 2 < ps.tasks THEN ps.completed_with_metrics END AS completed_with_metrics
+      FROM ps JOIN rt ON rt.run_id = ps.run_id JOIN rn ON rn.run_id = ps.run_id LEFT JOIN rc ON rc.run_id = ps.run_id AND rc.process = ps.process""",
 }
 
 

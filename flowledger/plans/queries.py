@@ -35,8 +35,12 @@ def _stats(spark, d):
 
 
 def _totals(spark, d):
-    priced = _priced(spark, d)
-    return pricing.run_totals(pricing.process_stats(priced, RATES), priced, RATES)
+    return pricing.run_totals(_stats(spark, d), RATES)
+
+
+def _kept(df):
+    """A small table (a row for each run and process) that a query uses several times, computed once."""
+    return df.persist()
 
 
 def _recs(spark, d):
@@ -232,9 +236,7 @@ def run_headers(spark, d):
 
 @query
 def page_titles(spark, d):
-    pages = spark.read.parquet(f"{d}/pages.parquet")
-    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    return pages.select("page_id", F.trim(F.regexp_replace(title, "(?s)<[^>]*>", "")).alias("title"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", files.title(F.col("html")).alias("title"))
 
 
 @query
@@ -249,7 +251,8 @@ def not_sized(spark, d):
 
 @query
 def total_saving(spark, d):
-    return rightsize.total_saving(_recs(spark, d), _totals(spark, d))
+    stats = _kept(_stats(spark, d))
+    return rightsize.total_saving(rightsize.recommend(stats, RATES), pricing.run_totals(stats, RATES))
 
 
 @query
@@ -295,17 +298,20 @@ def start_dates(spark, d):
 
 @query
 def compare_runs(spark, d):
-    return compare.compare_runs(_totals(spark, d), _stats(spark, d), compare.matrix_names(_tasks(spark, d)))
+    stats = _kept(_stats(spark, d))
+    return compare.compare_runs(pricing.run_totals(stats, RATES), stats, compare.matrix_names(stats))
 
 
 @query
 def share_matrix_long(spark, d):
-    return compare.share_matrix(_stats(spark, d), compare.matrix_names(_tasks(spark, d)))
+    stats = _kept(_stats(spark, d))
+    return compare.share_matrix(stats, compare.matrix_names(stats))
 
 
 @query
 def share_matrix_pivot(spark, d):
-    return compare.pivot_matrix(compare.share_matrix(_stats(spark, d), compare.matrix_names(_tasks(spark, d))), [f"run{i}" for i in range(7)])
+    stats = _kept(_stats(spark, d))
+    return compare.pivot_matrix(compare.share_matrix(stats, compare.matrix_names(stats)), [f"run{i}" for i in range(7)])
 
 
 @query
@@ -313,10 +319,35 @@ def top_processes(spark, d):
     return pricing.top_k(_stats(spark, d), 25, "cost", "process").select("run_id", "rank", "process", "cost")
 
 
+def _report(spark, d):
+    stats = _kept(_stats(spark, d))
+    return compare.report_tables(stats, pricing.tag_stats(_priced(spark, d), RATES), pricing.run_totals(stats, RATES), rightsize.recommend(stats, RATES), RATES)
+
+
 @query
 def report_totals(spark, d):
-    stats, totals = _stats(spark, d), _totals(spark, d)
-    return compare.report_tables(stats, pricing.tag_stats(_priced(spark, d), RATES), totals, _recs(spark, d), RATES)["totals"]
+    return _report(spark, d)["totals"]
+
+
+@query
+def report_processes(spark, d):
+    return _report(spark, d)["processes"].select("run_id", "rank", "name", "tasks", "cost", "share", "cpu_efficiency", "mem_efficiency")
+
+
+@query
+def report_tags(spark, d):
+    return _report(spark, d)["tags"].select("run_id", "rank", "tag", "tasks", "processes", "cost", "share")
+
+
+@query
+def report_right_sizing(spark, d):
+    return _report(spark, d)["right_sizing"].select("run_id", "rank", "name", "cpus_now", "cpus_new", "mem_now_gib", "mem_new_gib", "saving")
+
+
+@query
+def report_tight_and_kept(spark, d):
+    tables = _report(spark, d)
+    return tables["tight"].select("run_id", "name", F.lit("tight").alias("list")).union(tables["kept"].select("run_id", "name", F.lit("kept").alias("list")))
 
 
 @query
@@ -328,13 +359,14 @@ def inspect_runs(spark, d):
 
 @query
 def manifest_check(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"), "doc_id")
-    listed = docs.where("doc_id % 7 <> 0").select("path", F.when(F.col("doc_id") % 5 == 0, "changed").otherwise(F.col("sha256")).alias("sha256"))
-    return files.verify_manifest(docs.where("doc_id % 3 <> 0").select("path", "sha256"), listed)
+    """All documents against a manifest of all of them in which some were renamed and some changed since."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"), "n_chars")
+    listed = docs.select(F.when(F.col("n_chars") % 7 == 0, F.concat("path", F.lit(".old"))).otherwise(F.col("path")).alias("path"), F.when(F.col("n_chars") % 5 == 0, "changed").otherwise(F.col("sha256")).alias("sha256"))
+    return files.verify_manifest(docs.select("path", "sha256"), listed)
 
 
 def _raw(spark, d):
-    """Lens rows as raw records."""
+    """Lens rows as raw records, two fields of which aren't known."""
     t = _tasks(spark, d)
     keys = {"hash": "hash", "process": "process", "name": "name", "tag": F.coalesce("tag", F.lit("-")), "status": "status", "queue": F.concat(F.lit("queue-"), F.substring("process", 6, 3)), "workdir": F.concat(F.lit("/work/"), "hash")}
     return t.select("run_id", F.col("run_id").alias("path"), "pos", F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.col(v) if isinstance(v, str) else v for v in keys.values()])).alias("f"), F.lit(None).cast("string").alias("error"))
@@ -357,24 +389,63 @@ def redaction_map(spark, d):
     return redact.redaction_map(_raw(spark, d), SALT)
 
 
+@query
+def redaction_counts(spark, d):
+    return redact.map_counts(redact.redaction_map(_raw(spark, d), SALT))
+
+
 @query
 def redaction_collisions(spark, d):
-    return redact.redaction_map(_raw(spark, d), SALT).groupBy(F.substring("pseudonym", -2, 2).alias("ending")).agg(F.count_distinct("pseudonym").alias("pseudonyms"), F.count_distinct("original").alias("originals"))
+    """Collisions of pseudonyms cut to their last four characters."""
+    return redact.collisions(redact.redaction_map(_raw(spark, d), SALT).withColumn("pseudonym", F.substring("pseudonym", -4, 4)))
 
 
 @query
 def redaction_invariance(spark, d):
-    """Rows that differ between the figures of the tasks and of their redacted copy, tags aside: none."""
-    t = _tasks(spark, d)
-    masked = t.withColumns({"tag": units.pseudonym(F.col("tag"), "tag", SALT), "name": redact.redact_name(F.col("name"), F.col("process"), SALT)})
-    figures = lambda x: pricing.process_stats(pricing.price_tasks(x), RATES).select("run_id", "process", "tasks", "cost", "waste")
-    return figures(t).exceptAll(figures(masked)).unionByName(figures(masked).exceptAll(figures(t))).groupBy().agg(F.count("*").alias("differences"))
+    """Figures of the redacted records, read again as tasks: those of the tasks themselves."""
+    shown = {"%cpu": F.concat((F.col("pct_cpu_units") / 1000).cast("decimal(20,1)").cast("string"), F.lit("%")), "peak_rss": F.concat(F.col("peak_rss_kib").cast("string"), F.lit(" KB")), "cpus": (F.col("cpus_units") / 100_000).cast("long").cast("string"), "memory": (F.col("memory_kib") * 1024).cast("string"), "time": F.col("time_ms").cast("string"), "realtime": F.col("realtime_ms").cast("string"), "exit": F.col("exit").cast("string"), "attempt": F.col("attempt").cast("string")}
+    keys = {"hash": F.col("hash"), "process": F.col("process"), "name": F.col("name"), "tag": F.col("tag"), "status": F.col("status"), **shown}
+    raw = _tasks(spark, d).select("run_id", F.col("run_id").alias("path"), "pos", F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[_cell(v) for v in keys.values()])).alias("f"))
+    priced = pricing.price_tasks(tasks.to_tasks(redact.redact_records(raw, SALT), "report"))
+    stats = _kept(pricing.process_stats(priced, RATES))
+    tags = pricing.tag_stats(priced, RATES).groupBy(F.col("run_id").alias("_t")).agg(F.count_if(F.col("tag").startswith("tag-")).alias("tags"), F.count("*").alias("tag_groups"))
+    totals = rightsize.total_saving(rightsize.recommend(stats, RATES), pricing.run_totals(stats, RATES)).withColumnRenamed("run_id", "_s")
+    runs = pricing.run_totals(stats, RATES)
+    return runs.join(tags, F.col("run_id") == F.col("_t")).join(totals, F.col("run_id") == F.col("_s")).select("run_id", "tasks", "processes", "tags", "tag_groups", "total_cost", "total_waste", "unused_share", "saving")
+
+
+@query
+def redacted_traces(spark, d):
+    """Trace files redacted as text, and read again."""
+    again = files.parse_traces(redact.redact_trace_files(_trace_files(spark, d), SALT))
+    return again.select("run_id", *[F.col("f")[k].alias(k) for k in ("hash", "name", "status", "realtime")])
+
+
+@query
+def redacted_reports(spark, d):
+    """Reports' task objects redacted, and read again as reports."""
+    json = redact.redact_reports(_report_files(spark, d), SALT)
+    again = files.parse_reports(json.select("run_id", "path", F.concat(F.lit("<script>window.data = "), "json", F.lit(";</script>")).alias("content")))
+    return again.select("run_id", *[F.col("f")[k].alias(k) for k in ("hash", "process", "tag", "name", "script", "cpus", "memory")])
+
+
+def _failed_headers(spark, d):
+    """Headers of failed runs with a run name, an error text and a field that isn't known."""
+    extra = F.concat(F.lit("<title>[run-"), "run_id", F.lit('] report</title><div class="alert alert-danger"><p>x</p><pre>cannot read\n  /data/'), "run_id", F.lit("</pre></div><dt>Nextflow command</dt><dd><code>nextflow run "), "run_id", F.lit("</code></dd><dt>Odd field</dt><dd>odd "), "run_id", F.lit("</dd><dt>Script name</dt><dd>main.nf</dd>"))
+    return files.parse_headers(_header_files(spark, d).withColumn("content", F.concat(extra, "content")))
 
 
 @query
 def redacted_headers(spark, d):
-    facts = redact.redact_headers(files.parse_headers(_header_files(spark, d)).withColumn("command", F.concat(F.lit("nextflow run "), "run_id")), SALT)
-    return facts.select("run_id", "command", "repository", "profile")
+    return redact.redact_headers(_failed_headers(spark, d), SALT).select("run_id", "command", "repository", "profile", "error_text", "run_name", "nextflow_version")
+
+
+@query
+def header_scan(spark, d):
+    """What is scanned of redacted headers, and the originals that it is scanned for."""
+    facts = _failed_headers(spark, d)
+    scanned = redact.header_texts(redact.redact_headers(facts, SALT)).where("text like 'odd %'").select(F.lit("scanned").alias("what"), "text")
+    return scanned.union(redact.header_map(facts, SALT).select("pseudonym", "original"))
 
 
 @query
@@ -384,6 +455,15 @@ def leak_scan(spark, d):
     return redact.leak_scan(docs, wanted)
 
 
+@query
+def leak_scan_tokens(spark, d):
+    """The same scan by words instead of a broadcast: benchmark passages, their first words, and tags of the tasks."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").cast("string").alias("value"), F.col("text").alias("needle"))
+    first = items.select(F.concat(F.lit("word "), "value").alias("value"), F.regexp_extract("needle", "([A-Za-z]{5,})", 1).alias("needle")).where("needle <> ''")
+    return redact.leak_scan(docs, items.union(first), most_chars=0)
+
+
 @query
 def location_markers(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
@@ -407,9 +487,29 @@ def share_history(spark, d):
     return fleet.share_history(_stats(spark, d))
 
 
+@query
+def share_by_release(spark, d):
+    return fleet.share_by_release(_stats(spark, d), compare.order_runs(_runs(spark, d)))
+
+
+@query
+def share_band(spark, d):
+    return fleet.share_band(fleet.share_by_release(_stats(spark, d), compare.order_runs(_runs(spark, d))), 2, 4)
+
+
+def _delta(spark, d):
+    stats = _kept(_stats(spark, d))
+    return fleet.release_delta(stats, compare.matrix_names(stats), "run1", "run2")
+
+
 @query
 def release_delta(spark, d):
-    return fleet.release_delta(_stats(spark, d), compare.matrix_names(_tasks(spark, d)), "run1", "run2")
+    return _delta(spark, d)
+
+
+@query
+def biggest_mover(spark, d):
+    return fleet.biggest_mover(_delta(spark, d), ("STANDARD_ALIGN",))
 
 
 @query
@@ -442,6 +542,17 @@ def launch_changes(spark, d):
     return fleet.launch_changes(compare.order_runs(_runs(spark, d)))
 
 
+@query
+def script_changes(spark, d):
+    """Scripts and containers of each process from run to run: the image moves to another registry, and one process's script changes."""
+    order = compare.order_runs(_runs(spark, d)).select(F.col("run_id").alias("_r"), "position")
+    number = F.substring("run_id", 4, 2).cast("int")
+    t = _tasks(spark, d).withColumns({"script": F.concat(F.lit("align "), F.coalesce("tag", F.lit("all")), F.lit(" --x "), F.when(F.col("process").contains("SMALL"), number % 2).otherwise(0).cast("string")), "container": F.concat(F.when(number > 3, "wave.example/x/").otherwise("quay.example/"), F.lit("bio/"), F.lower(F.substring("process", 6, 3)))})
+    t = t.withColumn("script", F.when(F.col("tag").isNull(), F.regexp_replace("script", "align all", "align <S>")).otherwise(F.col("script")))
+    launched = fleet.launched_tasks(t)
+    return fleet.launch_changes(launched.join(order, launched["run_id"] == order["_r"]), ("script", "image", "registry"), by="process")
+
+
 @query
 def request_history(spark, d):
     return fleet.request_history(_stats(spark, d))
@@ -474,9 +585,13 @@ def cached_audit(spark, d):
 
 @query
 def cpu_hours_reconcile(spark, d):
-    totals = _totals(spark, d)
-    stated = totals.select("run_id", F.concat(F.floor(F.col("cpu_h_requested") / 1000).cast("string"), F.lit("'"), F.lpad((F.floor(F.col("cpu_h_requested")) % 1000).cast("string"), 3, "0"), F.lit(".0")).alias("cpu_hours"))
-    return fleet.reconcile_cpu_hours(totals, stated, 0.5).select("run_id", "stated", "agrees")
+    """The figure as the runs' headers state it: requested seconds summed straight from the tasks, with thousands and failures named; run 2's is an hour off."""
+    tenths = F.floor(F.sum(F.expr("CAST(cpus_units AS DECIMAL(20,0)) * realtime_ms")) / F.lit(36_000_000_000).cast("decimal(20,0)")) + F.when(F.col("run_id") == "run2", 10).otherwise(0)
+    stated = _tasks(spark, d).groupBy("run_id").agg(tenths.cast("long").alias("t"))
+    whole = F.floor(F.col("t") / 10)
+    text = F.concat(F.floor(whole / 1000).cast("string"), F.lit("'"), F.lpad((whole % 1000).cast("string"), 3, "0"), F.lit("."), (F.col("t") % 10).cast("string"), F.lit(" (4.2% failed)"))
+    headers = stated.select("run_id", F.col("run_id").alias("path"), F.concat(F.lit("<dt>CPU-Hours</dt><dd>"), text, F.lit('</dd><script>window.data = {"trace":[]};</script>')).alias("content"))
+    return fleet.reconcile_cpu_hours(_totals(spark, d), files.parse_headers(headers), 0.1).select("run_id", "stated", "agrees")
 
 
 @query
@@ -501,16 +616,20 @@ def scaling_table(spark, d):
 @query
 def output_identity(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return fleet.output_identity(docs.select("source", F.substring("text", 1, 20).alias("file"), F.sha2("text", 256).alias("sha256")).withColumnRenamed("source", "benchmark"))
+    return fleet.output_identity(docs.select(F.col("source").alias("benchmark"), F.col("n_chars").cast("string").alias("file"), F.sha2("text", 256).alias("sha256")))
 
 
 @query
 def analysis_documents(spark, d):
-    """Lengths of the parts of each run's JSON document."""
-    stats = _stats(spark, d)
-    docs = sinks.analysis_json(_totals(spark, d), stats.select("run_id", "process", "cost"), _recs(spark, d).select("run_id", "process", "saving"), rightsize.not_sized(stats))
-    sizes = [F.coalesce(F.json_array_length(F.get_json_object("json", f"$.{k}")), F.lit(0)).cast("long").alias(k) for k in ("processes", "recommendations", "not_sized")]
-    return docs.select("run_id", *sizes, F.get_json_object("json", "$.tasks").cast("long").alias("tasks"))
+    """Each run's JSON document, read again: a row for each process."""
+    stats = _kept(_stats(spark, d))
+    runs = _runs(spark, d).select("run_id", "revision", "profile")
+    docs = sinks.analysis_json(pricing.run_totals(stats, RATES), stats.select("run_id", "process", "cost"), rightsize.recommend(stats, RATES).select("run_id", "process", "saving"), rightsize.not_sized(stats), runs, RATES)
+    schema = "run_id string, tasks long, total_cost double, rates struct<name:string,cpu_hour:double>, meta struct<revision:string,profile:string>, processes array<struct<process:string,cost:double>>, recommendations array<struct<process:string,saving:double>>, not_sized array<struct<process:string,completed_with_metrics:long>>"
+    doc = docs.select(F.from_json("json", schema).alias("d")).select("d.*")
+    each = doc.select("run_id", "tasks", "total_cost", F.col("rates.name").alias("rates"), F.col("rates.cpu_hour").alias("cpu_hour"), F.col("meta.revision").alias("revision"), F.col("meta.profile").alias("profile"), F.explode("processes").alias("p"), "recommendations", "not_sized")
+    own = lambda c: F.filter(F.coalesce(c, F.array().cast(each.schema[c].dataType)), lambda x: x["process"] == F.col("p.process"))
+    return each.select("run_id", "tasks", "total_cost", "rates", "cpu_hour", "revision", "profile", "p.process", "p.cost", F.get(own("recommendations"), F.lit(0))["saving"].alias("saving"), F.get(own("not_sized"), F.lit(0))["completed_with_metrics"].alias("completed_with_metrics"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -51,6 +51,8 @@ def test_small_parsers(spark):
     assert [one(spark, units.duration_literal, h, "double") for h in (16.0, 1.5, 75 / 3600)] == ["16.h", "90.m", "75.s"]
     assert [one(spark, units.show_gib, g, "double") for g in (12.0, 3.5, 0.5, 0.0002)] == ["12 GB", "3.5 GB", "512 MB", "209.72 KB"]
     assert [one(spark, units.show_hours, h, "double") for h in (59.6 / 60, 8.0, 6.4)] == ["60m", "8h", "6.4h"]
+    assert [one(spark, units.show_percent, x, "double") for x in (0.664, 1.2, None)] == ["66%", "120%", "n/a"]
+    assert [one(spark, units.show_money, x, "double") for x in (79.234, 0.0, None)] == ["$79.23", "$0.00", "n/a"]
     assert [one(spark, units.round_mem_gib, g, "double") for g in (0.2, 1.2, 9.0, 65.0)] == [1.0, 2.0, 10.0, 72.0]
     assert [one(spark, units.round_time_h, h, "double") for h in (0.1, 0.6, 1.2)] == [0.25, 0.75, 2.0]
 
@@ -176,7 +178,7 @@ def test_recommendation_and_fragment(spark):
     text = rightsize.config_fragments(rightsize.recommend(s, R)).first().fragment
     assert "withName: 'P' {\n        cpus   = 3\n        memory = '5.GB'\n        time   = '2.h'\n    }" in text
     tight = rightsize.recommend(stats(spark, {**FULL, "realtime_ms": 6 * HOUR}), R)
-    assert tight.first().time_tight and "longest task 6.0 h of the 8h limit" in rightsize.config_fragments(tight).first().fragment
+    assert tight.first().time_tight and "near its limit: 6.0 h used of 8h" in rightsize.config_fragments(tight).first().fragment
     assert rightsize.recommend(stats(spark, FULL, dict(cpus_units=CORE, memory_kib=GIB), dict(cpus_units=CORE, memory_kib=GIB)), R).count() == 0
     for margin in (0.9, float("nan"), float("inf")):
         with pytest.raises(ValueError):
@@ -199,13 +201,15 @@ def test_display_names_are_shortest_unique(spark):
 
 
 def plain_order(runs):
-    rel = sorted((r for r in runs if r[1] != "dev"), key=lambda r: ([int(x) for x in r[1].split(".")], r[2], r[0]))
-    out = []
-    for o in sorted((r for r in runs if r[1] == "dev"), key=lambda r: (r[2], r[0])):
-        while rel and rel[0][2] <= o[2]:
-            out.append(rel.pop(0)[0])
-        out.append(o[0])
-    return out + [r[0] for r in rel]
+    """Releases by number, date and id; a branch stands behind the longest row of leading releases that all started by its own date."""
+    key = lambda r: ([int(x) for x in r[1].split(".")], r[2], r[0])
+    releases = sorted((r for r in runs if r[1] != "dev"), key=key)
+    place = {r[0]: (i, 1, "", "") for i, r in enumerate(releases)}
+    for r in runs:
+        if r[1] == "dev":
+            leading = max(n for n in range(len(releases) + 1) if all(x[2] <= r[2] for x in releases[:n]))
+            place[r[0]] = (leading, 0, r[2], r[0])
+    return sorted(place, key=place.get)
 
 
 def test_run_order_equals_the_sequential_rule(spark):
@@ -242,16 +246,76 @@ def test_leak_scan(spark, monkeypatch, most):
     assert {(r.id, r.value) for r in redact.leak_scan(texts, redact.needles(mapping)).collect()} == {(1, "secret value here"), (2, 'quo"te'), (3, "a<b>c"), (6, "plain")}
 
 
+def test_leak_scan_finds_a_script_inside_json(spark):
+    mapping = spark.createDataFrame([("line one\n\tline two/x",)], "original string")
+    texts = spark.createDataFrame([(1, '{"s":"line one\\n\\tline two/x"}'), (2, '{"s":"line one\\n\\tline two\\/x"}'), (3, "line one line two")], "id long, text string")
+    for most in (None, 0):
+        assert {r.id for r in redact.leak_scan(texts, redact.needles(mapping), most).collect()} == {1, 2}
+
+
+def test_leak_scan_ways_agree(spark):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abc-_ .") for _ in range(n))
+    texts = spark.createDataFrame([(i, text(300)) for i in range(40)], "id long, text string")
+    wanted = spark.createDataFrame([(f"v{i}", text(rng.randint(5, 7))) for i in range(150)], "value string, needle string")
+    few, many = ({tuple(r) for r in redact.leak_scan(texts, wanted, most).collect()} for most in (None, 0))
+    assert few == many and few
+
+
+def test_trace_files_redacted_as_text(spark):
+    text = "name\tprocess\tx\tstatus\r\nA (s1)\tA\tsecret\tFAILED\textra\r\n\nA (s2)\tA\nlast (s3)\tlast\t-\tOK"
+    out = {r.path: r for r in redact.redact_trace_files(text_files(spark, a=text, b="task_id\n1\n"), "s").collect()}
+    lines = out["a"].content.split("\n")
+    cells = [x.split("\t") for x in lines]
+    assert lines[0] == text.split("\n")[0] and lines[2] == "" and lines[1].endswith("\r") and len(lines) == 5
+    assert cells[1][0].startswith("A (tag-") and cells[1][2].startswith("redacted-") and cells[1][3] == "FAILED" and cells[1][4].startswith("redacted-") and len(cells[1]) == 5
+    assert len(cells[3]) == 2 and cells[3][0].startswith("A (tag-") and cells[4][2:] == ["-", "OK"]
+    assert (out["b"].content, out["b"].error) == (None, "no_name_column")
+
+
+def test_report_objects_redacted(spark):
+    import json
+
+    data = {"trace": [{"name": "A (s1)", "process": "A", "tag": "s1", "exit": 0, "odd": 7, "flag": True, "none": None, "script": 'a "b"\n</x>', "nested": {"k": "v"}}, 5], "summary": [{"process": "A", "cpu": {"minLabel": "A (s1)", "min": 1.5, "text": "kept"}}], "title": "secret: one", "deep": {"a": ["x, y", 3, None], "b:": True}}
+    text = json.dumps(data).replace("</", "<\\/")
+    got = redact.redact_reports(text_files(spark, a=f"<script>window.data = {text};</script>", b="no data", c="window.data = {broken"), "s")
+    rows = {r.path: (r.json, r.error) for r in got.collect()}
+    assert rows["b"] == (None, "no_window_data") and rows["c"] == (None, "bad_json") and "</" not in rows["a"][0]
+    new = json.loads(rows["a"][0])
+    first, label = new["trace"][0], new["summary"][0]["cpu"]
+    tag = units_pseudonym(spark, "s1")
+    assert (first["name"], first["process"], first["tag"], first["exit"], first["flag"], first["none"]) == (f"A ({tag})", "A", tag, 0, True, None)
+    assert all(first[k].startswith("redacted-") for k in ("odd", "script", "nested")) and new["trace"][1] == 5
+    assert label == {"minLabel": f"A ({tag})", "min": 1.5, "text": "kept"} and new["summary"][0]["process"] == "A"
+    assert new["title"].startswith("redacted-") and new["deep"]["a"][0].startswith("redacted-") and new["deep"]["a"][1:] == [3, None] and new["deep"]["b:"] is True
+
+
+def units_pseudonym(spark, value):
+    return one(spark, lambda c: units.pseudonym(c, "tag", "s"), value)
+
+
+def test_header_fields_kept_on_purpose_are_not_scanned(spark):
+    head = "<title>[happy_name] r</title><dt>Workflow profile</dt><dd>test_secret</dd><dt>Own label</dt><dd>s3://bucket</dd><dt>Container engine</dt><dd>/home/x</dd><dt>Work directory</dt><dd>/home/me</dd><script>window.data = {};</script>"
+    facts = redact.redact_headers(files.parse_headers(text_files(spark, a=head)), "s")
+    scanned = {r.text for r in redact.header_texts(facts).collect()}
+    assert "s3://bucket" in scanned and "test_secret" not in scanned and "/home/x" not in scanned and "/home/me" not in scanned
+    assert {r.original for r in redact.header_map(files.parse_headers(text_files(spark, a=head)), "s").collect()} == {"/home/me", "happy_name"}
+
+
 def test_writing_is_gated(spark, tmp_path):
-    mapping = spark.createDataFrame([("value", "redacted-1", "secret1")], "kind string, pseudonym string, original string")
-    good, bad = spark.createDataFrame([(1, "fine")], "id long, text string"), spark.createDataFrame([(1, "has secret1"), (2, "/home/me")], "id long, text string")
-    for texts in (bad, bad.where("id = 2")):
+    mapping = spark.createDataFrame([("value", "redacted-1", "secret1"), ("value", "redacted-2", "two\nlines")], "kind string, pseudonym string, original string")
+    good = spark.createDataFrame([(1, "fine", {"a": "b"})], "id long, text string, f map<string,string>")
+    bad = [[(1, "has secret1", {})], [(2, "/home/me", {})], [(3, "x", {"k": "a two\nlines b"})]]
+    for rows in bad:
         with pytest.raises(ValueError):
-            redact.write_redacted({"t": texts}, f"{tmp_path}/out", texts, redact.needles(mapping), mapping)
+            redact.write_redacted({"t": spark.createDataFrame(rows, good.schema)}, f"{tmp_path}/out", mapping)
+    with pytest.raises(ValueError, match="outside"):
+        redact.write_redacted({"t": good}, f"{tmp_path}/out", mapping, f"{tmp_path}/out/map")
     assert not (tmp_path / "out").exists()
-    redact.write_redacted({"t": good}, f"{tmp_path}/out", good, redact.needles(mapping), mapping)
+    redact.write_redacted({"t": good}, f"{tmp_path}/out", mapping, f"{tmp_path}/map")
+    assert [f.name for f in (tmp_path / "out").iterdir()] == ["t"] and spark.read.json(f"{tmp_path}/map").count() == 2
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
-        redact.write_redacted({"t": good}, f"{tmp_path}/out", good, redact.needles(mapping), mapping)
+        redact.write_redacted({"t": good}, f"{tmp_path}/out", mapping)
 
 
 def test_figures_must_agree(spark):
@@ -264,7 +328,7 @@ def test_figures_must_agree(spark):
 def test_sinks(spark, tmp_path):
     priced = pricing.price_tasks(make(spark, FULL, FULL))
     s = pricing.process_stats(priced, R)
-    totals, recs = pricing.run_totals(s, priced, R), rightsize.recommend(s, R)
+    totals, recs = pricing.run_totals(s, R), rightsize.recommend(s, R)
     doc = sinks.analysis_json(totals, s.select("run_id", "process", "cost"), recs.select("run_id", "process", "saving"), rightsize.not_sized(s)).first().json
     assert '"processes":[{"process":"P"' in doc and '"tasks":2' in doc
     sinks.write_fragments(rightsize.config_fragments(recs), f"{tmp_path}/f")
@@ -278,3 +342,16 @@ def test_fleet_corner_cases(spark):
     assert [r.last_line for r in tail] == [None, None]
     scaling = fleet.scaling_table(spark.createDataFrame([("x", 1, 100.0, 90.0), ("x", 4, 50.0, 108.0)], "benchmark string, variant long, wall_s double, cpu_s double")).orderBy("variant").collect()
     assert [(r.speed_up, r.cpus_x_wall, r.relative_cpu) for r in scaling] == [(1.0, 100.0, 1.0), (2.0, 200.0, 1.2)]
+
+
+def test_stated_cpu_hours(spark):
+    totals = spark.createDataFrame([("a", 338.42), ("b", 1177.0), ("c", 5.0)], "run_id string, cpu_h_requested double")
+    headers = spark.createDataFrame([("a", "338.4 (4.2% failed)"), ("b", "1'177.2"), ("c", None)], "run_id string, cpu_hours string")
+    got = {r.run_id: (r.stated, r.agrees) for r in fleet.reconcile_cpu_hours(totals, headers).collect()}
+    assert got == {"a": (338.4, True), "b": (1177.2, False), "c": (None, None)}
+
+
+def test_launched_tasks_mask_the_tag(spark):
+    rows = [("r1", "P", 0, "run s1 --o s1", "quay.example/bio/x:1", "s1"), ("r1", "P", 1, "other", "y", "s2"), ("r2", "P", 0, "run s9 --o s9", "wave.example/q/bio/x:1", "s9")]
+    t = fleet.launched_tasks(spark.createDataFrame(rows, "run_id string, process string, pos long, script string, container string, tag string")).orderBy("run_id").collect()
+    assert [(r.script, r.image, r.registry) for r in t] == [("run <S> --o <S>", "bio/x:1", "quay.example/"), ("run <S> --o <S>", "bio/x:1", "wave.example/q/")]
