@@ -227,8 +227,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     """
     kept = common.only(labelled, doc_id=doc_id, lang=lang, text=text).where("lang is not null and text is not null and doc_id is not null and text <> ''")
     hashed = F.xxhash64("doc_id")
+    # A row a label, as the model has as well: small enough to broadcast.
     many = kept.groupBy(F.col("lang").alias("l")).agg(F.approx_count_distinct("doc_id").alias("ids"))
-    near = kept.join(many, kept["lang"] == many["l"]).where(F.shiftrightunsigned(hashed, 11) / 2.0**53 * F.col("ids") <= SPARE * sample_docs)
+    near = kept.join(F.broadcast(many), kept["lang"] == many["l"]).where(F.shiftrightunsigned(hashed, 11) / 2.0**53 * F.col("ids") <= SPARE * sample_docs)
     one = near.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     size = F.octet_length("text")
     first = Window.partitionBy("lang").orderBy("long", "h", "doc_id")
