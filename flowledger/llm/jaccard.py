@@ -21,8 +21,11 @@ from . import common
 
 #: Text bytes handled at a time, and text bytes for each bucket of shingles.
 SLICE_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
-#: A shingle in this many different sets of one slice is dealt apart from its bucket.
-HOT_IN_SLICE, SALTS = 64, 64
+#: A shingle in this many different sets of one slice is dealt apart from its bucket; in fewer of them where there are so many slices that a bucket's
+#: task could get more than HOT_IN_ALL of one shingle.
+HOT_IN_SLICE, HOT_IN_ALL, SALTS = 64, 2_000_000, 64
+#: Bits of a shingle's hash that name its bucket, at most: 2 ** 26 buckets of BUCKET_BYTES are 500 TB of text.
+MOST_BITS = 26
 #: Sets of a join cell; clusters beyond it are cut into blocks, and each pair of blocks is a cell.
 CELL_SETS, MOST_BLOCKS, BLOCK_ITEMS = 256, 32, 4_000_000
 WITNESS = 0xFFFF
@@ -89,7 +92,9 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
 
 def shared_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFrame:
     """``(set_key, n, items)`` of sets that may have a partner: items are their shared shingles, rare first."""
-    bits = min(16, int(np.log2(common.power_of_two_at_least(common.total_bytes(docs, text) / BUCKET_BYTES))))
+    total = common.total_bytes(docs, text)
+    bits = min(MOST_BITS, int(np.log2(common.power_of_two_at_least(total / BUCKET_BYTES))))
+    hot_from = int(np.clip(HOT_IN_ALL * SLICE_BYTES // max(total, 1), 2, HOT_IN_SLICE))
     groups = max(1, 1 << max(0, bits - 1))
 
     def post(batches):
@@ -107,8 +112,8 @@ def shared_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFra
                 item, owner = item[order], owner[order]
                 start = common.runs(item)
                 held = np.diff(np.append(start, len(item)))
-                hot = np.repeat(held >= HOT_IN_SLICE, held)
-                told = start[held >= HOT_IN_SLICE]
+                hot = np.repeat(held >= hot_from, held)
+                told = start[held >= hot_from]
                 salt = 1 + int(keys[first[0]] % np.uint64(SALTS))
                 rest_item, rest_owner = np.append(item[~hot], item[told]), np.append(owner[~hot], np.full(len(told), WITNESS, np.uint16))
                 order = np.argsort(rest_item, kind="stable")
@@ -146,7 +151,9 @@ def shared_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFra
         told = low == 0
         rarity = np.where(told | (salt > 0), 255, np.minimum(np.log2(n) * 8, 200)).astype(np.uint8)
         keep = np.repeat((low != high) | told | (salt > 0), n) & (owner != 0)
-        item, owner, size, rarity = item[keep] | np.uint64(bucket << 48), owner[keep], size[keep], np.repeat(rarity, n)[keep]
+        # The bucket's bits and up to 48 behind them.
+        item = (item << np.uint64(16) >> np.uint64(bits)) | np.uint64(bucket << (64 - bits) if bits else 0)
+        item, owner, size, rarity = item[keep], owner[keep], size[keep], np.repeat(rarity, n)[keep]
         group = (owner % np.uint64(groups)).astype(np.int64)
         order = np.lexsort((owner, group))
         item, owner, size, rarity, group = item[order], owner[order], size[order], rarity[order], group[order]

@@ -60,6 +60,7 @@ class PieceEncoder:
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.letters = {p for p in self.ids if len(p) == 1}
+        self.in_pieces = {c for p in self.ids for c in p}
         # Between two characters that no piece holds side by side, every text is cut.
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.free = [m for m in ".,;:!?" if not any(p[-1] == m and p[:-1].isalpha() for p in self.inside)]
@@ -107,7 +108,14 @@ class PieceEncoder:
         return last
 
     def unit_ids(self, unit: str) -> list[int]:
-        """Ids of a text by the prefix table, recovered backwards."""
+        """Ids of a text by the prefix table, recovered backwards. A character that no piece holds merges with nothing: the text is cut there."""
+        if not self.in_pieces.issuperset(unit):
+            out, start = [], 0
+            for i, c in enumerate(unit):
+                if c not in self.in_pieces:
+                    out += (self.unit_ids(unit[start:i]) if i > start else []) + self._merged_ids(c)
+                    start = i + 1
+            return out + (self.unit_ids(unit[start:]) if start < len(unit) else [])
         if not self.letters.issuperset(unit) or self.tied_text is not None and self.tied_text.search(unit):
             return self._merged_ids(unit)
         last, sizes, out, stop = self.prefix_table(unit), self.sizes, [], len(unit)

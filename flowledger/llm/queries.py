@@ -133,5 +133,20 @@ FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_i
 """
 
 
+#: Windows of 100 bytes; all but the earliest of equal ones go, and runs of them are joined.
+OP8_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, b[i + 1:i + 100] AS s FROM (SELECT doc_id, encode(coalesce(text, '')) AS b, unnest(range(0, strlen(coalesce(text, '')) - 99)) AS i FROM documents)),
+r AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+n AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS new FROM r),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+p AS MATERIALIZED (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, run)),
+k AS (SELECT p.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || any_value(substr(h, 2 * last + 1)) AS kept, sum(b - a) AS removed, count(*) AS spans
+      FROM p JOIN d ON d.doc_id = p.doc_id JOIN (SELECT doc_id, max(b) AS last FROM p GROUP BY doc_id) l ON l.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL}
+    return {"op8_suffix_dedup": OP8_SQL, "op1_top_k": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL}

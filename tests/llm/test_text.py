@@ -341,6 +341,28 @@ def test_packing_places_by_content_with_statistics_of_all(documents, tokenizer):
     assert got.n == want.n == 240 and got.mean == want.mean and (got.df == want.df).all()
 
 
+def test_neighbours_equal_plain_bm25():
+    rng = np.random.default_rng(21)
+    items = [rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint32) for _ in range(90)] + [np.array([3, 3, 7], np.uint32)] * 3
+    n, mean = len(items), sum(map(len, items)) / len(items)
+    df = Counter(t for i in items for t in set(i.tolist()))
+    index = packing.Bm25(items)
+
+    def weight(term, item):
+        count = Counter(item.tolist())[term]
+        idf = math.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5))
+        return idf * count * (packing.K1 + 1) / (count + packing.K1 * (1 - packing.B + packing.B * len(item) / mean))
+
+    for q in (0, 17, 91):
+        used = np.zeros(n, bool)
+        used[[q, 5, 30]] = True
+        score = {i: sum(weight(t, items[i]) for t in set(items[q].tolist())) for i in range(n) if not used[i]}
+        best = sorted((i for i in score if score[i] > 0), key=lambda i: -score[i])[: packing.NEIGHBOURS]
+        got = index.neighbours(items[q], used)
+        assert [score[i] for i in got] == pytest.approx([score[i] for i in best], rel=1e-5) and len(got) == len(set(got)) and not set(got) & {q, 5, 30}
+        assert all(a < b for a, b in zip(got, got[1:]) if score[a] == score[b] and items[a].tolist() == items[b].tolist())
+
+
 def test_packing_splits_a_hot_group(documents, tokenizer):
     texts = ["the same words in every copy of it"] * 300
     rows = packing.pack(documents(texts), tokenizer("word_bpe_49k.json"), window=64, shard_bytes=2000).collect()
