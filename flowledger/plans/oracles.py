@@ -159,7 +159,7 @@ BODIES: dict[str, str] = {
       JOIN (SELECT run_id, count(tag) AS tags, count(*) AS tag_groups FROM ts GROUP BY run_id) g ON g.run_id = rt.run_id LEFT JOIN (SELECT run_id, {_dec('saving')} AS saving FROM rc GROUP BY run_id) s ON s.run_id = rt.run_id""",
     "redacted_traces": f"""SELECT run_id, hash, process || ' (' || {_TAGGED.format("coalesce(tag, '1')")} || ')' AS name, status,
       (realtime_ms // 3600000) || 'h ' || (realtime_ms // 60000 % 60) || 'm ' || (realtime_ms // 1000 % 60) || 's ' || (realtime_ms % 1000) || 'ms' AS realtime FROM lens""",
-    "redacted_reports": f"""SELECT run_id, hash, process, coalesce({_TAGGED.format("tag")}, '-') AS tag, process || ' (' || {_TAGGED.format("coalesce(tag, '1')")} || ')' AS name, {_VALUED.format("'it''s </done>'")} AS script,
+    "redacted_reports": f"""SELECT run_id, hash, process, coalesce({_TAGGED.format("tag")}, '-') AS tag, process || ' (' || {_TAGGED.format("coalesce(tag, '1')")} || ')' AS name, {_VALUED.format("('it' || chr(92) || '''s </done>')")} AS script,
       CAST(cpus_units // 100000 AS VARCHAR) AS cpus, CAST(memory_kib * 1024 AS VARCHAR) AS memory FROM lens""",
     "redacted_headers": f"""SELECT run_id, {_VALUED.format("('nextflow run ' || run_id)")} AS command, {_VALUED.format("'https://github.com/pipes/rna'")} AS repository, CASE WHEN k > 3 THEN 'aws' ELSE 'local' END AS profile,
       {_VALUED.format("('cannot read' || chr(10) || '  /data/' || run_id)")} AS error_text, {_VALUED.format("('run-' || run_id)")} AS run_name, '24.' || k % 3 AS nextflow_version FROM rn""",
