@@ -3,7 +3,7 @@
 Every window of ``length`` bytes belongs to the stretch of windows that share its least gram hash,
 so equal windows lie in stretches of one hash. Stretches whose hash occurs once can't repeat and go no further.
 The others travel, with their bytes, to the shard of their hash; a chunk sends equal stretches once.
-A shard sorts its suffixes by induced sorting, compares neighbours and keeps each window's earliest start.
+A shard sorts its suffixes by induced sorting, computes their permuted common prefixes and keeps each window's earliest start.
 Where very many different stretches share one hash (the surroundings of a very common line), no shard gets
 them all: their windows are dealt one by one, by two 64-bit hashes of all their bytes, and of a chunk's equal windows only the earliest travels with them.
 """
@@ -24,6 +24,8 @@ GRAM, CHUNK_BYTES, SHARD_BYTES, SLICE = 32, 2 << 20, 1 << 20, 1 << 18
 HOT_STRETCHES = 500
 _TABLES = [common.mix64(np.arange(1, 257, dtype=np.uint64) * m) for m in (common.MIX_B, common.MIX_A)]
 _BASES = (int(common.GOLDEN), 0xD6E8FEB86659FD93)
+#: Words of eight symbols compared at once, at most.
+_MOST_WORDS = 1 << 10
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -91,8 +93,8 @@ def suffix_types(text: np.ndarray) -> np.ndarray:
     return np.append(np.repeat(smaller, np.diff(np.append(-1, differ))), True)
 
 
-def _sort_leftmost(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes at leftmost-smaller ``places``, right for at least ``depth`` symbols.
+def _sort_leftmost(text: np.ndarray, places: np.ndarray, depth: int | None) -> np.ndarray:
+    """Order of the suffixes at leftmost-smaller ``places``, complete or right for at least ``depth`` symbols.
 
     The substrings between such places are named by packed symbols (substrings of over seven are cut
     in sevens; of two that agree, the one that ends first is larger), and the string of names is
@@ -118,7 +120,7 @@ def _sort_leftmost(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarr
     rank[order] = np.repeat(first, sizes)
     left = order[np.repeat(sizes > 1, sizes)]
     step = 1
-    while len(left) and step <= depth:
+    while len(left) and (depth is None or step <= depth):
         behind = left + step
         second = np.where(behind < m, rank[np.minimum(behind, m - 1)] + 1, 0)
         pair = rank[left] << 32 | second
@@ -135,8 +137,8 @@ def _sort_leftmost(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarr
     return places[np.argsort(rank[heads], kind="stable")]
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of a byte string in order of at least their first ``depth`` symbols, by induced sorting.
+def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffixes of a byte string in order (of at least their first ``depth`` symbols, if given), by induced sorting.
 
     The last symbol must be 0 and the only 0. Leftmost-smaller suffixes are sorted first; one pass
     over the buckets from the least symbol up induces the larger-type suffixes, one from the
@@ -199,22 +201,41 @@ def _deal(text: np.ndarray, suffixes: np.ndarray, into: list[list[np.ndarray]])
         into[own[a]].append(suffixes[a:b])
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Permuted by text position: whether a suffix agrees with the one before it in ``order`` for ``length`` symbols."""
-    packed = np.ndarray((len(text) - 7,), "<u8", np.ascontiguousarray(text), 0, (1,))
-    left, right = order[1:].copy(), order[:-1].copy()
-    places = np.arange(1, len(order))
-    steps = [*range(0, length - 7, 8), length - 8] if length >= 8 else []
-    if not steps:
-        for i in range(length):
-            same = text[left + i] == text[right + i]
-            left, right, places = left[same], right[same], places[same]
-    for i in dict.fromkeys(steps):
-        same = packed[left + i] == packed[right + i]
-        left, right, places = left[same], right[same], places[same]
-    equal = np.zeros(len(order), bool)
-    equal[places] = True
-    return equal
+def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Permuted common prefixes: for each position, the symbols its suffix shares with the one before it in the complete suffix array ``order``.
+
+    Where a suffix and the one before it follow the same symbol, its value is one less than its left neighbour's.
+    Only at the other positions (one for each run of the preceding symbols in ``order``) are suffixes compared, in words
+    of eight and, the longer they agree, in more words at once.
+    """
+    n = len(text)
+    before = np.empty(n, np.int64)
+    before[order[1:]], before[order[0]] = order[:-1], -1
+    there = np.maximum(before, 1)
+    follows = np.append(False, (before[1:] > 0) & (text[:-1] == text[there[1:] - 1]))
+    compared = np.flatnonzero(~follows)
+    shared = np.zeros(n, np.int64)
+    left = compared[before[compared] >= 0]
+    padded = np.zeros(n + 8 * _MOST_WORDS + 8, np.uint8)
+    padded[:n] = text
+    packed = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    done, words = 0, 1
+    while len(left):
+        ahead = done + 8 * np.arange(words)
+        still = []
+        for part in np.array_split(left, max(1, len(left) * words >> 20)):
+            # The last symbol stands nowhere else, so that two suffixes differ before either ends.
+            differ = packed[part[:, None] + ahead] ^ packed[before[part][:, None] + ahead]
+            found = differ != 0
+            first = found.argmax(axis=1)
+            ends = found[np.arange(len(part)), first]
+            word = differ[np.arange(len(part)), first][ends]
+            lowest = word & (~word + np.uint64(1))
+            shared[part[ends]] = done + 8 * first[ends] + (np.bitwise_count(lowest - np.uint64(1)) >> 3)
+            still.append(part[~ends])
+        left, done, words = np.concatenate(still), done + 8 * words, min(2 * words, _MOST_WORDS)
+    origin = np.repeat(compared, np.diff(np.append(compared, n)))
+    return shared[origin] - (np.arange(n) - origin)
 
 
 def later_windows(regions: list[bytes], length: int) -> list[tuple[int, int, int]]:
@@ -226,11 +247,13 @@ def later_windows(regions: list[bytes], length: int) -> list[tuple[int, int, int
     text = np.ones(int(starts[-1]) + 1, np.uint8)
     text[common.ragged_arange(starts[:-1], sizes)] = np.where(raw < 0xC0, raw + 2, raw)
     text[-1] = 0
-    order = suffix_array(text, length)
+    order = suffix_array(text)
     valid = np.zeros(len(text), bool)
     valid[common.ragged_arange(starts[:-1], np.maximum(sizes - length + 1, 0))] = True
+    shared = common_prefixes(text, order)
+    # A suffix that shares a whole window with a window's has that window itself: none is left out between two.
     order = order[valid[order]]
-    equal = common_prefixes(text, order, length)
+    equal = shared[order] >= length
     if not equal.any():
         return []
     group = np.flatnonzero(~equal)

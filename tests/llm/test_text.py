@@ -246,6 +246,22 @@ def test_suffix_array_by_induction():
         assert suffix.suffix_array(text, 10**6).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tobytes())
 
 
+@pytest.mark.parametrize("words", [1, 4, 1024])
+def test_permuted_common_prefixes(monkeypatch, words):
+    monkeypatch.setattr(suffix, "_MOST_WORDS", words)
+    rng = random.Random(20)
+    for _ in range(200):
+        s = bytes(rng.choice(b"ab" if rng.random() < 0.5 else b"ab cdefgh\xe9") for _ in range(rng.randint(1, 40))) * rng.randint(1, 5)
+        text = np.append(np.frombuffer(s, np.uint8), np.uint8(0))
+        order = suffix.suffix_array(text)
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tobytes())
+        want = np.zeros(len(text), int)
+        for a, b in zip(order[:-1].tolist(), order[1:].tolist()):
+            while s[a + want[b] : a + want[b] + 1] == s[b + want[b] : b + want[b] + 1] != b"":
+                want[b] += 1
+        assert suffix.common_prefixes(text, order).tolist() == want.tolist()
+
+
 @pytest.mark.parametrize("hot,length", [(500, 100), (1, 100), (500, 24), (1, 24)])
 def test_repeats_match_brute_force(documents, monkeypatch, hot, length):
     monkeypatch.setattr(suffix, "HOT_STRETCHES", hot)
