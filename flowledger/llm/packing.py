@@ -209,13 +209,18 @@ def lay_out(cells: list[tuple[int, int, int]], shard_bytes: int) -> list[tuple[i
 
 
 def place(termed: DataFrame, shard_bytes: int) -> DataFrame:
-    """Adds ``shard``: documents of one strongest term together, those of a hot one by their second term, and only then by a hash."""
+    """Adds ``shard``: documents of one strongest term together, those of a hot one by their second term, and only then by a hash.
+
+    ``termed`` is read twice: once for the sizes of its pairs of terms, which are kept, and once for its rows.
+    """
     spark = termed.sparkSession
-    hot = termed.groupBy("term").agg(F.sum("size").alias("s")).where(F.col("s") > shard_bytes).collect()
+    sizes = common.checkpoint(termed.groupBy("term", "second").agg(F.sum("size").alias("size")))
+    hot = sizes.groupBy("term").agg(F.sum("size").alias("s")).where(F.col("s") > shard_bytes).collect()
     parts = spark.createDataFrame([(r["term"], -(-r["s"] // shard_bytes)) for r in hot], "t long, parts long")
-    dealt = termed.join(F.broadcast(parts), termed["term"] == parts["t"], "left")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("second"), F.coalesce("parts", F.lit(1)))).drop("t", "parts")
-    cells = [(r["term"], r["part"], r["s"]) for r in dealt.groupBy("term", "part").agg(F.sum("size").alias("s")).collect()]
+    part = F.pmod(F.xxhash64("second"), F.coalesce("parts", F.lit(1)))
+    in_parts = lambda df: df.join(F.broadcast(parts), df["term"] == parts["t"], "left").withColumn("part", part).drop("t", "parts")
+    cells = [(r["term"], r["part"], r["s"]) for r in in_parts(sizes).groupBy("term", "part").agg(F.sum("size").alias("s")).collect()]
+    dealt = in_parts(termed)
     where = spark.createDataFrame(lay_out(cells, shard_bytes), "t long, p long, first long, several long")
     joined = dealt.join(F.broadcast(where), (dealt["term"] == where["t"]) & (dealt["part"] == where["p"]))
     return joined.select("doc_id", "ids", (F.col("first") + F.pmod(F.xxhash64("doc_id", "ids"), F.col("several"))).alias("shard"))
@@ -258,7 +263,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, d
             first, second = strongest_terms(_tails(batch.column("ids"), window, kind), statistics, least)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(second)], ["doc_id", "size", "ids", "term", "second"])
 
-    termed = common.checkpoint(coded.mapInArrow(strongest, f"doc_id {id_type}, size long, ids binary, term long, second long"))
+    # Not checkpointed: the ids are there in coded, and finding the terms again costs less than a second copy of them.
+    termed = coded.mapInArrow(strongest, f"doc_id {id_type}, size long, ids binary, term long, second long")
 
     def run(key, table):
         table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
