@@ -76,6 +76,7 @@ def set_table(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
     kept = common.only(docs, doc_id=doc_id, text=text)
 
     def run(batches):
+        common.release()
         for batch in batches:
             for a, b, raw, offsets in common.row_slices(batch.column(1), SLICE_BYTES, WITNESS - 1):
                 items, ends = shingle_sets(raw, offsets, words)
@@ -98,6 +99,7 @@ def shared_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFra
     groups = max(1, 1 << max(0, bits - 1))
 
     def post(batches):
+        common.release()
         for batch in batches:
             for _, _, raw, offsets in common.row_slices(batch.column(0), SLICE_BYTES, WITNESS - 1):
                 items, ends = shingle_sets(raw, offsets, words)
@@ -132,6 +134,7 @@ def shared_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFra
                 )
 
     def share(key, table):
+        common.release()
         bucket, salt = key[0].as_py(), key[1].as_py()
         item, owner, size = [], [], []
         columns = [table.column(c).to_pylist() for c in ("high", "low", "owner", "keys", "sizes")]
@@ -166,6 +169,7 @@ def shared_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFra
         return pa.table({c: pa.array(v, pa.int64() if c == "group" else pa.binary()) for c, v in zip(("group", "keys", "sizes", "each", "items", "rarity"), columns, strict=True)})
 
     def gather(key, table):
+        common.release()
         keys, sizes, each, items, rarity = (np.frombuffer(b"".join(table.column(c).to_pylist()), d) for c, d in (("keys", np.uint64), ("sizes", np.uint32), ("each", np.uint32), ("items", np.uint64), ("rarity", np.uint8)))
         owner, size = np.repeat(keys, each), np.repeat(sizes, each)
         order = np.lexsort((items, rarity, owner))
@@ -192,6 +196,7 @@ def short_lists(sets: DataFrame, percent: int) -> DataFrame:
     """``(item, set_key)`` of each set's short lists: all but its T - 1 longest."""
 
     def run(batches):
+        common.release()
         for batch in batches:
             n = np.array(batch.column(1))
             need = least_overlap(n, percent)
@@ -293,6 +298,7 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.select(cell.alias("cell"), "set_key", "n", "items", side.alias("side"))
 
     def join(key, table):
+        common.release()
         keys, n, side = (np.array(table.column(c)) for c in ("set_key", "n", "side"))
         if side.any() and len(np.unique(side)) < 2:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})

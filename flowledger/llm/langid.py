@@ -259,6 +259,7 @@ def annotate(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at = columns.index(text)
 
     def run(batches):
+        common.release()
         own = shared.value
         for batch in batches:
             raw, offsets = common.text_buffer(batch.column(at))

@@ -156,6 +156,8 @@ def statistics_of(coded: DataFrame, window: int, kind: str) -> Statistics:
     """Term statistics of what whole windows leave of all documents; the driver gets a row a term of the vocabulary."""
 
     def count(batches):
+        tokens.forget()
+        common.release()
         df, n, total = np.zeros(0, np.int64), 0, 0
         for batch in batches:
             items = [i for i in _tails(batch.column("ids"), window, kind) if len(i)]
@@ -246,6 +248,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, d
     kind = "<u2" if max(tokens.encoder(tokenizer).tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
 
     def encode(batches):
+        common.release()
         coder = tokens.encoder(tokenizer)
         for batch in batches:
             for a, b, ids, ends in coder.encode(batch.column("text")):
@@ -262,6 +265,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, d
     least = statistics.n * shard_bytes / max(coded.agg(F.sum("size")).first()[0] or 0, shard_bytes)
 
     def strongest(batches):
+        tokens.forget()
+        common.release()
         for batch in batches:
             first, second = strongest_terms(_tails(batch.column("ids"), window, kind), statistics, least)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(second)], ["doc_id", "size", "ids", "term", "second"])
@@ -270,6 +275,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, d
     termed = coded.mapInArrow(strongest, f"doc_id {id_type}, size long, ids binary, term long, second long")
 
     def run(key, table):
+        tokens.forget()
+        common.release()
         table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
         ids = [np.frombuffer(x, kind) for x in table.column("ids").to_pylist()]
         pieces = pack_shard(ids, window, statistics)

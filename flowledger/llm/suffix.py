@@ -302,6 +302,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
     dealt = docs.select(F.pmod(F.xxhash64(doc_id), F.lit(chunks)).alias(chunk_of), F.col(doc_id).cast("long").alias(id_of), F.col(text).alias("__text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text])
 
     def scan(key, table):
+        common.release()
         _, raw, offsets, _, _ = _chunk_rows(table, id_of, "__text")
         _, _, value, twice = stretches(raw, offsets, length)
         order = np.argsort(value)
@@ -324,6 +325,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
         )
 
     def repeated(key, table):
+        common.release()
         values = [np.frombuffer(v, np.uint64) for v in table.column("value").to_pylist()]
         counts = np.concatenate([np.frombuffer(c, np.uint32) for c in table.column("count").to_pylist()]).astype(np.int64)
         flat = np.concatenate(values)
@@ -336,6 +338,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
         return pa.table({"__chunk": table.column("chunk"), "value": cut(flat, (total > 1) & (total <= HOT_STRETCHES)), "hot": cut(flat, total > HOT_STRETCHES)})
 
     def send(key, left, right):
+        common.release()
         chunk = key[0].as_py()
         rows = []
         if left.num_rows and right.num_rows:
@@ -388,6 +391,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
         return pa.table({c: pa.array(v, pa.int64() if c in ("shard", "chunk") else pa.binary()) for c, v in zip(("shard", "chunk", "ids", "nth", "start", "size", "bytes"), columns, strict=True)})
 
     def sort_shard(key, table):
+        common.release()
         columns = {c: table.column(c).to_pylist() for c in table.column_names}
         ids, nth, start, size = (np.concatenate([np.frombuffer(x, t) for x in columns[c]]) for c, t in (("ids", np.int64), ("nth", np.int32), ("start", np.int64), ("size", np.int64)))
         chunk = np.repeat(columns["chunk"], [len(x) // 8 for x in columns["ids"]])
@@ -428,6 +432,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(key, left, right):
+        common.release()
         table, raw, offsets, ids, nth = _chunk_rows(left, id_of, "__text")
         change = np.zeros(len(raw) + 1, np.int32)
         if right.num_rows:

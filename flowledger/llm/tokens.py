@@ -153,6 +153,11 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drop the worker's encoders, with their tokenizers and words, where later stages need none."""
+    _ENCODERS.clear()
+
+
 def encoded_lengths(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, length)``: the number of ids of each whole text (null or empty: 0)."""
 
