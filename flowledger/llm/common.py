@@ -141,22 +141,22 @@ def _powers(n: int) -> np.ndarray:
     return have[:n]
 
 
-def _slices(raw: np.ndarray, offsets: np.ndarray, size: int):
+def _slices(raw: np.ndarray, offsets: np.ndarray, size: int, blank: np.ndarray):
     """Ranges of about ``size`` bytes that end at a row's start or at a blank, so that no word is cut."""
     n, at = len(raw), 0
     while at < n:
         stop = min(at + size, n)
         if stop < n:
             row = offsets[np.searchsorted(offsets, stop)]
-            while stop < row and not _BLANK[raw[stop]]:
-                ahead = np.flatnonzero(_BLANK[raw[stop : min(row, stop + 65536)]])
+            while stop < row and not blank[raw[stop]]:
+                ahead = np.flatnonzero(blank[raw[stop : min(row, stop + 65536)]])
                 stop = stop + int(ahead[0]) if len(ahead) else min(int(row), stop + 65536)
         yield at, stop
         at = stop
 
 
-def _slice_words(raw: np.ndarray, row_starts: np.ndarray, apart: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    inside = ~_BLANK[raw]
+def _slice_words(raw: np.ndarray, row_starts: np.ndarray, apart: np.ndarray | None, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    inside = ~blank[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     begins[row_starts] = inside[row_starts]
@@ -173,16 +173,16 @@ def _slice_words(raw: np.ndarray, row_starts: np.ndarray, apart: np.ndarray | No
     return mix64(sums + lengths.astype(np.uint64) * MIX_A), starts, lengths
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and length in bytes of the words ``[^ \\t-\\r]+`` of all rows, A-Z lower-cased; ``apart`` marks further places where a word starts.
+def word_spans(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray | None = None, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and length in bytes of the words ``[^ \\t-\\r]+`` of all rows, A-Z lower-cased; ``apart`` marks further places where a word starts, ``blank`` the bytes of no word.
 
     Works in slices, so that its own arrays stay small however long a text is.
     """
     parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     row_starts = offsets[:-1][offsets[:-1] < offsets[1:]]
-    for a, b in _slices(raw, offsets, 1 << 18):
+    for a, b in _slices(raw, offsets, 1 << 18, blank):
         i, j = np.searchsorted(row_starts, [a, b])
-        hashes, starts, lengths = _slice_words(raw[a:b], row_starts[i:j] - a, None if apart is None else apart[a:b])
+        hashes, starts, lengths = _slice_words(raw[a:b], row_starts[i:j] - a, None if apart is None else apart[a:b], blank)
         parts.append((hashes, starts + a, lengths))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 

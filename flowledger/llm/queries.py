@@ -84,8 +84,26 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model).withColumn("held_out", common.id_remainder("doc_id", 5) == 1)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ranked
+
+    return ranked.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import dialogue
+
+    return dialogue.repair(common.table(spark, sf_dir, "conversations"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.judge(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_top_k, op2_token_counts, op3_language_id, op4_line_dedup, op5_embedding_dedup, op6_ngram_jaccard, op7_packing, op8_suffix_dedup, op9_sentencepiece, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_top_k, op2_token_counts, op3_language_id, op4_line_dedup, op5_embedding_dedup, op6_ngram_jaccard, op7_packing, op8_suffix_dedup, op9_sentencepiece, op10_lm_scoring, op11_ranked_search, op12_conversation_repair, op13_quality_rules)}
 
 
 OP1_SQL = """
@@ -148,5 +166,50 @@ FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
 
+OP11_SQL = """
+WITH term AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM term GROUP BY doc_id, t), n AS (SELECT doc_id, count(*) AS n FROM term GROUP BY doc_id),
+g AS (SELECT count(*) AS N, CAST(sum(n) AS BIGINT) AS L FROM n), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t),
+s AS (SELECT q.item_id, tf.doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * g.N + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n.n * g.N) // g.L)))) AS BIGINT) AS score
+      FROM q JOIN tf USING (t) JOIN df USING (t) JOIN n ON n.doc_id = tf.doc_id CROSS JOIN g GROUP BY q.item_id, tf.doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def _repair_step(q: int, after: int, role: str, kept: dict[str, int]) -> str:
+    """Cheapest (cost, audit, lines) from state ``q`` before a row, without inserts before it."""
+    edit = lambda cost, letter, to, line: f"CASE WHEN {cost[0]} THEN [{{'c': s{to}.c + {cost[1]}, 'a': '{letter}' || s{to}.a, 'l': {line}s{to}.l}}] ELSE [] END"
+    own = "[role || ':' || text] || "
+    options = [edit(("TRUE", "2"), "D", q, ""), edit(("NOT gone", "1 + 5 * cut"), "R", after, f"['{role}:' || text] || ")]
+    options += [edit((f"NOT gone AND left(role, 1) = '{i}'", "5 * cut"), "K", to, own) for i, to in kept.items()]
+    return f"list_min({' || '.join(options)})"
+
+
+_INSERTED = lambda q, to, role: f"list_min([b{q}, {{'c': b{to}.c + 5, 'a': 'I' || b{to}.a, 'l': ['{role}:'] || b{to}.l}}])"
+_CRC = "list_reduce(list_prepend({0}, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))"
+_NONE = "{'c': 0, 'a': '', 'l': CAST([] AS VARCHAR[])}"
+_ONE, _TWO = "{'c': 5, 'a': 'I', 'l': ['assistant:']}", "{'c': 10, 'a': 'II', 'l': ['user:', 'assistant:']}"
+
+#: A recursion over each conversation's rows from the last: the cheapest cost, then the least audit, then its lines, from each of four states.
+OP12_SQL = f"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list({_CRC.format("CAST(n AS BIGINT)")} ORDER BY n) AS t FROM range(256) r(n)),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+      list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) % 20 AS f FROM conversations, tab),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE f <> 0),
+o AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+m AS MATERIALIZED (SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, NOT blank AND nth > 1 AS dup, blank OR dup AS gone, CAST(NOT gone AND NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS INTEGER) AS cut FROM o),
+r AS (SELECT conv_id, max(i) AS i, {_NONE} AS s0, {_TWO} AS s1, {_ONE} AS s2, {_NONE} AS s3 FROM m GROUP BY conv_id
+UNION ALL SELECT conv_id, i, {_INSERTED(0, 2, "user")}, {_INSERTED(1, 2, "user")}, {_INSERTED(2, 3, "assistant")}, {_INSERTED(3, 2, "user")} FROM (
+  SELECT r.conv_id, r.i - 1 AS i, {_repair_step(0, 2, "user", {"s": 1, "u": 2})} AS b0, {_repair_step(1, 2, "user", {"u": 2})} AS b1, {_repair_step(2, 3, "assistant", {"a": 3})} AS b2, {_repair_step(3, 2, "user", {"u": 2})} AS b3
+  FROM r JOIN m ON m.conv_id IS NOT DISTINCT FROM r.conv_id AND m.i = r.i)),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(dup) AS duplicate, sum(cut) AS truncated,
+      count_if(i > 1 AND (left(last, 1) || left(role, 1)) NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(array_to_string(s0.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id AND r.i = 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_suffix_dedup": OP8_SQL, "op1_top_k": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL}
+    return {"op8_suffix_dedup": OP8_SQL, "op1_top_k": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op11_ranked_search": OP11_SQL, "op12_conversation_repair": OP12_SQL}

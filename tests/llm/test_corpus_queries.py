@@ -10,7 +10,7 @@ DATA = "/root/testdata/sf0.001"
 def test_query_equals_sql(spark, name):
     got = queries.queries()[name](spark, DATA).toArrow()
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = con.sql(queries.oracle_sql()[name]).to_arrow_table()
     columns = sorted(got.column_names)
