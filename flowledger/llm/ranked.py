@@ -15,7 +15,7 @@ from . import common
 #: Terms (with repeats) of the items that are searched together: 8 bytes each in every worker. More items go in further blocks, each a pass over the documents.
 BLOCK_TERMS = 2_000_000
 #: Postings of a shard, about: some 60 bytes each while it is searched.
-SHARD_POSTINGS = 2_000_000
+SHARD_POSTINGS = 500_000
 FIRST_READ, MOST_READ = 16, 4096
 #: Bytes that belong to no term: ASCII that is neither letter nor digit.
 APART = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
