@@ -83,6 +83,8 @@ ro AS MATERIALIZED (SELECT * EXCLUDE (eff), row_number() OVER (ORDER BY eff, key
   FROM (SELECT *, CASE WHEN revision ~ '^[0-9.]+$' THEN list_transform(string_split(revision, '.'), lambda x: CAST(x AS BIGINT)) END AS key FROM rn)))
 """
 _TAGGED = "'tag-' || substr(sha256('fixed-salt' || chr(0) || {0}), 1, 10)"
+_COMMAND = "('nextflow run \"x&y\" --n ''' || run_id || '''  <in>')"
+_ERROR = "('cannot read' || chr(10) || '  /data/' || run_id)"
 _VALUED = "'redacted-' || substr(sha256('fixed-salt' || chr(0) || {0}), 1, 10)"
 _FILE = "run_id || '/part' || CAST((pos - 1) // 2000 AS VARCHAR)"
 
@@ -161,10 +163,19 @@ BODIES: dict[str, str] = {
       (realtime_ms // 3600000) || 'h ' || (realtime_ms // 60000 % 60) || 'm ' || (realtime_ms // 1000 % 60) || 's ' || (realtime_ms % 1000) || 'ms' AS realtime FROM lens""",
     "redacted_reports": f"""SELECT run_id, hash, process, coalesce({_TAGGED.format("tag")}, '-') AS tag, process || ' (' || {_TAGGED.format("coalesce(tag, '1')")} || ')' AS name, {_VALUED.format("('it' || chr(92) || '''s </done>')")} AS script,
       CAST(cpus_units // 100000 AS VARCHAR) AS cpus, CAST(memory_kib * 1024 AS VARCHAR) AS memory FROM lens""",
-    "redacted_headers": f"""SELECT run_id, {_VALUED.format("('nextflow run ' || run_id)")} AS command, {_VALUED.format("'https://github.com/pipes/rna'")} AS repository, CASE WHEN k > 3 THEN 'aws' ELSE 'local' END AS profile,
+    "redacted_headers": f"""SELECT run_id, {_VALUED.format(_COMMAND)} AS command, {_VALUED.format("'https://github.com/pipes/rna'")} AS repository, CASE WHEN k > 3 THEN 'aws' ELSE 'local' END AS profile,
       {_VALUED.format("('cannot read' || chr(10) || '  /data/' || run_id)")} AS error_text, {_VALUED.format("('run-' || run_id)")} AS run_name, '24.' || k % 3 AS nextflow_version FROM rn""",
-    "header_scan": f"""SELECT 'scanned' AS what, 'odd ' || run_id AS text FROM rn UNION ALL SELECT DISTINCT {_VALUED.format('o')}, o FROM (
-      SELECT unnest(['nextflow run ' || run_id, 'https://github.com/pipes/rna', 'cannot read' || chr(10) || '  /data/' || run_id, 'cannot read', '/data/' || run_id, 'run-' || run_id]) AS o FROM rn)""",
+    "header_scan": f"""SELECT 'scanned' AS what, unnest(['odd ' || run_id, {_VALUED.format(_COMMAND)}, {_VALUED.format("'https://github.com/pipes/rna'")}, {_VALUED.format(_ERROR)}, {_VALUED.format("('run-' || run_id)")}]) AS text FROM rn
+      UNION ALL SELECT DISTINCT {_VALUED.format('o')}, o FROM (SELECT unnest([{_COMMAND}, 'https://github.com/pipes/rna', {_ERROR}, 'cannot read', '/data/' || run_id, 'run-' || run_id]) AS o FROM rn)""",
+    "report_redaction_map": f"""SELECT DISTINCT kind, CASE kind WHEN 'tag' THEN {_TAGGED.format('o')} ELSE {_VALUED.format('o')} END AS pseudonym, o AS original FROM (
+      SELECT 'tag' AS kind, unnest([coalesce(tag, '1'), 'only ' || {_FILE}]) AS o FROM lens
+      UNION SELECT 'value', unnest(['{{"RUN":"' || run_id || '"}}', '7', 'cd /work/' || hash || chr(10) || './run "x"', '/secret/' || {_FILE}, 'one ' || run_id]) FROM lens)""",
+    "trace_redaction_map": f"""SELECT DISTINCT kind, CASE kind WHEN 'tag' THEN {_TAGGED.format('o')} ELSE {_VALUED.format('o')} END AS pseudonym, o AS original FROM (
+      SELECT 'tag' AS kind, coalesce(tag, '1') AS o FROM lens WHERE pos % 10 IN (0, 1) UNION SELECT 'value', '/scratch/' || attempt FROM lens WHERE pos % 10 IN (0, 1) UNION SELECT 'value', 'past ' || run_id FROM lens WHERE pos % 10 = 0)""",
+    "leak_scan_paths": """SELECT d.doc_id AS id, v.doc_id AS value FROM documents d JOIN documents v
+      ON contains(d.text || ' at /work/runs/' || md5(CAST(d.doc_id + 1 AS VARCHAR)), '/work/runs/' || md5(CAST(v.doc_id AS VARCHAR)))""",
+    "leak_needles": r"""SELECT DISTINCT o AS value, unnest(list_distinct([o, replace(replace(replace(o, '\', '\\'), '"', '\"'), chr(10), '\n'), replace(replace(replace(replace(o, '\', '\\'), '"', '\"'), chr(10), '\n'), '/', '\/'),
+      replace(replace(replace(replace(replace(o, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;')])) AS needle FROM (SELECT '<a href="/x">it''s & ' || left(text, 40) || '\</a>' AS o FROM benchmark)""",
     "leak_scan": "SELECT DISTINCT doc_id AS id, item_id AS value FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "leak_scan_tokens": """SELECT DISTINCT doc_id AS id, value FROM documents JOIN (SELECT CAST(item_id AS VARCHAR) AS value, text AS needle FROM benchmark
       UNION ALL SELECT 'word ' || item_id, regexp_extract(text, '([A-Za-z]{5,})', 1) FROM benchmark WHERE regexp_extract(text, '([A-Za-z]{5,})', 1) <> '') b ON contains(documents.text, needle)""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import units
-from ..operators import compare, fleet, pricing, redact, rightsize, sinks, tasks
+from ..operators import compare, fleet, leaks, pricing, redact, rightsize, sinks, tasks
 from ..sources import files
 from . import lens
 
@@ -431,7 +431,7 @@ def redacted_reports(spark, d):
 
 def _failed_headers(spark, d):
     """Headers of failed runs with a run name, an error text and a field that isn't known."""
-    extra = F.concat(F.lit("<title>[run-"), "run_id", F.lit('] report</title><div class="alert alert-danger"><p>x</p><pre>cannot read\n  /data/'), "run_id", F.lit("</pre></div><dt>Nextflow command</dt><dd><code>nextflow run "), "run_id", F.lit("</code></dd><dt>Odd field</dt><dd>odd "), "run_id", F.lit("</dd><dt>Script name</dt><dd>main.nf</dd>"))
+    extra = F.concat(F.lit("<title>[run-"), "run_id", F.lit('] report</title><div class="alert alert-danger"><p>x</p><pre>cannot read\n  /data/'), "run_id", F.lit("</pre></div><dt>Nextflow command</dt><dd><code>nextflow run &quot;x&amp;y&quot; --n &#39;"), "run_id", F.lit("&#x27;  &lt;in&gt;</code></dd><dt>Odd field</dt><dd>odd "), "run_id", F.lit("</dd><dt>Script name</dt><dd>main.nf</dd>"))
     return files.parse_headers(_header_files(spark, d).withColumn("content", F.concat(extra, "content")))
 
 
@@ -444,15 +444,55 @@ def redacted_headers(spark, d):
 def header_scan(spark, d):
     """What is scanned of redacted headers, and the originals that it is scanned for."""
     facts = _failed_headers(spark, d)
-    scanned = redact.header_texts(redact.redact_headers(facts, SALT)).where("text like 'odd %'").select(F.lit("scanned").alias("what"), "text")
+    scanned = redact.header_texts(redact.redact_headers(facts, SALT)).select(F.lit("scanned").alias("what"), "text")
     return scanned.union(redact.header_map(facts, SALT).select("pseudonym", "original"))
 
 
+def _odd_reports(spark, d):
+    """Reports with nested values in records, a summary's labels and other parts of the object."""
+    rows = lens.attempts(spark, d).select("run_id", _file().alias("path"), "pos", F.to_json(F.struct("hash", "process", "name", F.coalesce("tag", F.lit("-")).alias("tag"), F.col("realtime_ms").alias("realtime"), F.struct(F.col("run_id").alias("RUN")).alias("env"), F.lit(7).alias("odd"), F.concat(F.lit("cd /work/"), "hash", F.lit("\n./run \"x\"")).alias("script"))).alias("line"))
+    grouped = rows.groupBy("run_id", "path").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"))
+    after = F.concat(F.lit('],"summary":[{"process":"P","cpu":{"minLabel":"A (only '), "path", F.lit(')","min":1.5,"text":"kept"}}],"cmd":"/secret/'), "path", F.lit('","deep":{"list":["one '), "run_id", F.lit('",3,null,true]}};\n</script>'))
+    return grouped.select("run_id", "path", F.concat(F.lit('<script>window.data = {"trace":['), F.array_join(F.transform("rows", lambda r: r["line"]), ","), after).alias("content"))
+
+
+@query
+def report_redaction_map(spark, d):
+    """All that the redaction of reports replaces, taken from the rows that make up the redacted reports."""
+    return redact.replaced_values(redact.report_parts(_odd_reports(spark, d), SALT), SALT)
+
+
+@query
+def trace_redaction_map(spark, d):
+    """All that the redaction of traces replaces; every tenth row has a cell past the header."""
+    t = lens.attempts(spark, d).where("pos % 10 = 0 or pos % 10 = 1")
+    line = F.concat_ws("\t", F.concat(F.lit(" "), "name"), "status", F.concat(F.lit("/scratch/"), F.col("attempt").cast("string")), F.when(F.col("pos") % 10 == 0, F.concat(F.lit("past "), "run_id")))
+    grouped = t.select("run_id", _file().alias("path"), "pos", line.alias("line")).groupBy("run_id", "path").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"))
+    found = grouped.select("run_id", "path", F.concat(F.lit("name\tstatus\tworkdir\r\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\r\n")).alias("content"))
+    return redact.replaced_values(redact.trace_lines(found, SALT), SALT)
+
+
+@query
+def leak_scan_paths(spark, d):
+    """Folders that differ in their last part only, looked for by key in texts that all hold their common parts: each text has the next document's."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    folder = lambda c: F.concat(F.lit("/work/runs/"), F.md5(c.cast("string")))
+    texts = docs.select(F.col("doc_id").alias("id"), F.concat("text", F.lit(" at "), folder(F.col("doc_id") + 1), F.when(F.col("doc_id") % 2 == 0, F.lit("/x y")).otherwise("")).alias("text"))
+    return leaks.leak_scan(texts, docs.select(F.col("doc_id").alias("value"), folder(F.col("doc_id")).alias("needle")), most_chars=0)
+
+
+@query
+def leak_needles(spark, d):
+    """Passages as a leak would show them: escaped for JSON and for HTML."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.concat(F.lit("<a href=\"/x\">it's & "), F.substring("text", 1, 40), F.lit("\\</a>")).alias("original"))
+    return leaks.needles(items.union(items.select(F.substring("original", 1, 4))))
+
+
 @query
 def leak_scan(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
     wanted = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("value"), F.col("text").alias("needle"))
-    return redact.leak_scan(docs, wanted)
+    return leaks.leak_scan(docs, wanted)
 
 
 @query
@@ -461,13 +501,13 @@ def leak_scan_tokens(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
     items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").cast("string").alias("value"), F.col("text").alias("needle"))
     first = items.select(F.concat(F.lit("word "), "value").alias("value"), F.regexp_extract("needle", "([A-Za-z]{5,})", 1).alias("needle")).where("needle <> ''")
-    return redact.leak_scan(docs, items.union(first), most_chars=0)
+    return leaks.leak_scan(docs, items.union(first), most_chars=0)
 
 
 @query
 def location_markers(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    return redact.location_markers(docs, ("@", "example.com")).select("id", F.array_join("markers", ",").alias("markers"))
+    return leaks.location_markers(docs, ("@", "example.com")).select("id", F.array_join("markers", ",").alias("markers"))
 
 
 @query
