@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,13 +52,16 @@ def dedup_tasks(tasks: DataFrame) -> DataFrame:
     return keyed.withColumns({"_rank": F.row_number().over(task.orderBy(F.desc("pos"))), "_first": F.min("pos").over(task)}).where("_rank = 1").withColumn("pos", F.col("_first")).drop("_key", "_rank", "_first")
 
 
-def merge_tasks(trace: DataFrame, report: DataFrame) -> DataFrame:
-    """One task list of each run from its trace and its report.
+def _preferred(rows: DataFrame) -> DataFrame:
+    """Rows with the report record of ``_match`` (null: none) put over the trace's values."""
+    both, traced = F.col("_match").isNotNull(), F.col("side") == 0
+    picked = [F.coalesce(F.nullif(F.col(f"_match.{c}"), F.lit("")), c).alias(c) for c in STRINGS] + [F.coalesce(f"_match.{c}", c).alias(c) for c in OPTIONAL]
+    source = F.when(both, "both").when(traced, "trace").otherwise("report")
+    return rows.select("run_id", "path", source.alias("source"), "pos", *picked, F.when(both, F.col("_match.tag")).otherwise(F.col("tag")).alias("tag"), "side")
 
-    Trace rows are deduplicated, then matched by hash (of a report's equal hashes the last). What is left pairs by name,
-    k-th with k-th in file order, where the trace row or the report record has no hash. Non-empty report strings and known report
-    values come first, and a matched task's tag is always the report's. Unmatched rows of both sides stay, trace rows first.
-    A run without a report keeps its deduplicated trace; one without a trace keeps its report as it is.
+
+def _merge_by_passes(trace: DataFrame, report: DataFrame) -> DataFrame:
+    """The merge where the trace rows of a name all have a hash or all have none: by hash first, then by name.
 
     Both sides are one table that is shuffled twice: by (run, hash), which deduplicates and matches, and by (run, name) for what is
     left; matched rows are dealt by their place there, so they crowd no name.
@@ -89,7 +93,76 @@ def merge_tasks(trace: DataFrame, report: DataFrame) -> DataFrame:
     by_name = F.max(F.when(reported & F.col("_able"), record)).over(pair)
     rows = rows.withColumns({"_match": F.when(traced & F.col("_able"), by_name).otherwise(F.col("_match")), "_taken": reported & F.col("_able") & (F.min("side").over(pair) == 0)})
 
-    both = F.col("_match").isNotNull()
-    picked = [F.coalesce(F.nullif(F.col(f"_match.{c}"), F.lit("")), c).alias(c) for c in STRINGS] + [F.coalesce(f"_match.{c}", c).alias(c) for c in OPTIONAL]
-    source = F.when(both, "both").when(traced, "trace").otherwise("report")
-    return rows.where("not _taken").select("run_id", "path", source.alias("source"), "pos", *picked, F.when(both, F.col("_match.tag")).otherwise(F.col("tag")).alias("tag"), "side")
+    return _preferred(rows.where("not _taken"))
+
+
+def _greedy_pairs(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of places of one name's trace rows and report records; each row in file order takes the first record that is free for it.
+
+    A row without a hash takes any record, one with a hash the last record of its hash, else one without a hash. Two pointers pass over the records, so the work is linear.
+    """
+    ordered = group.sort_values(["side", "pos"])
+    rows, records = ordered[ordered["side"] == 0], ordered[ordered["side"] == 1]
+    hashes, used = records["hash"].tolist(), [False] * len(records)
+    of_hash = {h: i for i, h in enumerate(hashes) if h}
+    anyone, bare, at, pairs = list(range(len(hashes))), [i for i, h in enumerate(hashes) if not h], {"": 0, "h": 0}, []
+    for pos, own in zip(rows["pos"], rows["hash"], strict=True):
+        found = of_hash.get(own) if own else None
+        if found is None or used[found]:
+            kind, line = ("h", bare) if own else ("", anyone)
+            while at[kind] < len(line) and used[line[at[kind]]]:
+                at[kind] += 1
+            found = line[at[kind]] if at[kind] < len(line) else None
+        if found is not None:
+            used[found] = True
+            pairs.append((pos, records["pos"].iloc[found]))
+    return pd.DataFrame({"run_id": group["run_id"].iloc[0], "trace_pos": [p[0] for p in pairs], "report_pos": [p[1] for p in pairs]}).astype({"trace_pos": "int64", "report_pos": "int64"})
+
+
+def _merge_in_turn(trace: DataFrame, report: DataFrame) -> DataFrame:
+    """The merge of names whose trace rows have a hash in part: what a row may take depends on all rows before it.
+
+    A name's places and hashes (no other columns) meet in one task, which pairs them; the records come by place. Such names are those of retries of one task.
+    """
+    held = [*STRINGS, *OPTIONAL, "tag"]
+    rows = dedup_tasks(trace)
+    narrow = rows.select("run_id", "name", "pos", "hash", F.lit(0).alias("side")).union(report.select("run_id", "name", "pos", "hash", F.lit(1).alias("side")))
+    pairs = narrow.groupBy("run_id", "name").applyInPandas(_greedy_pairs, "run_id string, trace_pos long, report_pos long")
+    records = report.select(F.col("run_id").alias("_run"), F.col("pos").alias("_pos"), F.struct(*held).alias("_match"))
+    matched = pairs.join(records, (pairs["run_id"] == records["_run"]) & (pairs["report_pos"] == records["_pos"])).select("_run", "trace_pos", "_match")
+    left = rows.join(matched, (rows["run_id"] == matched["_run"]) & (rows["pos"] == matched["trace_pos"]), "left").select("run_id", "path", "pos", *held, F.lit(0).alias("side"), "_match")
+    free = report.join(pairs.select(F.col("run_id").alias("_run"), "report_pos"), (report["run_id"] == F.col("_run")) & (report["pos"] == F.col("report_pos")), "left_anti")
+    none = F.lit(None).cast(left.schema["_match"].dataType)
+    return _preferred(left.union(free.select("run_id", "path", "pos", *held, F.lit(1).alias("side"), none.alias("_match"))))
+
+
+def merge_tasks(trace: DataFrame, report: DataFrame) -> DataFrame:
+    """One task list of each run from its trace and its report.
+
+    Trace rows are deduplicated. In file order each takes the last report record of its hash, or else, as a trace row without a hash does,
+    the first free record of its name; of two hashes that differ none takes the other's. Non-empty report strings and known report
+    values come first, and a matched task's tag is always the report's. Unmatched rows of both sides stay, trace rows first.
+    A run without a report keeps its deduplicated trace; one without a trace keeps its report as it is. Places (``pos``) tell a run's rows of a side apart.
+
+    Names whose trace rows have a hash all or not at all are matched in two passes over all of them. Only where a run's trace has hashes in part (one
+    aggregation tells) its names of that kind are paired in turn; records whose hash belongs to a row of another name go to that row first.
+    """
+    hashed = F.col("hash") != ""
+    partly = trace.groupBy("run_id").agg(F.max(hashed).alias("some"), F.min(hashed).alias("all")).where("some and not all").select(F.col("run_id").alias("_run")).persist()
+    if not partly.count():
+        return _merge_by_passes(trace, report)
+    inside = trace.join(partly, trace["run_id"] == partly["_run"], "left_semi")
+    names = inside.groupBy("run_id", "name").agg(F.max(hashed).alias("some"), F.min(hashed).alias("all")).where("some and not all")
+    names = names.select(F.col("run_id").alias("_run"), F.col("name").alias("_name"))
+    own = inside.where(hashed).select(F.col("run_id").alias("_r"), F.col("hash").alias("_h"), F.col("name").alias("_n")).distinct()
+    apart = report.where(hashed).join(own, (report["run_id"] == F.col("_r")) & (report["hash"] == F.col("_h")) & (report["name"] != F.col("_n"))).select(F.col("run_id").alias("_r"), F.col("hash").alias("_h")).distinct()
+
+    def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        marked = df.join(names.withColumn("_in", F.lit(True)), (df["run_id"] == F.col("_run")) & (df["name"] == F.col("_name")), "left")
+        marked = marked.join(apart.withColumn("_apart", F.lit(True)), (df["run_id"] == F.col("_r")) & (df["hash"] == F.col("_h")), "left")
+        turn = F.coalesce("_in", F.lit(False)) & F.col("_apart").isNull()
+        drop = ("_run", "_name", "_in", "_r", "_h", "_apart")
+        return marked.where(turn).drop(*drop), marked.where(~turn).drop(*drop)
+
+    (trace_turn, trace_rest), (report_turn, report_rest) = split(trace), split(report)
+    return _merge_by_passes(trace_rest, report_rest).unionByName(_merge_in_turn(trace_turn, report_turn))

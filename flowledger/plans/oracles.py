@@ -110,6 +110,10 @@ BODIES: dict[str, str] = {
     "merge_by_name": """SELECT a.run_id, a.name, a.pos, b.cpus_units, coalesce(CASE WHEN b.pos % 10 <> 2 THEN b.realtime_ms END, a.realtime_ms) AS realtime_ms, b.tag
       FROM (SELECT *, row_number() OVER (PARTITION BY run_id, name ORDER BY pos) AS k FROM t WHERE pos % 10 <> 0) a
       JOIN (SELECT *, row_number() OVER (PARTITION BY run_id, name ORDER BY pos) AS k FROM t WHERE pos % 10 <> 1) b ON a.run_id = b.run_id AND a.name = b.name AND a.k = b.k""",
+    "merge_mixed": """SELECT a.run_id, a.name, CASE WHEN b.pos IS NULL THEN 'trace' ELSE 'both' END AS source, 0 AS side, a.pos, coalesce(nullif(b.h, ''), a.h) AS hash, b.cpus_units,
+        coalesce(CASE WHEN b.pos % 10 <> 2 THEN b.realtime_ms END, a.realtime_ms) AS realtime_ms, CASE WHEN b.pos IS NULL THEN 'trace' ELSE b.tag END AS tag
+      FROM ga a JOIN gr ON gr.run_id = a.run_id AND gr.name = a.name AND gr.i = a.i LEFT JOIN gb b ON b.run_id = a.run_id AND b.pos = gr.pick
+      UNION ALL SELECT run_id, name, 'report', 1, pos, h, cpus_units, CASE WHEN pos % 10 <> 2 THEN realtime_ms END, tag FROM gb ANTI JOIN gr ON gr.run_id = gb.run_id AND gr.pick = gb.pos""",
     "merge_leftovers": """SELECT run_id, hash, CASE WHEN pos % 10 = 1 THEN 'trace' ELSE 'report' END AS source, CAST(CASE WHEN pos % 10 = 1 THEN 0 ELSE 1 END AS INT) AS side, pos,
       CASE WHEN pos % 10 = 0 THEN cpus_units END AS cpus_units, realtime_ms, CASE WHEN pos % 10 = 1 THEN 'trace' ELSE tag END AS tag FROM t WHERE pos % 10 IN (0, 1)""",
     "parse_duration": "SELECT run_id, hash, realtime_ms FROM t",
@@ -214,5 +218,18 @@ BODIES: dict[str, str] = {
 }
 
 
+#: A trace and a report that lack some hashes, and each name's trace rows taking records one after the other.
+_GREEDY = """,
+ga AS MATERIALIZED (SELECT *, CASE WHEN pos % 3 = 0 THEN '' ELSE hash END AS h, row_number() OVER (PARTITION BY run_id, name ORDER BY pos) AS i FROM t WHERE pos % 10 <> 0),
+gb AS MATERIALIZED (SELECT *, CASE WHEN pos % 4 = 0 THEN '' ELSE hash END AS h FROM t WHERE pos % 10 <> 1),
+gl AS MATERIALIZED (SELECT run_id, name, list({'pos': pos, 'h': h} ORDER BY pos) AS records FROM gb GROUP BY ALL),
+gr AS (SELECT DISTINCT run_id, name, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS pick, CAST([] AS BIGINT[]) AS used FROM ga
+  UNION ALL SELECT run_id, name, i, pick, CASE WHEN pick IS NULL THEN used ELSE used || [pick] END FROM (
+    SELECT gr.run_id, gr.name, ga.i, gr.used, CASE WHEN ga.h = '' THEN list_filter(coalesce(records, []), lambda x: NOT list_contains(gr.used, x.pos))[1].pos
+      ELSE coalesce(list_filter(coalesce(records, []), lambda x: x.h = ga.h AND NOT list_contains(gr.used, x.pos))[-1].pos, list_filter(coalesce(records, []), lambda x: x.h = '' AND NOT list_contains(gr.used, x.pos))[1].pos) END AS pick
+    FROM gr JOIN ga ON ga.run_id = gr.run_id AND ga.name = gr.name AND ga.i = gr.i + 1 LEFT JOIN gl ON gl.run_id = gr.run_id AND gl.name = gr.name))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: f"WITH {_BASE} {body}" for name, body in BODIES.items()}
+    return {name: f"WITH {'RECURSIVE ' if name == 'merge_mixed' else ''}{_BASE}{_GREEDY if name == 'merge_mixed' else ''} {body}" for name, body in BODIES.items()}

@@ -130,6 +130,14 @@ def merge_by_name(spark, d):
     return tasks.merge_tasks(*_halves(spark, d, hashed=False)).where("source = 'both'").select("run_id", "name", "pos", "cpus_units", "realtime_ms", "tag")
 
 
+@query
+def merge_mixed(spark, d):
+    """A trace and a report that both lack some hashes."""
+    trace, report = _halves(spark, d)
+    bare = lambda df, n: df.withColumn("hash", F.when(F.col("pos") % n == 0, "").otherwise(F.col("hash")))
+    return tasks.merge_tasks(bare(trace, 3), bare(report, 4)).select("run_id", "name", "source", "side", "pos", "hash", "cpus_units", "realtime_ms", "tag")
+
+
 @query
 def merge_leftovers(spark, d):
     return tasks.merge_tasks(*_halves(spark, d)).where("source <> 'both'").select("run_id", "hash", "source", "side", "pos", "cpus_units", "realtime_ms", "tag")

@@ -136,6 +136,46 @@ def test_merge_equals_the_sequential_rule(spark):
     assert got == want and all(m.tag is None for m in merged if m.source == "both")
 
 
+def merge_in_turn(trace, report):
+    """(last trace row of the task, report record) by the rule for traces with hashes in part, row by row."""
+    last = {}
+    for i, t in enumerate(trace):
+        last[t["hash"] or i] = i
+    used, out, seen = set(), set(), set()
+    for i, t in enumerate(trace):
+        if (t["hash"] or i) in seen:
+            continue
+        seen.add(t["hash"] or i)
+        own = [j for j, r in enumerate(report) if t["hash"] and r["hash"] == t["hash"]][-1:]
+        free = own if own and own[0] not in used else [j for j, r in enumerate(report) if j not in used and r["name"] == t["name"] and not (t["hash"] and r["hash"])][:1]
+        used.update(free)
+        out.add((last[t["hash"] or i], free[0] if free else None))
+    return out | {(None, j) for j in range(len(report)) if j not in used}
+
+
+def test_merge_of_traces_with_hashes_in_part(spark):
+    rng = random.Random(7)
+    left, right, want = [], [], set()
+    for case in range(120):
+        t = [dict(hash=rng.choice(["", f"h{rng.randint(0, 5)}"]), name=f"n{rng.randint(0, 1)}") for i in range(rng.randint(1, 8))]
+        name = {x["hash"]: x["name"] for x in t}
+        t = [x | {"name": name[x["hash"]] if x["hash"] else x["name"]} for x in t]
+        r = [dict(hash=h, name=name[h] if h in name and h else f"n{rng.randint(0, 1)}") for h in (rng.choice(["", f"h{rng.randint(0, 7)}"]) for i in range(rng.randint(0, 9)))]
+        left += [dict(x, run_id=f"r{case}", pos=i, cpus_units=None, native_id=f"t{i}") for i, x in enumerate(t)]
+        right += [dict(x, run_id=f"r{case}", pos=i, cpus_units=i + 1, tag=None) for i, x in enumerate(r)]
+        want |= {(f"r{case}", *p) for p in merge_in_turn(t, r)}
+    merged = tasks.merge_tasks(make(spark, *left), make(spark, *right)).collect()
+    got = {(m.run_id, int(m.native_id[1:]) if m.native_id else None, m.cpus_units - 1 if m.cpus_units else None) for m in merged}
+    assert got == want and len(merged) == len(got) and all(m.tag is None for m in merged if m.source == "both")
+
+
+def test_merge_by_hash_across_names_comes_first(spark):
+    left = [dict(hash="", name="a", pos=0, native_id="t0"), dict(hash="h1", name="a", pos=1, native_id="t1"), dict(hash="h2", name="b", pos=2, native_id="t2")]
+    right = [dict(hash="h2", name="a", pos=0, cpus_units=1), dict(hash="h1", name="a", pos=1, cpus_units=2)]
+    merged = tasks.merge_tasks(make(spark, *[dict(x, cpus_units=None) for x in left]), make(spark, *right)).collect()
+    assert {(m.native_id, m.cpus_units) for m in merged} == {("t0", 2), ("t1", None), ("t2", 1)}
+
+
 def test_merge_with_one_side_only(spark):
     both = [dict(hash="a"), dict(hash="a", status="FAILED")]
     assert tasks.merge_tasks(make(spark, *both), make(spark)).count() == 1
