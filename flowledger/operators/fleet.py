@@ -16,16 +16,38 @@ def reconcile_cpu_hours(totals: DataFrame, headers: DataFrame, tolerance: float
     return joined.select("run_id", "cpu_h_requested", "stated", (F.abs(F.col("cpu_h_requested") - F.col("stated")) <= tolerance).alias("agrees"))
 
 
-def usage_quantiles(tasks: DataFrame, value: str, quantiles: tuple[float, ...] = (0.1, 0.5, 0.9), by: tuple[str, ...] = ("process",)) -> DataFrame:
-    """Exact quantiles with linear interpolation, mean and extremes of a measure for each group."""
-    x = F.col(value).cast("double")
-    return tasks.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("tasks"),
-        *[F.expr(f"percentile(CAST({value} AS DOUBLE), {q})").alias(f"q{round(q * 100):02d}") for q in quantiles],
-        (F.sum(F.col(value).cast("decimal(20,0)")).cast("double") / F.count("*")).alias("mean"),
-        F.min(x).alias("least"),
-        F.max(x).alias("most"),
-    )
+#: Most ranges of values that a group is counted in at first, and so the most rows that one task orders.
+RANGES = 65_536
+
+
+def usage_quantiles(tasks: DataFrame, value: str, quantiles: tuple[float, ...] = (0.1, 0.5, 0.9), by: tuple[str, ...] = ("process",), ranges: int = RANGES) -> DataFrame:
+    """Exact quantiles with linear interpolation, mean and extremes of a measure in whole units for each group, however large it is.
+
+    Equal values are counted first. A group's span is cut into ``ranges`` of equal width; their counts tell in which range each wanted rank lies, and only
+    those few ranges' values are put in order. So no task holds a group: one orders ranges, or the distinct values of one range.
+    """
+    counts = tasks.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("long").alias("x")).agg(F.count("*").alias("n"))
+    sums = counts.groupBy(*by).agg(F.sum("n").alias("tasks"), F.sum(F.col("x").cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)")).alias("sum"), F.min("x").alias("least"), F.max("x").alias("most"))
+    key = F.struct(*by).alias("g")
+    groups = sums.select(key, "tasks", "sum", "least", "most", F.greatest(F.ceil((F.col("most") - F.col("least") + 1) / ranges), F.lit(1)).alias("width"))
+    placed = counts.select(key, "x", "n").join(groups.select("g", "least", "width"), "g").select("g", F.floor((F.col("x") - F.col("least")) / F.col("width")).alias("range"), "x", "n")
+    upto = lambda *keys, order: F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    held = placed.groupBy("g", "range").agg(F.sum("n").alias("n")).withColumn("before", upto("g", order="range"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), side(F.lit(q) * (F.col("tasks") - 1)).cast("long").alias("rank")) for i, q in enumerate(quantiles) for side in (F.floor, F.ceil)]))
+    asked = groups.select("g", ranks.alias("r")).select("g", "r.rank").distinct()
+    found = asked.join(held, "g").where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).select("g", "range", "rank", "before")
+    wanted = found.groupBy("g", "range").agg(F.min("before").alias("before"), F.collect_set("rank").alias("ranks"))
+    inside = placed.join(wanted, ["g", "range"]).withColumn("start", F.col("before") + upto("g", "range", order="x"))
+    values = inside.select("g", "x", F.explode(F.filter("ranks", lambda k: (k >= F.col("start")) & (k < F.col("start") + F.col("n")))).alias("rank"))
+    by_rank = values.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
+
+    def quantile(q: float):
+        place = F.lit(q) * (F.col("tasks") - 1)
+        low, high = (F.element_at("at", side(place).cast("long")).cast("double") for side in (F.floor, F.ceil))
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    done = groups.join(by_rank, "g")
+    return done.select(*[F.col(f"g.{c}").alias(c) for c in by], "tasks", *[quantile(q).alias(f"q{round(q * 100):02d}") for q in quantiles], (F.col("sum").cast("double") / F.col("tasks")).alias("mean"), F.col("least").cast("double").alias("least"), F.col("most").cast("double").alias("most"))
 
 
 def since_release(runs: DataFrame, key: Column, least: list[int]) -> DataFrame:

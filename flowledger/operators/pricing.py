@@ -141,32 +141,54 @@ def with_waste(df: DataFrame, r: Rates) -> DataFrame:
     return df.withColumn("waste", F.when((F.col("cpu_h_req_metered") > 0) | (F.col("gib_h_req_metered") > 0), waste))
 
 
-def process_stats(priced: DataFrame, r: Rates) -> DataFrame:
-    """A row for each run and process: counts, hours, maxima of requests and peaks, cost, efficiency and waste.
+COUNTS = ("tasks", "failed_tasks", "cached_tasks", "tasks_without_requests", "tasks_with_metrics")
+_MORE_COUNTS = ("retried_tasks", "killed_tasks", "tasks_with_attempt", "tasks_with_cpu", "tasks_with_rss", "completed_with_metrics", "tasks_with_requests")
+#: Greatest requests and peaks: what is compared, of which attempts (of tasks with both requests only), and the unit it is shown in.
+_LARGEST = {
+    **{f"{w}_{n}": (c, True, w, per) for w in ("max", "base", "retry") for n, c, per in (("cpus", "cpus_units", CORE_UNITS), ("mem_gib", "memory_kib", GIB_KIB))},
+    **{f"{w}_limit_h": ("time_ms", False, w, HOUR_MS) for w in ("max", "base", "retry")},
+    "max_cores_used": ("pct_cpu_units", False, "max", CORE_UNITS), "max_rss_gib": ("peak_rss_kib", False, "max", GIB_KIB), "max_realtime_h": ("ms", False, "max", HOUR_MS),
+}
 
-    The struct ``exact`` holds the sums that the hours come from, so that totals of runs need no second pass over the tasks.
+
+def usage(priced: DataFrame) -> DataFrame:
+    """A row for each run, tag and process: counts, exact sums (``exact``) and greatest values (``largest``), all of which add up further.
+
+    One pass over the tasks, from which process, tag and run statistics are rolled up; a hot process or tag is a few rows by then.
     """
-    largest = lambda c, where, per: F.coalesce(F.max(F.when(where, F.col(c))), F.lit(0)) / per
     requested = F.col("cpus_units").isNotNull() & F.col("memory_kib").isNotNull()
-    first, every = F.coalesce("attempt", F.lit(1)) == 1, F.lit(True)
     retry = F.coalesce("attempt", F.lit(1)) > 1
-    stats = priced.groupBy("run_id", "process").agg(
+    attempts = {"max": F.lit(True), "base": F.coalesce("attempt", F.lit(1)) == 1, "retry": ~(F.coalesce("attempt", F.lit(1)) == 1)}
+    greatest = lambda c, both, w: F.max(F.when((requested if both else F.lit(True)) & attempts[w], F.col(c)))
+    return priced.groupBy("run_id", "tag", "process").agg(
         *_counts(),
         F.count_if(retry).alias("retried_tasks"),
         F.count_if("killed").alias("killed_tasks"),
-        (F.count("attempt") > 0).alias("attempts_known"),
+        F.count("attempt").alias("tasks_with_attempt"),
         F.count("pct_cpu_units").alias("tasks_with_cpu"),
         F.count("peak_rss_kib").alias("tasks_with_rss"),
         F.count_if(F.col("ok") & F.col("pct_cpu_units").isNotNull() & F.col("peak_rss_kib").isNotNull()).alias("completed_with_metrics"),
-        (F.count_if(requested) > 0).alias("has_requests"),
+        F.count_if(requested).alias("tasks_with_requests"),
         F.struct(*[_exact(c).alias(n) for n, (c, _) in _amounts().items()]).alias("exact"),
-        *[largest("cpus_units", requested & w, CORE_UNITS).alias(n) for n, w in (("max_cpus", every), ("base_cpus", first), ("retry_cpus", ~first))],
-        *[largest("memory_kib", requested & w, GIB_KIB).alias(n) for n, w in (("max_mem_gib", every), ("base_mem_gib", first), ("retry_mem_gib", ~first))],
-        *[largest("time_ms", w, HOUR_MS).alias(n) for n, w in (("max_limit_h", every), ("base_limit_h", first), ("retry_limit_h", ~first))],
-        largest("pct_cpu_units", every, CORE_UNITS).alias("max_cores_used"),
-        largest("peak_rss_kib", every, GIB_KIB).alias("max_rss_gib"),
-        largest("ms", every, HOUR_MS).alias("max_realtime_h"),
+        F.struct(*[greatest(c, both, w).alias(n) for n, (c, both, w, _) in _LARGEST.items()]).alias("largest"),
     )
+
+
+def _summed(names=COUNTS) -> list[Column]:
+    return [F.sum(c).alias(c) for c in names]
+
+
+def _summed_amounts() -> Column:
+    return F.struct(*[F.sum(f"exact.{n}").cast("decimal(38,0)").alias(n) for n in _amounts()]).alias("exact")
+
+
+def process_stats_of(parts: DataFrame, r: Rates) -> DataFrame:
+    """A row for each run and process from :func:`usage`: counts, hours, maxima of requests and peaks, cost, efficiency and waste.
+
+    The struct ``exact`` holds the sums that the hours come from, so that totals of runs need no second pass over the tasks.
+    """
+    sums = parts.groupBy("run_id", "process").agg(*_summed(COUNTS + _MORE_COUNTS), _summed_amounts(), *[(F.coalesce(F.max(f"largest.{n}"), F.lit(0)) / per).alias(n) for n, (*_, per) in _LARGEST.items()])
+    stats = sums.withColumns({"attempts_known": F.col("tasks_with_attempt") > 0, "has_requests": F.col("tasks_with_requests") > 0}).drop("tasks_with_attempt", "tasks_with_requests")
     stats = stats.withColumns(_hours(_amounts())).withColumns(
         {
             "cost": _cost("priced_cpu_h", "priced_gib_h", r),
@@ -178,25 +200,27 @@ def process_stats(priced: DataFrame, r: Rates) -> DataFrame:
     return with_waste(stats, r)
 
 
-def tag_stats(priced: DataFrame, r: Rates) -> DataFrame:
-    """A row for each run and tag; tasks without a tag are a group of their own.
+def process_stats(priced: DataFrame, r: Rates) -> DataFrame:
+    return process_stats_of(usage(priced), r)
 
-    Tasks are first summed by (run, tag, process), so that a hot tag's processes are counted from few rows.
-    """
-    sums = priced.groupBy("run_id", "tag", "process").agg(*_counts(), *[_exact(c).alias(n) for n, (c, _) in _amounts().items()])
-    counts = ("tasks", "failed_tasks", "cached_tasks", "tasks_without_requests", "tasks_with_metrics")
-    stats = sums.groupBy("run_id", "tag").agg(*[F.sum(c).alias(c) for c in counts], F.count("*").alias("processes"), F.struct(*[F.sum(n).alias(n) for n in _amounts()]).alias("exact"))
+
+def tag_stats_of(parts: DataFrame, r: Rates) -> DataFrame:
+    """A row for each run and tag from :func:`usage`; tasks without a tag are a group of their own."""
+    stats = parts.groupBy("run_id", "tag").agg(*_summed(), F.count("*").alias("processes"), _summed_amounts())
     stats = stats.withColumns(_hours(_amounts())).drop("exact")
     return with_waste(stats.withColumns({"cost": _cost("priced_cpu_h", "priced_gib_h", r), "failed_cost": _cost("failed_cpu_h", "failed_gib_h", r)}), r)
 
 
+def tag_stats(priced: DataFrame, r: Rates) -> DataFrame:
+    return tag_stats_of(usage(priced), r)
+
+
 def run_totals(processes: DataFrame, r: Rates) -> DataFrame:
     """A row for each run from its :func:`process_stats`: exact sums of the processes' sums; waste is the sum of the processes' waste."""
-    counts = ("tasks", "failed_tasks", "cached_tasks", "tasks_without_requests", "tasks_with_metrics")
     totals = processes.groupBy("run_id").agg(
-        *[F.sum(c).alias(c) for c in counts],
+        *_summed(),
         F.count("*").alias("processes"),
-        F.struct(*[F.sum(f"exact.{n}").alias(n) for n in _amounts()]).alias("exact"),
+        _summed_amounts(),
         fixed_sum(F.coalesce("waste", F.lit(0.0))).alias("total_waste"),
     )
     totals = totals.withColumns(_hours(_amounts())).drop("exact").withColumn("tasks_without_metrics", F.col("tasks") - F.col("tasks_with_metrics"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Runs unchanged on Spark and DuckDB; the braces are the tables.
+#: Runs unchanged on Spark and DuckDB; the braces are the tables. A task's place comes from its order and line; only repeats of one line are numbered.
 LENS = """
 SELECT 'run' || CAST(year(o_orderdate) - 1995 AS STRING) AS run_id,
   CASE WHEN year(o_orderdate) = 1998 THEN 'master' ELSE '3.' || CAST((year(o_orderdate) - 1995) * 4 AS STRING) || '.0' END AS revision,
@@ -25,7 +25,7 @@ SELECT 'run' || CAST(year(o_orderdate) - 1995 AS STRING) AS run_id,
   CAST(CASE WHEN p_size % 11 = 0 THEN NULL ELSE 1024 * (2 + p_size % 8) * CASE WHEN p_type LIKE '%SMALL%' AND l_linenumber >= 6 THEN 2 ELSE 1 END * 1024 END AS BIGINT) AS memory_kib,
   CAST(CASE WHEN l_quantity = 13 OR (p_type LIKE '%ECONOMY%' AND p_brand LIKE 'Brand#2%' AND l_linenumber <= 5) THEN NULL ELSE l_quantity * 2000 END AS BIGINT) AS pct_cpu_units,
   CAST(CASE WHEN l_quantity IN (13, 29) THEN NULL ELSE round(l_extendedprice * 20) END AS BIGINT) AS peak_rss_kib,
-  CAST(row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_orderkey, l_linenumber, l_quantity) AS BIGINT) AS pos
+  CAST((CAST(l_orderkey AS BIGINT) * 8 + l_linenumber) * 1009 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag) AS BIGINT) AS pos
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey
 """
 

@@ -86,7 +86,7 @@ _TAGGED = "'tag-' || substr(sha256('fixed-salt' || chr(0) || {0}), 1, 10)"
 _COMMAND = "('nextflow run \"x&y\" --n ''' || run_id || '''  <in>')"
 _ERROR = "('cannot read' || chr(10) || '  /data/' || run_id)"
 _VALUED = "'redacted-' || substr(sha256('fixed-salt' || chr(0) || {0}), 1, 10)"
-_FILE = "run_id || '/part' || CAST((pos - 1) // 2000 AS VARCHAR)"
+_FILE = "run_id || '/part' || CAST(pos // 28000000 AS VARCHAR)"
 
 _SIDE = "SELECT name, {dec_cost} AS cost_{x}, {dec_hours} AS hours_{x}, max(max_cpus) AS cpus_{x}, max(max_mem_gib) AS mem_gib_{x} FROM ps JOIN mn USING (process) WHERE run_id = '{run}' GROUP BY name"
 _DELTA = (

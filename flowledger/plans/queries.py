@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,18 @@ SALT = "fixed-salt"
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+KEPT: list[DataFrame] = []
+
+
 def query(f):
-    FOUND[f.__name__] = f
+    @functools.wraps(f)
+    def run(spark, d):
+        """As the query; what an earlier one has kept is let go (and would be computed again where it is still asked for)."""
+        while KEPT:
+            KEPT.pop().unpersist()
+        return f(spark, d)
+
+    FOUND[f.__name__] = run
     return f
 
 
@@ -40,7 +51,8 @@ def _totals(spark, d):
 
 def _kept(df):
     """A small table (a row for each run and process) that a query uses several times, computed once."""
-    return df.persist()
+    KEPT.append(df.persist())
+    return KEPT[-1]
 
 
 def _recs(spark, d):
@@ -173,12 +185,12 @@ def task_names(spark, d):
     return names.select("name", units.process_from_name(F.col("name")).alias("process"), units.tag_from_name(F.col("name")).alias("tag"), "tasks")
 
 
-#: Tasks of one rendered file.
-FILE_TASKS = 2000
+#: Places of one rendered file: some 2,000 tasks of a run.
+FILE_PLACES = 28_000_000
 
 
 def _file():
-    return F.concat("run_id", F.lit("/part"), F.floor((F.col("pos") - 1) / FILE_TASKS).cast("string"))
+    return F.concat("run_id", F.lit("/part"), F.floor(F.col("pos") / FILE_PLACES).cast("string"))
 
 
 def _cell(c):
@@ -328,8 +340,9 @@ def top_processes(spark, d):
 
 
 def _report(spark, d):
-    stats = _kept(_stats(spark, d))
-    return compare.report_tables(stats, pricing.tag_stats(_priced(spark, d), RATES), pricing.run_totals(stats, RATES), rightsize.recommend(stats, RATES), RATES)
+    usage = _kept(pricing.usage(_priced(spark, d)))
+    stats = pricing.process_stats_of(usage, RATES)
+    return compare.report_tables(stats, pricing.tag_stats_of(usage, RATES), pricing.run_totals(stats, RATES), rightsize.recommend(stats, RATES), RATES)
 
 
 @query
@@ -415,8 +428,9 @@ def redaction_invariance(spark, d):
     keys = {"hash": F.col("hash"), "process": F.col("process"), "name": F.col("name"), "tag": F.col("tag"), "status": F.col("status"), **shown}
     raw = _tasks(spark, d).select("run_id", F.col("run_id").alias("path"), "pos", F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[_cell(v) for v in keys.values()])).alias("f"))
     priced = pricing.price_tasks(tasks.to_tasks(redact.redact_records(raw, SALT), "report"))
-    stats = _kept(pricing.process_stats(priced, RATES))
-    tags = pricing.tag_stats(priced, RATES).groupBy(F.col("run_id").alias("_t")).agg(F.count_if(F.col("tag").startswith("tag-")).alias("tags"), F.count("*").alias("tag_groups"))
+    usage = _kept(pricing.usage(priced))
+    stats = pricing.process_stats_of(usage, RATES)
+    tags = pricing.tag_stats_of(usage, RATES).groupBy(F.col("run_id").alias("_t")).agg(F.count_if(F.col("tag").startswith("tag-")).alias("tags"), F.count("*").alias("tag_groups"))
     totals = rightsize.total_saving(rightsize.recommend(stats, RATES), pricing.run_totals(stats, RATES)).withColumnRenamed("run_id", "_s")
     runs = pricing.run_totals(stats, RATES)
     return runs.join(tags, F.col("run_id") == F.col("_t")).join(totals, F.col("run_id") == F.col("_s")).select("run_id", "tasks", "processes", "tags", "tag_groups", "total_cost", "total_waste", "unused_share", "saving")
