@@ -122,3 +122,49 @@ def report_tables(stats: DataFrame, tags: DataFrame, totals: DataFrame, recs: Da
         "kept": named(recs.where("needs_escalation")),
         "not_sized": rightsize.not_sized(stats),
     }
+
+
+def shown_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of :func:`report_tables` in the words of a report: dollars, per cents, hours and sizes as texts, ``n/a`` for what isn't known."""
+    money, percent, hours = units.show_money, units.show_percent, units.show_hours
+    change = lambda a, b: F.concat(a, F.lit(" \u2192 "), b)
+    whole = lambda c: F.format_string("%.0f", F.bround(c, 0))
+    time = change(hours(F.col("time_now_h")), F.concat(hours(F.col("time_new_h")), F.when(F.col("time_tight"), " (tight)").otherwise("")))
+    retries = F.when(F.col("attempts_known"), F.col("retried_tasks").cast("string")).otherwise("n/a")
+    return {
+        "processes": tables["processes"].select("run_id", "rank", F.col("name").alias("process"), "tasks", hours(F.col("realtime_h")).alias("run_time"), money(F.col("cost")).alias("cost"), percent(F.col("share")).alias("share"), percent(F.col("cpu_efficiency")).alias("cpu_eff"), percent(F.col("mem_efficiency")).alias("mem_eff"), money(F.col("waste")).alias("waste"), retries.alias("retries"), "failed_tasks"),
+        "tags": tables["tags"].select("run_id", "rank", F.coalesce("tag", F.lit("(untagged)")).alias("tag"), "tasks", "processes", hours(F.col("realtime_h")).alias("run_time"), money(F.col("cost")).alias("cost"), percent(F.col("share")).alias("share"), money(F.col("waste")).alias("waste")),
+        "right_sizing": tables["right_sizing"].select("run_id", "rank", F.col("name").alias("process"), change(whole(F.col("cpus_now")), F.col("cpus_new").cast("string")).alias("cpus"), change(units.show_gib(F.col("mem_now_gib")), units.show_gib(F.col("mem_new_gib"))).alias("memory"), F.when(F.col("time_now_h") > 0, time).otherwise("n/a").alias("time"), money(F.col("saving")).alias("saving")),
+        "tight": tables["tight"].select("run_id", F.concat("name", F.lit(" (longest task "), F.format_string("%.1f", "max_realtime_h"), F.lit(" h of "), hours(F.col("time_now_h")), F.lit(")")).alias("text")),
+    }
+
+
+def shown_totals(totals: DataFrame, r: Rates) -> DataFrame:
+    """``(run_id, position, metric, value)``: a run's totals in the words of a report, the same run at the other presets among them.
+
+    The basis of the prices is a row of its own; cached tasks have one only where there are some; requested hours are ``n/a`` where no task has a request.
+    """
+    money, percent = units.show_money, units.show_percent
+    hours = lambda c: F.format_string("%.1f", c)
+    unpriced, all_unpriced = F.col("tasks_without_requests"), F.col("tasks_without_requests") == F.col("tasks")
+    metered = F.col("metered_cost") > 0
+
+    def pair(requested: str, used: str, base: str):
+        asked = F.when(all_unpriced, "n/a").otherwise(hours(requested))
+        known = F.col(base) > 0
+        return F.concat(asked, F.lit(" / "), F.when(known, hours(used)).otherwise("n/a"), F.lit(" ("), percent(F.when(known, F.col(used) / F.col(base))), F.lit(")"))
+
+    others = [F.concat(money(F.col("priced_cpu_h") * p.cpu_hour + F.col("priced_gib_h") * p.gib_hour), F.lit(f" at {p.name}")) for p in pricing.PRESETS.values() if (p.name, p.cpu_hour, p.gib_hour) != (r.name, r.cpu_hour, r.gib_hour)]
+    rows = {
+        "cost": money(F.col("total_cost")),
+        "basis": F.when(unpriced == 0, "requested x run time").when(all_unpriced, "used x run time").otherwise("requested x run time, used where no request is known"),
+        "cached": F.when(F.col("cached_tasks") > 0, F.concat(money(F.col("cached_cost")), F.lit(" ("), F.col("cached_tasks").cast("string"), F.lit(" tasks)"))),
+        "unused": F.when(metered, F.concat(money(F.col("total_waste")), F.lit(" ("), percent(F.col("unused_share")), F.lit(" of the "), money(F.col("metered_cost")), F.lit(" metered)"))).otherwise("n/a"),
+        "failed attempts": money(F.col("failed_cost")),
+        "other rates": F.concat_ws(", ", *others),
+        "run time": F.concat(hours("realtime_h"), F.lit(" h")),
+        "cpu-hours": pair("cpu_h_requested", "cpu_h_used", "cpu_h_req_metered"),
+        "gib-hours": pair("gib_h_requested", "gib_h_used", "gib_h_req_metered"),
+    }
+    each = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(name).alias("metric"), value.alias("value")) for i, (name, value) in enumerate(rows.items(), 1)])
+    return totals.select("run_id", F.explode(each).alias("m")).select("run_id", "m.*").where("value is not null")

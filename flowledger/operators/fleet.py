@@ -177,7 +177,7 @@ def used_unused(totals: DataFrame, runs: DataFrame) -> DataFrame:
 def cores_per_task(tasks: DataFrame) -> DataFrame:
     """Cores used by each completed task of a process, and their median over all of them."""
     done = tasks.where("status = 'COMPLETED' and pct_cpu_units is not null")
-    return done.groupBy("process").agg(F.count("*").alias("tasks"), (F.expr("percentile(CAST(pct_cpu_units AS DOUBLE), 0.5)") / pricing.CORE_UNITS).alias("median_cores"))
+    return usage_quantiles(done, "pct_cpu_units", (0.5,)).select("process", "tasks", (F.col("q50") / pricing.CORE_UNITS).alias("median_cores"))
 
 
 def scaling_table(points: DataFrame) -> DataFrame:

@@ -218,6 +218,48 @@ BODIES: dict[str, str] = {
 }
 
 
+_MONEY = "CASE WHEN {0} IS NULL THEN 'n/a' ELSE '$' || printf('%.2f', {0}) END"
+_PERCENT = "CASE WHEN {0} IS NULL THEN 'n/a' ELSE printf('%.0f', {0} * 100) || '%' END"
+_HOURS = "CASE WHEN {0} < 1 THEN CAST(round({0} * 60) AS BIGINT) || 'm' WHEN abs({0} - round({0})) < 1e-9 THEN CAST(round({0}) AS BIGINT) || 'h' ELSE printf('%.1f', {0}) || 'h' END"
+_TRIMMED = "regexp_replace(regexp_replace(printf('%.2f', {0}), '0+$', ''), '[.]$', '')"
+_GB = f"CASE WHEN {{0}} >= 1 THEN {_TRIMMED} || ' GB' WHEN {{0}} * 1024 >= 1 THEN {_TRIMMED.replace('{0}', '{0} * 1024')} || ' MB' ELSE {_TRIMMED.replace('{0}', '{0} * 1048576')} || ' KB' END"
+
+
+def _of(template: str, x: str) -> str:
+    return template.replace("{0}", x)
+
+
+def _both_hours(kind: str) -> str:
+    asked, used, base = f"{kind}_h_requested", f"{kind}_h_used", f"{kind}_h_req_metered"
+    return f"CASE WHEN tasks_without_requests = tasks THEN 'n/a' ELSE printf('%.1f', {asked}) END || ' / ' || CASE WHEN {base} > 0 THEN printf('%.1f', {used}) ELSE 'n/a' END || ' (' || {_of(_PERCENT, f'(CASE WHEN {base} > 0 THEN {used} / {base} END)')} || ')'"
+
+
+_OTHERS = " || ', ' || ".join(_of(_MONEY, f"(priced_cpu_h * {p.cpu_hour} + priced_gib_h * {p.gib_hour})") + f" || ' at {p.name}'" for p in PRESETS.values() if p.name != "seqera-compute")
+_TOTALS = {
+    "cost": _of(_MONEY, "total_cost"), "basis": "CASE WHEN tasks_without_requests = 0 THEN 'requested x run time' WHEN tasks_without_requests = tasks THEN 'used x run time' ELSE 'requested x run time, used where no request is known' END",
+    "cached": f"CASE WHEN cached_tasks > 0 THEN {_of(_MONEY, 'cached_cost')} || ' (' || cached_tasks || ' tasks)' END",
+    "unused": f"CASE WHEN metered_cost > 0 THEN {_of(_MONEY, 'total_waste')} || ' (' || {_of(_PERCENT, 'unused_share')} || ' of the ' || {_of(_MONEY, 'metered_cost')} || ' metered)' ELSE 'n/a' END",
+    "failed attempts": _of(_MONEY, "failed_cost"), "other rates": _OTHERS, "run time": "printf('%.1f', realtime_h) || ' h'", "cpu-hours": _both_hours("cpu"), "gib-hours": _both_hours("gib"),
+}
+BODIES |= {
+    "shown_processes": f"""SELECT sh.run_id, CAST(rank AS INT) AS rank, name AS process, tasks, {_of(_HOURS, "realtime_h")} AS run_time, {_of(_MONEY, "cost")} AS cost, {_of(_PERCENT, "share")} AS share, {_of(_PERCENT, "cpu_efficiency")} AS cpu_eff,
+      {_of(_PERCENT, "mem_efficiency")} AS mem_eff, {_of(_MONEY, "waste")} AS waste, CASE WHEN attempts_known THEN CAST(retried_tasks AS VARCHAR) ELSE 'n/a' END AS retries, failed_tasks FROM sh JOIN dn ON dn.run_id = sh.run_id AND dn.process = sh.process WHERE rank <= 25""",
+    "shown_tags": f"""SELECT run_id, CAST(rank AS INT) AS rank, coalesce(tag, '(untagged)') AS tag, tasks, processes, {_of(_HOURS, "realtime_h")} AS run_time, {_of(_MONEY, "cost")} AS cost, {_of(_PERCENT, "(CASE WHEN tot > 0 THEN cost / tot ELSE 0.0 END)")} AS share, {_of(_MONEY, "waste")} AS waste
+      FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY cost DESC, tag NULLS FIRST) AS rank, CAST(sum(CAST(floor(cost * 1000000.0 + 0.5) AS BIGINT)) OVER (PARTITION BY run_id) AS DOUBLE) / 1000000.0 AS tot FROM ts) WHERE rank <= 25""",
+    "shown_right_sizing": f"""SELECT r.run_id, CAST(rank AS INT) AS rank, name AS process, printf('%.0f', cpus_now) || ' \u2192 ' || cpus_new AS cpus, {_of(_GB, "mem_now_gib")} || ' \u2192 ' || {_of(_GB, "mem_new_gib")} AS memory,
+      CASE WHEN time_now_h > 0 THEN {_of(_HOURS, "time_now_h")} || ' \u2192 ' || {_of(_HOURS, "time_new_h")} || CASE WHEN time_tight THEN ' (tight)' ELSE '' END ELSE 'n/a' END AS time, {_of(_MONEY, "saving")} AS saving
+      FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY saving DESC, process) AS rank FROM rc WHERE NOT needs_escalation) r JOIN dn ON dn.run_id = r.run_id AND dn.process = r.process WHERE rank <= 15""",
+    "shown_totals": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT run_id, {i} AS position, '{m}' AS metric, {v} AS value FROM rt" for i, (m, v) in enumerate(_TOTALS.items(), 1)) + ") WHERE value IS NOT NULL",
+    "recommendations_at_margin": f"""SELECT run_id, process, cn AS cpus_new, mn AS mem_new_gib, tn AS time_new_h, CASE WHEN needs_escalation THEN 0.0 ELSE greatest(cost - (cn * realtime_h * {_RC} + mn * realtime_h * {_RM}), 0.0) END AS saving FROM (
+      SELECT *, CAST(CASE WHEN needs_escalation THEN ceil(cpus_now) ELSE least(greatest(ceil(max_cores_used * 2.0), 1), ceil(cpus_now)) END AS BIGINT) AS cn,
+        CASE WHEN needs_escalation THEN mem_now_gib ELSE least(greatest(CASE WHEN g <= 1 THEN 1.0 WHEN g <= 8 THEN ceil(g) WHEN g <= 64 THEN ceil(g / 2) * 2 ELSE ceil(g / 8) * 8 END, 1.0), mem_now_gib) END AS mn,
+        CASE WHEN needs_escalation THEN time_now_h WHEN time_now_h > 0 THEN least(CASE WHEN h <= 0.25 THEN 0.25 WHEN h <= 1 THEN ceil(h * 4) / 4 ELSE ceil(h) END, time_now_h) ELSE 0.0 END AS tn
+      FROM (SELECT *, max_rss_gib * 2.0 AS g, max_realtime_h * 2.0 AS h FROM rc))""",
+    "fragment_lines": """SELECT run_id, CAST(4 + sum(2 + n) AS BIGINT) AS lines, count(*) AS processes FROM (SELECT run_id, CAST(cpus_new < cpus_now AS INT) + CAST(mem_new_gib < mem_now_gib AS INT)
+      + CAST(time_new_h > 0 AND time_new_h < time_now_h AS INT) + CAST(time_tight AS INT) AS n FROM rc WHERE NOT needs_escalation) WHERE n > 0 GROUP BY run_id""",
+    "pseudonyms_by_salt": f"SELECT DISTINCT tag, 2 AS pseudonyms, {_TAGGED.replace('fixed-salt', 'other-salt').format('tag')} AS by_other, 32 AS salt_letters FROM lens WHERE tag IS NOT NULL",
+}
+
 #: A trace and a report that lack some hashes, and each name's trace rows taking records one after the other.
 _GREEDY = """,
 ga AS MATERIALIZED (SELECT *, CASE WHEN pos % 3 = 0 THEN '' ELSE hash END AS h, row_number() OVER (PARTITION BY run_id, name ORDER BY pos) AS i FROM t WHERE pos % 10 <> 0),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,14 @@ def _kept(df):
     return KEPT[-1]
 
 
+def _written(spark, d, name):
+    """A new folder for what a query writes and reads again: in the shared folder the cluster names, else a temporary one of this machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not (spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{shared or tempfile.mkdtemp(prefix='flowledger-')}/{name}-{uuid.uuid4().hex}"
+
+
 def _recs(spark, d):
     return rightsize.recommend(_stats(spark, d), RATES)
 
@@ -371,6 +381,41 @@ def report_tight_and_kept(spark, d):
     return tables["tight"].select("run_id", "name", F.lit("tight").alias("list")).union(tables["kept"].select("run_id", "name", F.lit("kept").alias("list")))
 
 
+@query
+def shown_processes(spark, d):
+    return compare.shown_tables(_report(spark, d))["processes"]
+
+
+@query
+def shown_tags(spark, d):
+    return compare.shown_tables(_report(spark, d))["tags"]
+
+
+@query
+def shown_right_sizing(spark, d):
+    return compare.shown_tables(_report(spark, d))["right_sizing"]
+
+
+@query
+def shown_totals(spark, d):
+    return compare.shown_totals(_totals(spark, d), RATES)
+
+
+@query
+def recommendations_at_margin(spark, d):
+    """Right-sizing with twice the observed peaks."""
+    return rightsize.recommend(_stats(spark, d), RATES, margin=2.0).select("run_id", "process", "cpus_new", "mem_new_gib", "time_new_h", "saving")
+
+
+@query
+def fragment_lines(spark, d):
+    """Config fragments written as text files, read again line by line."""
+    folder = _written(spark, d, "fragments")
+    sinks.write_fragments(rightsize.config_fragments(_recs(spark, d)), folder)
+    lines = spark.read.text(folder)
+    return lines.groupBy("run_id").agg(F.count_if(F.trim("value") != "").alias("lines"), F.count_if(F.col("value").contains("withName")).alias("processes"))
+
+
 @query
 def inspect_runs(spark, d):
     raw = files.parse_traces(_trace_files(spark, d))
@@ -399,6 +444,15 @@ def pseudonyms(spark, d):
     return tags.select("tag", units.pseudonym(F.col("tag"), "tag", SALT).alias("as_tag"), units.pseudonym(F.col("tag"), "value", SALT).alias("as_value"))
 
 
+@query
+def pseudonyms_by_salt(spark, d):
+    """The same tags under three salts, and the length of a drawn one: how many pseudonyms stand for each tag."""
+    tags = lens.attempts(spark, d).select("tag").where("tag is not null").distinct()
+    salts = [SALT, "other-salt", SALT]
+    each = tags.select("tag", F.array(*[units.pseudonym(F.col("tag"), "tag", s) for s in salts]).alias("p"))
+    return each.select("tag", F.size(F.array_distinct("p")).alias("pseudonyms"), F.get("p", F.lit(1)).alias("by_other"), F.lit(len(redact.new_salt())).alias("salt_letters"))
+
+
 @query
 def redacted_tasks(spark, d):
     f = redact.redact_records(_raw(spark, d), SALT)

@@ -1,5 +1,6 @@
 """Cases of the fleet operators that the given tables don't reach."""
 
+import math
 import random
 
 import pytest
@@ -384,6 +385,35 @@ def test_fleet_corner_cases(spark):
     assert [(r.speed_up, r.cpus_x_wall, r.relative_cpu) for r in scaling] == [(1.0, 100.0, 1.0), (2.0, 200.0, 1.2)]
 
 
+@pytest.mark.parametrize("ranges", [fleet.RANGES, 1, 3, 50])
+def test_quantiles_by_ranges_equal_sorted_values(spark, ranges):
+    rng = random.Random(ranges)
+    rows = [("big", rng.choice([rng.randint(-5, 5), rng.randint(0, 10**12), 7])) for _ in range(700)] + [("one", 4)] + [("same", -3)] * 9 + [(None, 1), (None, 2), ("none", None)]
+    got = {r.g: r for r in fleet.usage_quantiles(spark.createDataFrame(rows, "g string, v long"), "v", (0.0, 0.1, 0.25, 0.5, 0.99, 1.0), ("g",), ranges).collect()}
+    assert set(got) == {"big", "one", "same", None}
+    for g, r in got.items():
+        x = sorted(v for k, v in rows if k == g)
+        for q in (0.0, 0.1, 0.25, 0.5, 0.99, 1.0):
+            place = q * (len(x) - 1)
+            low, high = x[math.floor(place)], x[math.ceil(place)]
+            want = low if low == high else (math.ceil(place) - place) * low + (place - math.floor(place)) * high
+            assert math.isclose(r[f"q{round(q * 100):02d}"], want, rel_tol=1e-12)
+        assert (r.tasks, r.least, r.most) == (len(x), x[0], x[-1]) and math.isclose(r.mean, sum(x) / len(x))
+
+
+def test_one_pass_over_the_tasks(spark, capsys):
+    priced = pricing.price_tasks(make(spark, FULL, FULL))
+    parts = pricing.usage(priced)
+    assert pricing.process_stats(priced, R).collect() == pricing.process_stats_of(parts, R).collect() and pricing.tag_stats_of(parts, R).collect() == pricing.tag_stats(priced, R).collect()
+    kept = parts.persist()
+    kept.count()
+    s = pricing.process_stats_of(kept, R)
+    s.join(pricing.tag_stats_of(kept, R), "run_id").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("InMemoryTableScan") == 2 and plan.split("InMemoryTableScan")[0].count("LocalTableScan") + plan.split("InMemoryTableScan")[0].count("Scan ExistingRDD") == 0
+    kept.unpersist()
+
+
 def test_stated_cpu_hours(spark):
     totals = spark.createDataFrame([("a", 338.42), ("b", 1177.0), ("c", 5.0)], "run_id string, cpu_h_requested double")
     headers = spark.createDataFrame([("a", "338.4 (4.2% failed)"), ("b", "1'177.2"), ("c", None)], "run_id string, cpu_hours string")
