@@ -150,18 +150,12 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     seeds = _sort_leftmost(text, leftmost, depth) if len(leftmost) > 1 else leftmost
     symbol = text[seeds]
     cut = np.searchsorted(symbol, np.arange(257))
+    starts = np.append(0, np.flatnonzero(text[1:] != text[:-1]) + 1)
     larger: list[list[np.ndarray]] = [[] for _ in range(256)]
     ups: list[np.ndarray] = [np.zeros(0, np.int64)] * 256
 
     for c in range(256):
-        wave = np.concatenate(larger[c]) if larger[c] else ups[c]
-        seen = []
-        same_symbol = wave
-        while len(same_symbol):
-            seen.append(same_symbol)
-            before = same_symbol[same_symbol > 0] - 1
-            same_symbol = before[(text[before] == c) & ~smaller[before]]
-        ups[c] = np.concatenate(seen) if seen else wave
+        ups[c] = _along_runs(text, np.concatenate(larger[c]) if larger[c] else ups[c], c, starts)
         own_seeds = seeds[cut[c] : cut[c + 1]]
         if len(ups[c]) or len(own_seeds):
             before = np.concatenate([ups[c], own_seeds])
@@ -175,12 +169,7 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
         wave = np.concatenate(downs[c]) if downs[c] else np.zeros(0, np.int64)
         if c == 0:
             wave = np.array([len(text) - 1])
-        seen = []
-        while len(wave):
-            seen.append(wave)
-            before = wave[wave > 0] - 1
-            wave = before[(text[before] == c) & smaller[before]]
-        own = np.concatenate(seen) if seen else np.zeros(0, np.int64)
+        own = _along_runs(text, wave, c, starts)
         before = np.concatenate([own, ups[c][::-1]])
         before = before[before > 0] - 1
         before = before[smaller[before]]
@@ -190,6 +179,29 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     return np.concatenate(out)
 
 
+#: Steps along runs of one symbol that are taken one by one.
+SHORT_RUN = 8
+
+
+def _along_runs(text: np.ndarray, wave: np.ndarray, c: int, starts: np.ndarray) -> np.ndarray:
+    """Suffixes of a bucket and, step by step, those before them that start with the same symbol (and so are of the same type).
+
+    ``starts`` are where runs of equal symbols start: what is left of long runs is written out by their lengths at once.
+    """
+    seen = [np.zeros(0, np.int64)]
+    for _ in range(SHORT_RUN):
+        if not len(wave):
+            break
+        seen.append(wave)
+        before = wave[wave > 0] - 1
+        wave = before[text[before] == c]
+    if len(wave):
+        left = wave - starts[np.searchsorted(starts, wave, "right") - 1] + 1
+        step = common.ragged_arange(np.zeros(len(wave), np.int64), left)
+        seen.append((np.repeat(wave, left) - step)[np.argsort(step, kind="stable")])
+    return np.concatenate(seen)
+
+
 def _deal(text: np.ndarray, suffixes: np.ndarray, into: list[list[np.ndarray]]) -> None:
     """Append suffixes to the buckets of their first symbols, in their present order."""
     if not len(suffixes):
