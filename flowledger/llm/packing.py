@@ -13,6 +13,8 @@ from . import common, tokens
 
 #: BM25 saturation and length normalisation; neighbours fetched at once.
 K1, B, NEIGHBOURS = 1.2, 0.75, 64
+#: Bytes that a document counts as at least when shards are filled, so that a shard of short texts holds a bounded number of them.
+LEAST_SIZE = 400
 #: Terms of more of a shard's items than one in so many are kept as a full row of weights.
 DENSE = 8
 
@@ -258,7 +260,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, d
                 full[common.ragged_arange(ends[:-1], np.diff(ends) - 1)] = ids
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("size")[a:b], common.binary_column(full, ends * full.itemsize)], ["doc_id", "size", "ids"])
 
-    sized = kept.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+    sized = kept.withColumn("size", F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(LEAST_SIZE)).cast("long") + 1)
     coded = common.checkpoint(sized.mapInArrow(encode, f"doc_id {id_type}, size long, ids binary"))
     statistics = statistics_of(coded, window, kind)
     # A term of fewer documents than a shard holds would leave them among documents of any other terms.
