@@ -81,7 +81,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = common.table(spark, sf_dir, "documents").withColumn("held_out", common.id_remainder("doc_id", 5) == 1)
     model = lm.fit(docs.where(~F.col("held_out")))
-    return lm.score(docs, model).withColumn("held_out", common.id_remainder("doc_id", 5) == 1)
+    scored = common.checkpoint(lm.score(docs, model).withColumn("held_out", common.id_remainder("doc_id", 5) == 1))
+    lm.delete(model)
+    return scored
 
 
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
