@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,14 +81,20 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+@lru_cache(1)
+def _trim():
+    """The C library's call that gives freed memory back, where there is one."""
+    try:
+        return getattr(ctypes.CDLL(None), "malloc_trim", None)
+    except (OSError, TypeError):  # no such library on this system
+        return None
 
 
 def release() -> None:
     """Give the system back what this worker has freed: a worker serves many groups and stages, and each would leave its buffers to the next."""
     pa.default_memory_pool().release_unused()
-    if _TRIM is not None:
-        _TRIM(0)
+    if (trim := _trim()) is not None:
+        trim(0)
 
 
 def runs(ordered: np.ndarray) -> np.ndarray:

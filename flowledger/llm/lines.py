@@ -13,16 +13,6 @@ BROADCAST_LINES = 500_000
 SALTS = 16
 
 
-def host_of(url):
-    """Host of a URL column, lower-cased (null if there is none)."""
-    return F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-
-
-def host_of(url):
-    """Host of a URL column, lower-cased (null if there is none), for tables that have no host column."""
-    return F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-
-
 def _lines(text):
     return F.split(text, "\n", -1)
 

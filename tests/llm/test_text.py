@@ -500,3 +500,38 @@ def test_long_texts_cross_slices(documents, tokenizer, monkeypatch):
     items, ends = jaccard.shingle_sets(raw, offsets, 5)
     whole = words_of(long)
     assert ends[1] == len({tuple(whole[i : i + 5]) for i in range(len(whole) - 4)})
+
+
+def test_suffix_arrays_of_long_runs():
+    rng = np.random.default_rng(3)
+    for t in range(300):
+        x = np.repeat(rng.integers(1, 4, rng.integers(1, 20)), rng.integers(1, 60)).astype(np.uint8)
+        text = np.append(x, 0).astype(np.uint8)
+        whole = text.tobytes()
+        assert suffix.suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i: whole[i:])
+    one = np.append(np.full(1 << 20, 9), 0).astype(np.uint8)
+    assert (suffix.suffix_array(one) == np.arange(1 << 20, -1, -1)).all()
+    assert suffix.later_windows([b"a" * 5000], 100) == [(0, 1, 5000)]
+
+
+def test_many_empty_and_short_texts_are_packed_in_bounded_shards(spark, tokenizer):
+    docs = spark.range(40000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "").otherwise("a").alias("text"))
+    found = packing.pack(docs, tokenizer("word_bpe_49k.json"))
+    assert found.select("doc_id").distinct().count() == 40000
+    shards = found.groupBy(F.shiftright("sequence_id", 32).alias("s")).agg(F.count_distinct("doc_id").alias("n")).collect()
+    assert len(shards) > 1 and max(r.n for r in shards) <= 2 * (6 << 20) // packing.LEAST_SIZE
+
+
+def test_no_model_folder_is_left(spark, tmp_path, documents):
+    from flowledger.llm import queries
+
+    documents(["a b c", "b c d e", "c d"]).write.parquet(f"{tmp_path}/documents.parquet")
+    before = {p.rsplit("/", 1)[-1] for p in _folders(spark)}
+    assert queries.op10_lm_scoring(spark, str(tmp_path)).count() == 3
+    assert not [p for p in {x.rsplit("/", 1)[-1] for x in _folders(spark)} - before if "model" in p]
+
+
+def _folders(spark):
+    import glob
+
+    return glob.glob(f"{common.checkpoint_dir(spark).removeprefix('file:')}/*")
