@@ -185,12 +185,6 @@ def test_line_dedup(documents, monkeypatch, most):
     assert lines.drop_boilerplate(documents(texts).limit(0)).count() == 0
 
 
-def test_line_hosts(spark):
-    urls = ["https://User@Example.com:80/a?b", "http://x.org", "no url", None]
-    df = spark.createDataFrame([(u,) for u in urls], "u string")
-    assert [r.h for r in df.select(lines.host_of(F.col("u")).alias("h")).collect()] == ["example.com", "x.org", None, None]
-
-
 # --- Jaccard join
 
 
@@ -535,3 +529,45 @@ def _folders(spark):
     import glob
 
     return glob.glob(f"{common.checkpoint_dir(spark).removeprefix('file:')}/*")
+
+
+def plain_pack(ids, window):
+    """Windows filled by the rule: a seed, its unused neighbours by BM25 (ties: earlier), then those of the last one placed, then the next in order."""
+    rest = {d: x[len(x) - len(x) % window :] for d, x in enumerate(ids) if len(x) % window}
+    n, mean = len(rest), sum(map(len, rest.values())) / max(len(rest), 1)
+    df = Counter(t for x in rest.values() for t in set(x.tolist()))
+
+    def score(a, b):
+        both = sorted(set(rest[a].tolist()) & set(rest[b].tolist()))
+        weight = lambda t: math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * (c := int((rest[b] == t).sum())) * (packing.K1 + 1) / (c + packing.K1 * (1 - packing.B + packing.B * len(rest[b]) / mean))
+        return sum(weight(t) for t in both)
+
+    pieces = [(d, k * window, window) for d, x in enumerate(ids) for k in range(len(x) // window)]
+    left, at, used, cut = {d: len(x) for d, x in rest.items()}, {d: len(ids[d]) - len(x) for d, x in rest.items()}, set(), None
+    near = lambda d: sorted((b for b in rest if b not in used and score(d, b) > 0), key=lambda b: (-round(score(d, b), 9), b))
+    unused = lambda: next((d for d in rest if d not in used), None)
+    while (now := unused() if cut is None else cut) is not None:
+        room, queue, cut = window, None, None
+        while now is not None:
+            used.add(now)
+            take = min(room, left[now])
+            pieces.append((now, at[now], take))
+            room, left[now], at[now] = room - take, left[now] - take, at[now] + take
+            if left[now]:
+                cut = now
+            if not room:
+                break
+            queue = near(now) if queue is None else queue
+            queue = [d for d in queue if d not in used] or near(now)
+            now = queue.pop(0) if queue else unused()
+    return pieces
+
+
+def test_packing_equals_a_plain_greedy_packer():
+    rng = np.random.default_rng(11)
+    for trial in range(25):
+        ids = [np.minimum(rng.zipf(1.6, rng.integers(0, 60)), 40).astype(np.uint16) for _ in range(45)]
+        ids += [ids[3], ids[3].copy(), ids[7], np.full(70, 2, np.uint16), np.zeros(0, np.uint16)]
+        ids = [np.append(x, 1).astype(np.uint16) for x in ids]
+        got = packing.pack_shard(ids, 32)
+        assert [p[:3] for p in got] == plain_pack(ids, 32), trial
