@@ -229,10 +229,17 @@ def run_totals(processes: DataFrame, r: Rates) -> DataFrame:
     return totals.withColumn("metered_cost", metered).withColumn("unused_share", F.when(F.col("metered_cost") > 0, F.col("total_waste") / F.col("metered_cost")))
 
 
+#: Most rates that runs are priced at together.
+MOST_RATES = 1000
+
+
 def reprice(totals: DataFrame, table: DataFrame) -> DataFrame:
-    """Each run's cost at each row of a rates table (a few presets), without going back to the tasks."""
-    named = totals.select("run_id", "priced_cpu_h", "priced_gib_h").join(F.broadcast(table), F.lit(True))
-    return named.select("run_id", "rate_name", (F.col("priced_cpu_h") * F.col("cpu_hour") + F.col("priced_gib_h") * F.col("gib_hour")).alias("cost"))
+    """Each run's cost at each row of a rates table (a few presets, MOST_RATES at most), without going back to the tasks."""
+    rows = table.select("rate_name", "cpu_hour", "gib_hour").limit(MOST_RATES + 1).collect()
+    if len(rows) > MOST_RATES:
+        raise ValueError(f"more than {MOST_RATES} rates")
+    each = F.array(*[F.struct(F.lit(r["rate_name"]).alias("rate_name"), (F.col("priced_cpu_h") * F.lit(r["cpu_hour"]) + F.col("priced_gib_h") * F.lit(r["gib_hour"])).alias("cost")) for r in rows]).cast("array<struct<rate_name:string,cost:double>>")
+    return totals.select("run_id", F.explode(each).alias("r")).select("run_id", "r.*")
 
 
 def with_share(df: DataFrame, cost: str = "cost") -> DataFrame:

@@ -207,17 +207,29 @@ def _cell(c):
     return F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c, F.lit("-"))
 
 
-def _trace_files(spark, d):
-    t = lens.attempts(spark, d)
+TRACE_HEADER = "hash\tname\tstatus\texit\trealtime\t%cpu\tpeak_rss"
+
+
+def _trace_lines(spark, d):
+    """Lines of traces with their files' column names, as the reader of large traces finds them."""
     cells = [_cell("hash"), _cell("name"), _cell("status"), _cell("exit"), _cell(_text(F.col("realtime_ms"))), _cell(F.concat((F.col("pct_cpu_units") / 1000).cast("decimal(20,1)").cast("string"), F.lit("%"))), _cell(F.concat(F.col("peak_rss_kib").cast("string"), F.lit(" KB")))]
-    lines = t.select("run_id", _file().alias("path"), "pos", F.concat_ws("\t", *cells).alias("line"))
-    grouped = lines.groupBy("run_id", "path").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"))
-    header = "hash\tname\tstatus\texit\trealtime\t%cpu\tpeak_rss\n"
-    return grouped.select("run_id", "path", F.concat(F.lit(header), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n\n")).alias("content"))
+    return lens.attempts(spark, d).select("run_id", _file().alias("path"), "pos", F.concat_ws("\t", *cells).alias("line"), F.array(*[F.lit(c) for c in TRACE_HEADER.split("\t")]).alias("names"))
+
+
+def _trace_files(spark, d):
+    grouped = _trace_lines(spark, d).groupBy("run_id", "path").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"))
+    return grouped.select("run_id", "path", F.concat(F.lit(f"{TRACE_HEADER}\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n\n")).alias("content"))
 
 
 @query
 def trace_roundtrip(spark, d):
+    parsed = tasks.to_tasks(files.parse_trace_lines(_trace_lines(spark, d)), "trace")
+    return parsed.select("run_id", "hash", "process", "status", "exit", "realtime_ms", "pct_cpu_units", "peak_rss_kib")
+
+
+@query
+def trace_files_roundtrip(spark, d):
+    """The same of whole files."""
     parsed = tasks.to_tasks(files.parse_traces(_trace_files(spark, d)), "trace")
     return parsed.select("run_id", "hash", "process", "status", "exit", "realtime_ms", "pct_cpu_units", "peak_rss_kib")
 
