@@ -242,7 +242,7 @@ _TOTALS = {
     "failed attempts": _of(_MONEY, "failed_cost"), "other rates": _OTHERS, "run time": "printf('%.1f', realtime_h) || ' h'", "cpu-hours": _both_hours("cpu"), "gib-hours": _both_hours("gib"),
 }
 BODIES |= {
-    "trace_files_roundtrip": BODIES["trace_roundtrip"],
+    "trace_lines_roundtrip": BODIES["trace_roundtrip"],
     "shown_processes": f"""SELECT sh.run_id, CAST(rank AS INT) AS rank, name AS process, tasks, {_of(_HOURS, "realtime_h")} AS run_time, {_of(_MONEY, "cost")} AS cost, {_of(_PERCENT, "share")} AS share, {_of(_PERCENT, "cpu_efficiency")} AS cpu_eff,
       {_of(_PERCENT, "mem_efficiency")} AS mem_eff, {_of(_MONEY, "waste")} AS waste, CASE WHEN attempts_known THEN CAST(retried_tasks AS VARCHAR) ELSE 'n/a' END AS retries, failed_tasks FROM sh JOIN dn ON dn.run_id = sh.run_id AND dn.process = sh.process WHERE rank <= 25""",
     "shown_tags": f"""SELECT run_id, CAST(rank AS INT) AS rank, coalesce(tag, '(untagged)') AS tag, tasks, processes, {_of(_HOURS, "realtime_h")} AS run_time, {_of(_MONEY, "cost")} AS cost, {_of(_PERCENT, "(CASE WHEN tot > 0 THEN cost / tot ELSE 0.0 END)")} AS share, {_of(_MONEY, "waste")} AS waste

@@ -222,14 +222,13 @@ def _trace_files(spark, d):
 
 
 @query
-def trace_roundtrip(spark, d):
+def trace_lines_roundtrip(spark, d):
     parsed = tasks.to_tasks(files.parse_trace_lines(_trace_lines(spark, d)), "trace")
     return parsed.select("run_id", "hash", "process", "status", "exit", "realtime_ms", "pct_cpu_units", "peak_rss_kib")
 
 
 @query
-def trace_files_roundtrip(spark, d):
-    """The same of whole files."""
+def trace_roundtrip(spark, d):
     parsed = tasks.to_tasks(files.parse_traces(_trace_files(spark, d)), "trace")
     return parsed.select("run_id", "hash", "process", "status", "exit", "realtime_ms", "pct_cpu_units", "peak_rss_kib")
 
