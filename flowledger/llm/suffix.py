@@ -93,61 +93,91 @@ def suffix_types(text: np.ndarray) -> np.ndarray:
     return np.append(np.repeat(smaller, np.diff(np.append(-1, differ))), True)
 
 
-def _sort_leftmost(text: np.ndarray, places: np.ndarray, depth: int | None) -> np.ndarray:
-    """Order of the suffixes at leftmost-smaller ``places``, complete or right for at least ``depth`` symbols.
+def _named_substrings(text: np.ndarray, places: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names, in order of size, of the substrings between leftmost-smaller ``places``, and where each place's first name stands.
 
-    The substrings between such places are named by packed symbols (substrings of over seven are cut
-    in sevens; of two that agree, the one that ends first is larger), and the string of names is
-    sorted by doubling instead of a further round of induction, as its alphabet is large.
+    Symbols of ``bits`` bits are packed, up to seven to a name; longer substrings are cut. Of two names that agree, the one that ends first is larger.
     """
+    most = min(7, 60 // bits)
     gap = np.diff(np.append(places, len(text)))
     gap[-1] = 1
-    pieces = -(-gap // 7)  # cut after 7, 14, ... symbols; the last piece takes in the next place's symbol if it is shorter
-    sample = common.ragged_arange(np.zeros(len(places), np.int64), pieces) * 7 + np.repeat(places, pieces)
+    pieces = -(-gap // most)  # the last piece takes in the next place's symbol if it is shorter
+    sample = common.ragged_arange(np.zeros(len(places), np.int64), pieces) * most + np.repeat(places, pieces)
     rest = np.repeat(places + gap, pieces) - sample
-    padded = np.append(text, np.zeros(8, np.uint8))
-    whole = rest > 6
-    size = np.where(whole, 7, rest + 1)
+    padded = np.append(text, np.zeros(most + 1, text.dtype))
+    whole = rest > most - 1
+    size = np.where(whole, most, rest + 1)
     key = np.zeros(len(sample), np.uint64)
-    for i in range(7):
-        key = key << np.uint64(8) | np.where(i < size, padded[np.minimum(sample + i, len(padded) - 1)], 255).astype(np.uint64)
-    key = key << np.uint64(8) | np.where(whole, 0, 8 - size).astype(np.uint64)
-    m = len(sample)
-    order = np.argsort(key)
-    rank = np.empty(m, np.int64)
-    first = common.runs(key[order])
-    sizes = np.diff(np.append(first, m))
-    rank[order] = np.repeat(first, sizes)
-    left = order[np.repeat(sizes > 1, sizes)]
-    step = 1
-    while len(left) and (depth is None or step <= depth):
-        behind = left + step
-        second = np.where(behind < m, rank[np.minimum(behind, m - 1)] + 1, 0)
-        pair = rank[left] << 32 | second
-        order = np.argsort(pair)
-        pair, left = pair[order], left[order]
-        group = common.runs(pair >> 32)
-        first = common.runs(pair)
-        sizes = np.diff(np.append(first, len(pair)))
-        base = np.repeat(group, np.diff(np.append(group, len(pair))))  # where each element's old group starts
-        rank[left] = (pair >> 32) + np.repeat(first, sizes) - base
-        left = left[np.repeat(sizes > 1, sizes)]
-        step *= 2
-    heads = np.append(0, np.cumsum(pieces)[:-1])
-    return places[np.argsort(rank[heads], kind="stable")]
-
-
-def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffixes of a byte string in order (of at least their first ``depth`` symbols, if given), by induced sorting.
-
-    The last symbol must be 0 and the only 0. Leftmost-smaller suffixes are sorted first; one pass
+    for i in range(most):
+        key = key << np.uint64(bits) | np.where(i < size, padded[np.minimum(sample + i, len(padded) - 1)], (1 << bits) - 1).astype(np.uint64)
+    key = key << np.uint64(4) | np.where(whole, 0, most + 1 - size).astype(np.uint64)
+    return common.distinct(key)[2], np.append(0, np.cumsum(pieces)[:-1])
+
+
+def _sort_leftmost(text: np.ndarray, places: np.ndarray, bits: int) -> np.ndarray:
+    """Leftmost-smaller ``places`` in order of their suffixes: their substrings are named, and the string of names is sorted by recursion."""
+    if len(places) < 2:
+        return places
+    names, heads = _named_substrings(text, places, bits)
+    single = np.bincount(names)[names] == 1
+    # No comparison goes beyond a name that stands nowhere else, so that of a run of such names only the first is kept.
+    kept = np.flatnonzero(~(single & np.append(True, single[:-1])))
+    rank = np.zeros(len(names), np.int64)
+    rank[kept[_sort_names(names[kept])]] = np.arange(len(kept))
+    return places[np.lexsort((rank[heads], names[heads]))]
+
+
+def _sort_names(names: np.ndarray) -> np.ndarray:
+    """Suffixes of a string of numbers in order (the end is less than any), by induced sorting."""
+    text = np.append(common.distinct(names)[2] + 1, 0)
+    smaller = suffix_types(text)
+    leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    return _induced(text, smaller, _sort_leftmost(text, leftmost, int(text.max() + 1).bit_length()))[1:]
+
+
+def _induced(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Order of all suffixes induced from ``seeds``, the order of the leftmost-smaller ones.
+
+    One by one: the alphabet of a string of names is about as large as the string, so that there are no buckets to speak of.
+    """
+    n = len(text)
+    ends = np.cumsum(np.bincount(text))
+    own = text[seeds]
+    first = common.runs(own)
+    each = np.diff(np.append(first, len(own)))
+    order = np.full(n, -1)
+    order[np.repeat(ends[own[first]] - each - first, each) + np.arange(len(own))] = seeds
+    placed = order.tolist()
+    # By suffix: the symbol before it, and whether the suffix that starts there is of a type; the last entry stands for empty places.
+    before = np.append(0, text[:-1]).tolist()
+    to_larger = np.concatenate([[False], ~smaller[:-1], [False]]).tolist()
+    to_smaller = np.concatenate([[False], smaller[:-1], [False]]).tolist()
+    heads, tails = np.append(0, ends[:-1]).tolist(), ends.tolist()
+    for suffix in placed:
+        if to_larger[suffix]:
+            symbol = before[suffix]
+            placed[heads[symbol]] = suffix - 1
+            heads[symbol] += 1
+    for suffix in reversed(placed):
+        if to_smaller[suffix]:
+            symbol = before[suffix]
+            tails[symbol] -= 1
+            placed[tails[symbol]] = suffix - 1
+    return np.array(placed, np.int64)
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Suffixes of a byte string in order, by induced sorting.
+
+    The last symbol must be 0 and the only 0. Leftmost-smaller suffixes are sorted first: their substrings are named,
+    and the string of names is sorted the same way. One pass
     over the buckets from the least symbol up induces the larger-type suffixes, one from the
     greatest down the smaller-type ones. A bucket is handled at once: its suffixes' predecessors
     are split by symbol with a stable sort.
     """
     smaller = suffix_types(text)
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    seeds = _sort_leftmost(text, leftmost, depth) if len(leftmost) > 1 else leftmost
+    seeds = _sort_leftmost(text, leftmost, 8)
     symbol = text[seeds]
     cut = np.searchsorted(symbol, np.arange(257))
     starts = np.append(0, np.flatnonzero(text[1:] != text[:-1]) + 1)
