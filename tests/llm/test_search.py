@@ -1,7 +1,8 @@
+import duckdb
 import numpy as np
 import pytest
 
-from flowledger.llm import metric, topk
+from flowledger.llm import metric, queries, topk
 
 
 def table(spark, rows):
@@ -83,3 +84,16 @@ def test_top_k_of_large_components(spark):
         best = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in whole.items() if i != q)[:5]
         want |= {(q, r, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best, 1)}
     assert {(q, i, s) for q, _, i, s in got} == {(q, i, s) for q, _, i, s in want}
+
+
+def test_top_k_takes_repeated_rows_and_other_lengths_as_its_sql(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 64)
+    rng = np.random.default_rng(5)
+    vector = lambda n: [float(np.float32(x)) for x in rng.normal(size=n)]
+    rows = [(i, vector(8 if i % 3 else 3 + i % 7), 0, "n", "s") for i in range(-100, 200)]
+    rows += [(7, rows[107][1], 0, "n", "s")] * 3 + [(7, vector(8), 0, "n", "s"), (50, vector(8), 0, "n", "s"), rows[200], (300, [], 0, "n", "s"), (None, vector(8), 0, "n", "s"), (350, [float("inf")] * 8, 0, "n", "s")]
+    df = table(spark, rows)
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    got = topk.top_k(df, df.where("vec_id % 50 = 0")).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(queries.OP1_SQL).fetchall())
