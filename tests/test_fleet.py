@@ -3,11 +3,13 @@
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from flowledger.functions import units
 from flowledger.operators import compare, fleet, leaks, pricing, redact, rightsize, sinks, tasks
+from flowledger.plans import lens
 from flowledger.sources import files
 
 R = pricing.rates()
@@ -425,3 +427,15 @@ def test_launched_tasks_mask_the_tag(spark):
     rows = [("r1", "P", 0, "run s1 --o s1", "quay.example/bio/x:1", "s1"), ("r1", "P", 1, "other", "y", "s2"), ("r2", "P", 0, "run s9 --o s9", "wave.example/q/bio/x:1", "s9")]
     t = fleet.launched_tasks(spark.createDataFrame(rows, "run_id string, process string, pos long, script string, container string, tag string")).orderBy("run_id").collect()
     assert [(r.script, r.image, r.registry) for r in t] == [("run <S> --o <S>", "bio/x:1", "quay.example/"), ("run <S> --o <S>", "bio/x:1", "wave.example/q/")]
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_lens_places_number_each_run_in_the_order_of_its_sql(spark, monkeypatch, parts):
+    """A run's places are 1 to its number of rows, by ship date, part and so on, however the rows are dealt."""
+    data = "/root/testdata/sf0.001"
+    monkeypatch.setattr(lens, "tasks_for", lambda *_: parts)
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    want = con.sql(f"SELECT 'run' || (year(o_orderdate) - 1995), l_orderkey || '/' || l_linenumber, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_orderkey, l_linenumber, l_quantity) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey").fetchall()
+    assert sorted(tuple(r) for r in lens.attempts(spark, data).select("run_id", "hash", "pos").collect()) == sorted(want)
