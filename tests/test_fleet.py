@@ -439,3 +439,12 @@ def test_lens_places_number_each_run_in_the_order_of_its_sql(spark, monkeypatch,
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     want = con.sql(f"SELECT 'run' || (year(o_orderdate) - 1995), l_orderkey || '/' || l_linenumber, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_orderkey, l_linenumber, l_quantity) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey").fetchall()
     assert sorted(tuple(r) for r in lens.attempts(spark, data).select("run_id", "hash", "pos").collect()) == sorted(want)
+
+
+def test_merge_carries_only_what_is_asked_for(spark):
+    """Values that nobody asks for don't travel with the rows."""
+    trace, report = (make(spark, dict(hash="a/1", pos=1), dict(hash="a/2", pos=2)) for _ in range(2))
+    trace, report = (df.where(F.rand(1) >= 0) for df in (trace, report))
+    plan = tasks.merge_tasks(trace, report).select("run_id", "pos", "cpus_units")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line]
+    assert windows and not any("container" in line for line in windows)
