@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowledger.functions import units
 from flowledger.operators import compare, fleet, leaks, pricing, redact, rightsize, sinks, tasks
-from flowledger.plans import lens
+from flowledger.plans import lens, queries
 from flowledger.sources import files
 
 R = pricing.rates()
@@ -451,3 +451,21 @@ def test_merge_carries_only_what_is_asked_for(spark):
     spark.conf.unset("spark.sql.debug.maxToStringFields")
     carried = [line for line in lines if "Window" in line or "Project" in line]
     assert carried and not any("container" in line for line in carried)
+
+
+def test_statistics_number_no_places(spark):
+    """Only queries of places pay for numbering a run's rows: the others read each table once, and keep the same rows."""
+    data = "/root/testdata/sf0.001"
+    plan = queries.queries()["process_statistics"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3 and "l_year" not in plan
+    columns = ["run_id", "hash", "process", "status", "realtime_ms", "cpus_units", "pct_cpu_units", "tag"]
+    placed, plain = (sorted(map(repr, queries._tasks(spark, data, places).select(*columns).collect())) for places in (True, False))
+    assert placed == plain
+
+
+def test_dedup_by_order_keeps_the_last_row_and_all_rows_without_hash_and_id(spark):
+    rows = [("r1", "a", "", 1, "old"), ("r1", "a", "", None, "nulls last"), ("r1", "b", "", 2, "late"), ("r1", "b", "", 1, "early"), ("r1", "", "", 1, "x"), ("r1", None, "", 1, "y"), ("r1", "", "7", 1, "i"), ("r1", "", "7", 2, "j")]
+    df = spark.createDataFrame(rows, "run_id string, hash string, task_id string, line int, status string").withColumn("pos", F.lit(None).cast("long"))
+    got = tasks.dedup_tasks(df, order=("line",))
+    assert "line" not in got.columns
+    assert sorted(r.status for r in got.collect()) == ["j", "late", "nulls last", "x", "y"]
