@@ -469,3 +469,13 @@ def test_dedup_by_order_keeps_the_last_row_and_all_rows_without_hash_and_id(spar
     got = tasks.dedup_tasks(df, order=("line",))
     assert "line" not in got.columns
     assert sorted(r.status for r in got.collect()) == ["j", "late", "nulls last", "x", "y"]
+
+
+def test_redacted_records_hold_each_redaction_once(spark):
+    """What a name's tag is cut by is computed once for a record, not for each use: the plan grows with the rules, not with their nesting."""
+    raw = spark.createDataFrame([("r1", {"process": "P (x)", "name": "P (x) (s1)", "tag": "s1", "odd": "o", "status": "OK"}), ("r1", {"name": "Q (s2)"}), ("r1", {"name": None, "process": "-"}), ("r1", None)], "run_id string, f map<string,string>")
+    done = redact.redact_records(raw, "s")
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("locate(") <= 2
+    hidden = lambda v, kind: spark.range(1).select(units.pseudonym(F.lit(v), kind, "s")).first()[0]
+    s1, s2 = hidden("s1", "tag"), hidden("s2", "tag")
+    assert [r.f for r in done.collect()] == [{"process": "P (x)", "name": f"P (x) ({s1})", "tag": s1, "odd": hidden("o", "value"), "status": "OK"}, {"name": f"Q ({s2})"}, {"name": None, "process": "-"}, None]
