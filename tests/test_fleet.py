@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import duckdb
 import pytest
@@ -441,6 +442,27 @@ def test_lens_places_number_each_run_in_the_order_of_its_sql(spark, monkeypatch,
     assert sorted(tuple(r) for r in lens.attempts(spark, data).select("run_id", "hash", "pos").collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("sent", [0, 100_000])
+@pytest.mark.parametrize("name", ["request_history"])
+def test_joins_of_large_tables_are_dealt_or_sent(spark, monkeypatch, name, sent):
+    """Where tables are dealt, no join of task rows is left to Spark's own number of parts, whatever the size of ``part``; the rows stay the same."""
+    data = "/root/testdata/sf0.001"
+    want = sorted(map(repr, queries.queries()[name](spark, data).collect()))
+    monkeypatch.setattr(lens, "tasks_for", lambda *_: 7)
+    monkeypatch.setattr(lens, "SENT_ROWS", sent, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = queries.queries()[name](spark, data)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(map(repr, found.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = re.findall(r"hashpartitioning\(([lo]_orderkey|[lp]_partkey)#\d+L?, (\d+)\), (\w+)", plan)
+    assert {c for c, *_ in dealt} == ({"l_orderkey", "o_orderkey"} if sent else {"l_orderkey", "o_orderkey", "l_partkey", "p_partkey"})
+    assert {(n, why) for _, n, why in dealt} == {("7", "REPARTITION_BY_NUM")}
+    assert ("BroadcastHashJoin [l_partkey" in plan) == bool(sent) and rows == want
+
+
 def test_merge_carries_only_what_is_asked_for(spark):
     """Values that nobody asks for don't travel with the rows."""
     trace, report = (make(spark, dict(hash="a/1", pos=1), dict(hash="a/2", pos=2)) for _ in range(2))
