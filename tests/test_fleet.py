@@ -443,7 +443,7 @@ def test_lens_places_number_each_run_in_the_order_of_its_sql(spark, monkeypatch,
 
 
 @pytest.mark.parametrize("sent", [0, 100_000])
-@pytest.mark.parametrize("name", ["request_history", "display_names"])
+@pytest.mark.parametrize("name", ["request_history", "display_names", "matrix_names"])
 def test_joins_of_large_tables_are_dealt_or_sent(spark, monkeypatch, name, sent):
     """Where tables are dealt, no join of task rows is left to Spark's own number of parts, whatever the size of ``part``; the rows stay the same."""
     data = "/root/testdata/sf0.001"
@@ -463,7 +463,7 @@ def test_joins_of_large_tables_are_dealt_or_sent(spark, monkeypatch, name, sent)
     assert ("BroadcastHashJoin [l_partkey" in plan) == bool(sent) and rows == want
 
 
-@pytest.mark.parametrize("name", ["display_names"])
+@pytest.mark.parametrize("name", ["display_names", "matrix_names"])
 def test_names_read_the_tasks_once(spark, name):
     """Names are compared several times, but tasks are joined and deduplicated once."""
     plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
