@@ -443,7 +443,7 @@ def test_lens_places_number_each_run_in_the_order_of_its_sql(spark, monkeypatch,
 
 
 @pytest.mark.parametrize("sent", [0, 100_000])
-@pytest.mark.parametrize("name", ["request_history", "display_names", "matrix_names"])
+@pytest.mark.parametrize("name", ["request_history", "display_names", "matrix_names", "cpu_hours_reconcile"])
 def test_joins_of_large_tables_are_dealt_or_sent(spark, monkeypatch, name, sent):
     """Where tables are dealt, no join of task rows is left to Spark's own number of parts, whatever the size of ``part``; the rows stay the same."""
     data = "/root/testdata/sf0.001"
@@ -463,6 +463,14 @@ def test_joins_of_large_tables_are_dealt_or_sent(spark, monkeypatch, name, sent)
     assert ("BroadcastHashJoin [l_partkey" in plan) == bool(sent) and rows == want
 
 
+@pytest.mark.parametrize("rows_a_task,want", [(500, None), (100, 60), (10, 200), (5, 300)])
+def test_number_of_parts_grows_with_the_rows(spark, monkeypatch, rows_a_task, want):
+    """More than 200 parts, for which Spark sorts a task's share of a file in memory, only where a part would hold over four times its rows (of 6,000 here)."""
+    monkeypatch.setattr(lens, "ROWS_A_TASK", rows_a_task)
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert lens.tasks_for(spark, "/root/testdata/sf0.001") == want and rows == 6_000
+
+
 @pytest.mark.parametrize("name", ["display_names", "matrix_names"])
 def test_names_read_the_tasks_once(spark, name):
     """Names are compared several times, but tasks are joined and deduplicated once."""
