@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard join and its linked components, by T-occurrence search (DivideSkip).
 
 1. Every distinct shingle set sends its shingle hashes to buckets, which pass on only shingles
-   that two or more different sets share. A set whose shared shingles are fewer than the overlap
+   that two or more sets share. Buckets know a set by its slice of text and its number there; slices get
+   their sets' shared shingles back, and name the sets. A set whose shared shingles are fewer than the overlap
    any partner needs drops out.
 2. The shared shingles have one order, rare first. To reach T of them a partner must occur in one of
    a set's short lists (all but its T - 1 longest). Sets that meet in a short list form a candidate cluster.
@@ -29,6 +30,8 @@ MOST_BITS = 26
 #: Sets of a join cell; clusters beyond it are cut into blocks, and each pair of blocks is a cell.
 CELL_SETS, MOST_BLOCKS, BLOCK_ITEMS = 256, 32, 4_000_000
 WITNESS = 0xFFFF
+#: Sets that several rows hold, up to so many, are told to every task (16 bytes each), and one of their rows sends the shingles; beyond it each slice sends them.
+COPIED_SETS = 2_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -91,21 +94,43 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def shared_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFrame:
-    """``(set_key, n, items)`` of sets that may have a partner: items are their shared shingles, rare first."""
+def copied_sets(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, in order, of the sets that several rows ``(doc_id, set_key)`` hold, and the least hashed id of each one's rows; none where they are too many to tell."""
+    held = rows.where("set_key is not null").groupBy("set_key").agg(F.count("*").alias("rows"), F.min(F.xxhash64("doc_id")).alias("own")).where("rows > 1").select("set_key", "own")
+    held = common.checkpoint(held)
+    if held.count() > COPIED_SETS:
+        held = held.limit(0)
+    found = held.toArrow()
+    keys, own = found.column("set_key").to_numpy().view(np.uint64), found.column("own").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], own[order]
+
+
+def shared_sets(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, copied: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``(set_key, n, items)`` of sets that may have a partner: items are their shared shingles, rare first.
+
+    A set of several rows that :func:`copied_sets` doesn't tell may come more than once, with all that its rows share.
+    """
     total = common.total_bytes(docs, text)
+    told_sets = docs.sparkSession.sparkContext.broadcast(copied)
     bits = min(MOST_BITS, int(np.log2(common.power_of_two_at_least(total / BUCKET_BYTES))))
     hot_from = int(np.clip(HOT_IN_ALL * SLICE_BYTES // max(total, 1), 2, HOT_IN_SLICE))
     groups = max(1, 1 << max(0, bits - 1))
 
     def post(batches):
         common.release()
+        known, sender = told_sets.value
         for batch in batches:
-            for _, _, raw, offsets in common.row_slices(batch.column(0), SLICE_BYTES, WITNESS - 1):
+            own_id = batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b, raw, offsets in common.row_slices(batch.column(0), SLICE_BYTES, WITNESS - 1):
                 items, ends = shingle_sets(raw, offsets, words)
                 keys, n = fingerprints(items, ends), np.diff(ends)
-                first = np.unique(keys, return_index=True)[1]
-                first = first[n[first] > 0]  # one of the slice's copies
+                sends = n > 0
+                if len(known):  # of a copied set only the row of the least id
+                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    sends &= (known[at] != keys) | (sender[at] == own_id[a:b])
+                sends = np.flatnonzero(sends)
+                first = sends[np.unique(keys[sends], return_index=True)[1]]  # one of the slice's copies
                 if not len(first):
                     continue
                 place = common.ragged_arange(ends[first], n[first])
@@ -126,28 +151,34 @@ def shared_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFra
                     for a, b in common.run_spans(bucket):
                         own = low[a:b]
                         out.append((int(bucket[a]), which, (own >> np.uint64(16)).astype(np.uint32).tobytes(), own.astype(np.uint16).tobytes(), o[a:b].tobytes()))
-                k, sizes = keys[first].tobytes(), n[first].astype(np.uint32).tobytes()
+                # The slice is named by its sets; their keys and sizes go to its group, once.
+                mark = int(common.mix64(np.sum(common.mix64(keys[first] + np.arange(1, len(first) + 1, dtype=np.uint64) * common.GOLDEN), keepdims=True, dtype=np.uint64)).view(np.int64)[0])
+                out.append((-1 - mark % groups, 0, keys[first].tobytes(), n[first].astype(np.uint32).tobytes(), b""))
                 columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[2:]], pa.array([k] * len(out), pa.binary()), pa.array([sizes] * len(out), pa.binary())],
-                    ["bucket", "salt", "high", "low", "owner", "keys", "sizes"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[2:]], pa.array([mark] * len(out), pa.int64())], ["bucket", "salt", "high", "low", "owner", "slice"])
+
+    names = ("slice", "keys", "sizes", "owner", "each", "items", "rarity")
+
+    def passed_on(rows):
+        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        return pa.table({c: pa.array(v, pa.int64() if c == "slice" else pa.binary()) for c, v in zip(names, columns, strict=True)})
 
     def share(key, table):
         common.release()
         bucket, salt = key[0].as_py(), key[1].as_py()
-        item, owner, size = [], [], []
-        columns = [table.column(c).to_pylist() for c in ("high", "low", "owner", "keys", "sizes")]
-        for high, low, own, keys, sizes in zip(*columns, strict=True):
+        slices = np.array(table.column("slice"))
+        columns = [table.column(c).to_pylist() for c in ("high", "low", "owner")]
+        if bucket < 0:
+            return passed_on([(mark, keys, sizes, None, None, None, None) for mark, keys, sizes in zip(slices.tolist(), *columns[:2], strict=True)])
+        marks, number = np.unique(slices, return_inverse=True)
+        item, owner = [], []
+        for high, low, own, of in zip(*columns, number.tolist(), strict=True):
             item.append(np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(16) | np.frombuffer(low, np.uint16))
             own = np.frombuffer(own, np.uint16)
-            keys, sizes = np.append(np.frombuffer(keys, np.uint64), np.uint64(0)), np.append(np.frombuffer(sizes, np.uint32), np.uint32(0))
-            own = np.where(own == WITNESS, len(keys) - 1, own)
-            owner.append(keys[own])
-            size.append(sizes[own])
-        item, owner, size = np.concatenate(item), np.concatenate(owner), np.concatenate(size)
+            owner.append(np.where(own == WITNESS, np.uint64(0), np.uint64(of + 1 << 16) | own))
+        item, owner = np.concatenate(item), np.concatenate(owner)
         order = np.argsort(item, kind="stable")
-        item, owner, size = item[order], owner[order], size[order]
+        item, owner = item[order], owner[order]
         at = common.runs(item)
         n = np.diff(np.append(at, len(item)))
         low, high = np.minimum.reduceat(owner, at), np.maximum.reduceat(owner, at)
@@ -156,40 +187,44 @@ def shared_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFra
         keep = np.repeat((low != high) | told | (salt > 0), n) & (owner != 0)
         # The bucket's bits and up to 48 behind them.
         item = (item << np.uint64(16) >> np.uint64(bits)) | np.uint64(bucket << (64 - bits) if bits else 0)
-        item, owner, size, rarity = item[keep], owner[keep], size[keep], np.repeat(rarity, n)[keep]
-        group = (owner % np.uint64(groups)).astype(np.int64)
-        order = np.lexsort((owner, group))
-        item, owner, size, rarity, group = item[order], owner[order], size[order], rarity[order], group[order]
+        item, owner, rarity = item[keep], owner[keep], np.repeat(rarity, n)[keep]
+        order = np.argsort(owner, kind="stable")
+        item, owner, rarity = item[order], owner[order], rarity[order]
         rows = []
-        for a, b in common.run_spans(group):
+        for a, b in common.run_spans(owner >> np.uint64(16)):
             own = common.runs(owner[a:b])
             each = np.diff(np.append(own, b - a)).astype(np.uint32)
-            rows.append((int(group[a]), owner[a:b][own].tobytes(), size[a:b][own].tobytes(), each.tobytes(), item[a:b].tobytes(), rarity[a:b].tobytes()))
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        return pa.table({c: pa.array(v, pa.int64() if c == "group" else pa.binary()) for c, v in zip(("group", "keys", "sizes", "each", "items", "rarity"), columns, strict=True)})
+            rows.append((int(marks[int(owner[a] >> np.uint64(16)) - 1]), None, None, owner[a:b][own].astype(np.uint16).tobytes(), each.tobytes(), item[a:b].tobytes(), rarity[a:b].tobytes()))
+        return passed_on(rows)
 
     def gather(key, table):
         common.release()
-        keys, sizes, each, items, rarity = (np.frombuffer(b"".join(table.column(c).to_pylist()), d) for c, d in (("keys", np.uint64), ("sizes", np.uint32), ("each", np.uint32), ("items", np.uint64), ("rarity", np.uint8)))
-        owner, size = np.repeat(keys, each), np.repeat(sizes, each)
+        named = [(np.frombuffer(k, np.uint64), np.frombuffer(z, np.uint32)) for k, z in zip(table.column("keys").to_pylist(), table.column("sizes").to_pylist(), strict=True) if k is not None]
+        if not named:
+            raise RuntimeError(f"slice {key[0].as_py()} came without its sets: the table gave other rows when it was read again")
+        keys, sizes = named[0]  # slices of the same mark are the same sets
+        owner, each, items, rarity = (np.frombuffer(b"".join(x for x in table.column(c).to_pylist() if x is not None), d) for c, d in (("owner", np.uint16), ("each", np.uint32), ("items", np.uint64), ("rarity", np.uint8)))
+        owner = np.repeat(owner, each)
         order = np.lexsort((items, rarity, owner))
-        owner, size, items = owner[order], size[order], items[order]
+        owner, items = owner[order], items[order]
         new = np.append(True, (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])) if len(items) else np.zeros(0, bool)
-        owner, size, items = owner[new], size[new], items[new]
+        owner, items = owner[new], items[new]
         at = common.runs(owner)
         n = np.diff(np.append(at, len(owner)))
-        enough = np.flatnonzero(n >= least_overlap(size[at].astype(np.int64), percent))
+        enough = np.flatnonzero(n >= least_overlap(sizes[owner[at]].astype(np.int64), percent))
+        of = owner[at[enough]]
         return pa.table(
             {
-                "set_key": pa.array(owner[at[enough]].view(np.int64)),
-                "n": pa.array(size[at[enough]].astype(np.int64)),
+                "set_key": pa.array(keys[of].view(np.int64)),
+                "n": pa.array(sizes[of].astype(np.int64)),
                 "items": pa.array([items[at[i] : at[i] + n[i]].tobytes() for i in enough], pa.binary()),
             }
         )
 
-    blobs = docs.select(text).mapInArrow(post, "bucket long, salt long, high binary, low binary, owner binary, keys binary, sizes binary")
-    shared = blobs.groupBy("bucket", "salt").applyInArrow(share, "group long, keys binary, sizes binary, each binary, items binary, rarity binary")
-    return shared.groupBy("group").applyInArrow(gather, "set_key long, n long, items binary")
+    sent = docs.select(F.col(text).alias("text"), F.xxhash64(doc_id).alias("own"))
+    blobs = sent.mapInArrow(post, "bucket long, salt long, high binary, low binary, owner binary, slice long")
+    shared = blobs.groupBy("bucket", "salt").applyInArrow(share, "slice long, keys binary, sizes binary, owner binary, each binary, items binary, rarity binary")
+    return shared.groupBy("slice").applyInArrow(gather, "set_key long, n long, items binary")
 
 
 def short_lists(sets: DataFrame, percent: int) -> DataFrame:
@@ -282,12 +317,13 @@ def divide_skip(sets: list[np.ndarray], n: np.ndarray, side: np.ndarray, percent
 def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     """``(k, root)``: sets linked with another one, and one set that stands for their component."""
     clusters = candidate_clusters(sets, percent)
-    placed = common.checkpoint(sets.join(clusters, sets["set_key"] == clusters["k"]).select("set_key", "n", "items", "cluster"))
+    placed = common.checkpoint(sets.join(clusters, sets["set_key"] == clusters["k"]).dropDuplicates(["set_key"]).select("set_key", "n", "items", "cluster"))
     per = placed.groupBy("cluster").agg(F.count("*").alias("members"), F.sum(F.octet_length("items") / 8).alias("volume"))
     cells = max(1, -(-placed.count() // CELL_SETS))
     blocks = F.greatest(F.least(F.ceil(F.col("members") / CELL_SETS), F.lit(MOST_BLOCKS)), F.ceil(F.col("volume") / BLOCK_ITEMS)).cast("int")
     large = per.where((F.col("members") > CELL_SETS) | (F.col("volume") > BLOCK_ITEMS)).select(F.col("cluster").alias("c"), blocks.alias("blocks"))
-    joined = placed.join(large, placed["cluster"] == large["c"], "left")
+    # A row for every CELL_SETS sets at most: sent to every task, so that the sets travel once.
+    joined = placed.join(F.broadcast(large), placed["cluster"] == large["c"], "left")
     block = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = joined.withColumn("block", block).withColumn("other", other)
@@ -323,7 +359,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_i
     hashes, shingles by 48 bits and the bucket's. An empty table gives no rows.
     """
     rows = common.checkpoint(set_table(docs, words, doc_id, text))
-    sets = common.checkpoint(shared_sets(docs, words, percent, text))
+    sets = common.checkpoint(shared_sets(docs, words, percent, doc_id, text, copied_sets(rows)))
     links = common.checkpoint(linked_sets(sets, percent))
     classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(links, classes["set_key"] == links["k"], "left").select("set_key", "least", F.coalesce("root", "set_key").alias("root"))

@@ -216,6 +216,44 @@ def test_jaccard_components(documents, monkeypatch, cell, hot):
     assert jaccard.jaccard_components(documents(texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("told", [0, 1000])
+def test_jaccard_components_over_many_buckets(documents, monkeypatch, told):
+    monkeypatch.setattr(jaccard, "BUCKET_BYTES", 64)
+    monkeypatch.setattr(jaccard, "SLICE_BYTES", 2048)
+    monkeypatch.setattr(jaccard, "COPIED_SETS", told)
+    texts = ODD + sample(9, 150) + sample(9, 150)[:40] + [sample(9, 150)[3]] * 30
+    ids = [None if i % 50 == 9 else 3 * (i % 170) for i in range(len(texts))]
+    got = sorted((r.n_shingles, r.component_id is None) for r in jaccard.jaccard_components(documents(texts, ids).repartition(3)).collect())
+    monkeypatch.undo()
+    want = sorted((r.n_shingles, r.component_id is None) for r in jaccard.jaccard_components(documents(texts, ids).repartition(3)).collect())
+    assert got == want
+    ids = list(range(len(texts)))
+    monkeypatch.setattr(jaccard, "BUCKET_BYTES", 64)
+    monkeypatch.setattr(jaccard, "SLICE_BYTES", 2048)
+    monkeypatch.setattr(jaccard, "COPIED_SETS", told)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(texts, ids).repartition(3)).collect()}
+    assert got == brute_components(texts, ids)
+
+
+def test_jaccard_sends_no_more_for_more_buckets(documents, monkeypatch):
+    """Sets' keys and sizes went along with each bucket's shingles, so that what was shuffled grew with documents times buckets."""
+    rng = random.Random(4)
+    docs = documents([" ".join(str(rng.randrange(10**6)) for _ in range(10)) for _ in range(6000)]).coalesce(1)
+    monkeypatch.setattr(jaccard, "BUCKET_BYTES", 6000)
+    sent, real = [], type(docs).mapInArrow
+
+    def kept(df, f, schema, *rest, **options):
+        found = real(df, f, schema, *rest, **options)
+        return sent.append(found) or found if "bucket" in found.columns else found
+
+    monkeypatch.setattr(type(docs), "mapInArrow", kept)
+    assert jaccard.jaccard_components(docs).count() == 6000
+    (rows,) = sent
+    assert rows.where("bucket >= 0").select("bucket").distinct().count() > 60
+    size = sum(F.octet_length(c) for c, kind in rows.dtypes if kind == "binary")
+    assert rows.agg(F.sum(size)).first()[0] < 16 * 6000 * 6
+
+
 # --- suffix arrays
 
 
