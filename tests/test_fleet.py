@@ -490,6 +490,39 @@ def test_merge_carries_only_what_is_asked_for(spark):
     assert carried and not any("container" in line for line in carried)
 
 
+def test_merge_shuffles_once_by_hash_and_once_by_name(spark):
+    trace, report = (make(spark, dict(hash="a/1", pos=1), dict(hash="a/2", pos=2)).where(F.rand(1) >= 0) for _ in range(2))
+    shuffles = lambda *a, **k: tasks.merge_tasks(*a, **k)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
+    assert shuffles(trace, report) == 2 and shuffles(trace, report, hashes="all") == 2
+    assert shuffles(*[df.withColumns({"hash": F.lit(""), "task_id": F.lit("")}) for df in (trace, report)], hashes="none") == 1
+
+
+@pytest.mark.parametrize("name", ["merge_by_hash", "merge_by_name", "merge_leftovers"])
+def test_merges_of_made_traces_read_nothing_ahead(spark, name):
+    """What the queries know of their traces' hashes isn't looked up, which would make all tasks a second time."""
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("merge ahead"))
+    spark.sparkContext.setJobGroup("merge ahead", name)
+    before = jobs()
+    queries.queries()[name](spark, "/root/testdata/sf0.001")
+    made = jobs() - before
+    queries._halves(spark, "/root/testdata/sf0.001")
+    assert made <= jobs() - before - made
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_merge_with_known_hashes_equals_the_one_that_looks(spark):
+    rng = random.Random(3)
+    for hashes in ("all", "none"):
+        left = [dict(run_id=f"r{rng.randint(0, 2)}", hash=f"h{rng.randint(0, 60)}" if hashes == "all" else "", task_id=rng.choice(["", f"i{rng.randint(0, 9)}"]), name=f"n{rng.randint(0, 5)}", pos=i, cpus_units=None) for i in range(90)]
+        right = [dict(run_id=f"r{rng.randint(0, 2)}", hash=rng.choice(["", f"h{rng.randint(0, 60)}"]), name=f"n{rng.randint(0, 5)}", pos=i, cpus_units=i + 1) for i in range(90)]
+        trace, report = make(spark, *left), make(spark, *right)
+        columns = ["run_id", "source", "side", "pos", "hash", "task_id", "name", "cpus_units", "tag"]
+        known, found = (sorted(map(repr, tasks.merge_tasks(trace, report, hashes=h).select(*columns).collect())) for h in (hashes, "any"))
+        assert known == found and any("both" in r for r in known)
+    with pytest.raises(ValueError):
+        tasks.merge_tasks(trace, report, hashes="some")
+
+
 def test_statistics_number_no_places(spark):
     """Only queries of places pay for numbering a run's rows: the others read each table once, and keep the same rows."""
     data = "/root/testdata/sf0.001"
