@@ -523,6 +523,23 @@ def test_merge_with_known_hashes_equals_the_one_that_looks(spark):
         tasks.merge_tasks(trace, report, hashes="some")
 
 
+def test_merge_mixed_keeps_one_table_of_what_it_shows(spark):
+    """Both halves were kept, with all columns, and the tasks were made for each of them."""
+    queries.queries()["merge_mixed"](spark, "/root/testdata/sf0.001")
+    assert [sorted(df.columns) for df in queries.KEPT] == [["cpus_units", "hash", "name", "pos", "realtime_ms", "run_id", "tag", "task_id"]]
+
+
+def test_long_lists_of_names_give_the_same_merge(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = lambda n: make(spark, *[dict(run_id=f"r{rng.randint(0, 2)}", hash=rng.choice(["", f"h{rng.randint(0, 40)}"]), name=rng.choice([None, "", "a", "b", "c", "d"]), pos=i, cpus_units=i) for i in range(n)])
+    trace, report = rows(80), rows(70)
+    merge = lambda: sorted(map(repr, tasks.merge_tasks(trace, report).select("run_id", "source", "side", "pos", "hash", "name", "cpus_units").collect()))
+    sent = merge()
+    monkeypatch.setattr(tasks, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(tasks, "BROADCAST_HASHES", 0, raising=False)
+    assert merge() == sent and any("both" in r for r in sent)
+
+
 def test_statistics_number_no_places(spark):
     """Only queries of places pay for numbering a run's rows: the others read each table once, and keep the same rows."""
     data = "/root/testdata/sf0.001"
