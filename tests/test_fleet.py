@@ -1,5 +1,6 @@
 """Cases of the fleet operators that the given tables don't reach."""
 
+import json
 import math
 import random
 import re
@@ -540,6 +541,26 @@ def test_long_lists_of_names_give_the_same_merge(spark, monkeypatch):
     assert merge() == sent and any("both" in r for r in sent)
 
 
+def test_records_of_a_report_are_parsed_once(spark):
+    records = '[null,3,"x",[1,{"b":"c"}],{},{"process":"P","name":"P (t)","odd":{"b":1,"a":null},"n":1.50,"hash":"a/1","cpus":2}]'
+    files_ = text_files(spark, a=f'<script>window.data = {{"trace":{records},"cmd":"/x"}};</script>', b="none").where(F.rand(1) >= 0)
+    parts = redact.report_parts(files_, "s")
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(MapType(StringType,VariantType") == 1
+    found = {r.path: r for r in redact.join_report_parts(parts).collect()}
+    trace = json.loads(found["a"].json)["trace"]
+    assert trace[:5] == [None, 3, "x", [1, {"b": "c"}], {}] and found["b"].error == "no_window_data" and found["b"].json is None
+    assert set(trace[5]) == {"process", "name", "odd", "n", "hash", "cpus"} and (trace[5]["hash"], trace[5]["cpus"], trace[5]["process"]) == ("a/1", 2, "P")
+    assert trace[5]["odd"].startswith("redacted-") and trace[5]["n"].startswith("redacted-") and trace[5]["name"].startswith("P (tag-")
+
+
+def test_redacted_trace_lines_stay_with_their_file(spark):
+    """Files are put together by (run, path); by path alone their lines would be shuffled once more."""
+    plan = queries.queries()["redacted_traces"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "path" in line]
+    assert len(grouped) == 1, grouped
+
+
 def test_statistics_number_no_places(spark):
     """Only queries of places pay for numbering a run's rows: the others read each table once, and keep the same rows."""
     data = "/root/testdata/sf0.001"
